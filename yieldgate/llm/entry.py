@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, packing, quality, relative, secrets, sharding, suffix
+from . import bayes, bpe, media, packing, quality, relative, secrets, sharding, suffix
 from .common import table
 
 
@@ -49,8 +49,12 @@ def op9_relative_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relative.relative_digest(table(spark, sf_dir, "documents"))
 
 
+def op10_bayesian_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bayes.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_packing, op2_media_columns, op3_bpe_transducer, op5_suffix_dedup, op6_quality_rules, op7_secret_scans, op8_sharding, op9_relative_dedup)
+    found = (op1_packing, op2_media_columns, op3_bpe_transducer, op5_suffix_dedup, op6_quality_rules, op7_secret_scans, op8_sharding, op9_relative_dedup, op10_bayesian_join)
     return {f.__name__: f for f in found}
 
 
@@ -61,4 +65,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_secret_scans": secrets.SQL,
         "op8_sharding": sharding.SQL,
         "op9_relative_dedup": relative.SQL,
+        "op10_bayesian_join": bayes.SQL,
     }

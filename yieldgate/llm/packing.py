@@ -15,6 +15,7 @@ equal lengths are ranked by id and start; an empty table gives no pieces; other
 
 from __future__ import annotations
 
+import bisect
 import functools
 import math
 import zlib
@@ -32,7 +33,9 @@ from .common import chunks, documents, written
 CAPACITY = 1024
 END = 0
 #: Relative distance from the linear program's optimum at which pricing ends.
-GAP = 2e-3
+GAP = 5e-4
+#: Lengths that the first patterns are filled up with.
+SPREAD = 512
 #: Rows that are ranked together, and the most groups of such rows (their counts are broadcast).
 GROUP_ROWS, GROUPS = 400, 100_000
 
@@ -42,18 +45,70 @@ def padded(fill: int, capacity: int = CAPACITY) -> int:
     return fill if fill & (fill - 1) == 0 else capacity
 
 
+def _reachable(lengths: list[int], capacity: int) -> int:
+    """Bit c is set where some multiset of lengths sums to c."""
+    mask, sums = (1 << (capacity + 1)) - 1, 1
+    for n in lengths:
+        step = n
+        while step <= capacity:
+            sums |= (sums << step) & mask
+            step *= 2
+    return sums
+
+
+def first_patterns(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[list[dict[int, int]], list[int], list[float]]:
+    """A basis to begin with: fill up for the largest length left, as far as sums allow, until some length is used up.
+
+    Gives patterns (index: copies), the length that each uses up, and how often each is taken. As no later pattern has
+    a length used up before, the patterns are independent.
+    """
+    left = demand.astype(np.float64).copy()
+    alive = list(range(len(lengths)))
+    patterns, used, times = [], [], []
+    while alive:
+        # A spread of the lengths that fit is enough to fill up with.
+        room = capacity - int(lengths[alive[-1]])
+        fits = alive[: bisect.bisect_right(alive, room, key=lambda k: int(lengths[k]))]
+        fits = fits if len(fits) <= SPREAD else fits[: SPREAD // 4] + fits[SPREAD // 4 :: -(-len(fits) // SPREAD)]
+        sizes = [int(lengths[k]) for k in fits]
+        sums = _reachable(sizes, room)
+        pattern = {alive[-1]: 1}
+        room = sums.bit_length() - 1
+        at = len(fits) - 1
+        while room > 0:
+            while sizes[at] > room or not sums >> (room - sizes[at]) & 1:
+                at -= 1
+            pattern[fits[at]] = pattern.get(fits[at], 0) + 1
+            room -= sizes[at]
+        often, k = min((left[k] / a, k) for k, a in pattern.items())
+        for j, a in pattern.items():
+            left[j] -= a * often
+        patterns.append(pattern)
+        used.append(k)
+        times.append(often)
+        alive.remove(k)
+    return patterns, used, times
+
+
 class Program:
-    """min cost·x, A x = demand, x >= 0 over patterns; a revised simplex method with an explicit inverse."""
+    """min cost·x, A x >= demand, x >= 0 over patterns; a revised simplex method with an explicit inverse."""
 
     def __init__(self, lengths: np.ndarray, demand: np.ndarray, capacity: int):
         self.lengths, self.capacity = lengths, capacity
-        self.position = {int(n): k for k, n in enumerate(lengths)}
-        copies = capacity // lengths
-        self.patterns: list[dict[int, int]] = [{k: int(a)} for k, a in enumerate(copies)]
-        self.cost = np.array([padded(int(n * a), capacity) / capacity for n, a in zip(lengths, copies, strict=True)])
-        self.inverse = np.diag(1.0 / copies)
-        self.x = demand / copies
-        self.y = self.cost / copies
+        self.patterns, _, times = first_patterns(lengths, demand, capacity)
+        columns = np.zeros((len(lengths), len(lengths)))
+        for k, p in enumerate(self.patterns):
+            columns[list(p), k] = list(p.values())
+        self.cost = np.array([self.cost_of(p) for p in self.patterns])
+        self.inverse = np.linalg.inv(columns)
+        self.x = np.maximum(np.array(times), 0.0)
+        self.y = self.cost @ self.inverse
+        self.ideal = float(lengths @ demand) / capacity
+
+    def cost_of(self, pattern: dict[int, int]) -> float:
+        """Padded size in sequences; a surplus (one copy less) costs nothing."""
+        fill = sum(int(self.lengths[k]) * a for k, a in pattern.items())
+        return padded(fill, self.capacity) / self.capacity if fill > 0 else 0.0
 
     def price(self) -> tuple[np.ndarray, np.ndarray]:
         """Best value of patterns that fill exactly 0, 1, ... tokens, and the last length in each."""
@@ -81,7 +136,7 @@ class Program:
         """Takes a pattern into the basis if that lowers the cost."""
         at = np.fromiter(pattern, np.int64)
         many = np.fromiter(pattern.values(), np.float64)
-        cost = padded(int(self.lengths[at] @ many), self.capacity) / self.capacity
+        cost = self.cost_of(pattern)
         gain = float(self.y[at] @ many) - cost
         if gain < 1e-9:
             return False
@@ -102,20 +157,23 @@ class Program:
         self.y = self.y - gain * row
         return True
 
-    def solve(self, gap: float = GAP, rounds: int = 500, per_round: int = 48) -> float:
+    def solve(self, gap: float = GAP, rounds: int = 120, per_round: int = 48) -> float:
         """Generates columns until the cost is within `gap` of the bound; gives the bound."""
         powers = [1 << k for k in range(self.capacity.bit_length()) if 1 << k < self.capacity]
-        bound = 0.0
+        bound = self.ideal
         for _ in range(rounds):
+            for k in np.flatnonzero(self.y < -1e-9).tolist():
+                self.enter({k: -1})
+            cost = float(self.cost @ self.x)
+            if cost <= bound * (1 + gap):
+                break
             value, last = self.price()
             best = np.maximum.accumulate(value)
             fill = np.maximum.accumulate(np.where(value >= best, np.arange(len(value)), 0))
             holding = self.y + best[self.capacity - self.lengths]
             rate = max(float(holding.max()), *(value[c] * self.capacity / c for c in powers))
-            cost = float(self.cost @ self.x)
-            bound = max(bound, cost / max(1.0, rate))
-            if cost <= bound * (1 + gap) or rate <= 1 + 1e-9:
-                break
+            if self.y.min() >= -1e-9:
+                bound = max(bound, cost / max(1.0, rate))
             new = [self.pattern(last, c) for c in powers if value[c] * self.capacity / c > 1 + 1e-9]
             new += [self.pattern(last, int(fill[self.capacity - self.lengths[k]]), int(k)) for k in np.argsort(-holding)[:per_round]]
             if not sum(self.enter(p) for p in new):
@@ -135,6 +193,8 @@ def plan_patterns(histogram: dict[int, int], capacity: int = CAPACITY, gap: floa
     left = np.array([rest[int(n)] for n in lengths], np.int64)
     for extra in (False, True):  # whole parts first, then fractions, large ones first, as long as pieces are left
         for k in np.argsort(-(program.x - np.floor(program.x + 1e-9))):
+            if min(program.patterns[k].values()) < 0:
+                continue
             at = np.fromiter(program.patterns[k], np.int64)
             many = np.fromiter(program.patterns[k].values(), np.int64)
             times = int((left[at] // many).min())
