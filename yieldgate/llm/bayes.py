@@ -333,7 +333,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     gone = classes.where("class_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
     kept = df.join(gone, F.col(id_col).cast("long") == gone["gone"], "left_anti")
     twice = classes.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates() if twice else kept
+    return kept.dropDuplicates([id_col, text_col]) if twice else kept
 
 
 SQL = f"""

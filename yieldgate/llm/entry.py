@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bayes, bpe, media, packing, quality, relative, secrets, sharding, suffix
+from . import bayes, bpe, media, packing, pseudo, quality, relative, secrets, sharding, suffix
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op3_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digest(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op4_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo.pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.suffix_digest(table(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def op10_bayesian_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_packing, op2_media_columns, op3_bpe_transducer, op5_suffix_dedup, op6_quality_rules, op7_secret_scans, op8_sharding, op9_relative_dedup, op10_bayesian_join)
+    found = (op1_packing, op2_media_columns, op3_bpe_transducer, op4_pseudo_likelihood, op5_suffix_dedup, op6_quality_rules, op7_secret_scans, op8_sharding, op9_relative_dedup, op10_bayesian_join)
     return {f.__name__: f for f in found}
 
 
