@@ -6,8 +6,8 @@ windows lie in blocks with equal anchors, wherever they stand, and equal blocks
 is a block for every ten to twenty windows, which is what makes the shuffle small.
 
 `index_blocks` gives two kinds of rows: `copied` blocks, which an earlier document holds as a whole, and `contested`
-ones, those of the first document with their contents whose anchor has other contents too: only their windows need a
-closer look.
+ones, those of the first document with their contents whose anchor has other contents too that agree on one side of it
+as far as a window must reach there: only their windows need a closer look.
 
 Equal blocks that meet in a map task are settled there, so that no block, however frequent, brings more rows to the
 shuffle than there are map tasks. Anchors that many blocks have are found on a sample and dealt out by contents; that
@@ -30,8 +30,8 @@ from .common import _BYTES, GOLDEN, Rolling, chunks, mix, raw_text, signed, word
 
 #: Blocks that a map task gathers before it sends them on.
 GATHER = 1 << 20
-#: Documents of the sample for frequent anchors, the share of blocks that makes an anchor frequent.
-SAMPLE_DOCS, FREQUENT = 2000, 1 / 4000
+#: Least documents of the sample for frequent anchors; an anchor with this part of a partition's blocks is frequent.
+SAMPLE_DOCS, FREQUENT = 2000, 1 / 4
 _LOW = np.uint64(21)
 _ROLL = Rolling(101)
 _COPIED, _CONTESTED = 0, 1
@@ -64,7 +64,7 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def cut(values: np.ndarray, offsets: np.ndarray, shape: Shape) -> tuple[np.ndarray, ...]:
-    """Blocks of all rows: row, first window (in its row), number of windows, anchor's hash, contents' hash."""
+    """Blocks of all rows: row, first window (in its row), number of windows, anchor and sides, contents' hash."""
     n = len(values)
     none = np.zeros(0, np.int64)
     if n < shape.window or n >= 1 << int(_LOW):
@@ -87,7 +87,19 @@ def cut(values: np.ndarray, offsets: np.ndarray, shape: Shape) -> tuple[np.ndarr
     many = np.add.reduceat(good.astype(np.int64), first)
     ends = first + many - 1 + shape.window
     contents = mix(_ROLL.slices(sums, first, ends) ^ (many.astype(np.uint64) * GOLDEN))
-    return row[first], first - offsets[row[first]], many, grams[at[first]], contents
+    # A window that begins `middle` items or less before its anchor reaches `right` items behind it, another one
+    # `left` items before it; 16 bits of each go with the anchor's 32.
+    place = at[first]
+    middle = (shape.window - shape.anchor) // 2
+    right, left = shape.window - shape.anchor - middle, middle + 1
+    behind = np.minimum(place + shape.anchor, n - right)
+    r = mix(_ROLL.slices(sums, behind, behind + right)) >> np.uint64(48)
+    before = np.maximum(place - left, 0)
+    l = mix(_ROLL.slices(sums, before, before + left)) >> np.uint64(48)  # noqa: E741
+    r = np.where(first + many - 1 >= place - middle, r, contents >> np.uint64(48))
+    l = np.where(first < place - middle, l, contents >> np.uint64(32) & np.uint64(0xFFFF))  # noqa: E741
+    anchor = (grams[place] & ~np.uint64(0xFFFFFFFF)) | l << np.uint64(16) | r
+    return row[first], first - offsets[row[first]], many, anchor, contents
 
 
 def _cut_long(values: np.ndarray, offsets: np.ndarray, shape: Shape) -> tuple[np.ndarray, ...]:
@@ -109,34 +121,33 @@ def _cut_long(values: np.ndarray, offsets: np.ndarray, shape: Shape) -> tuple[np
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-_ROWS = pa.schema([("anchor", pa.int64()), ("contents", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("many", pa.int16())])
-_ROWS_SQL = "anchor long, contents long, doc_id long, lo int, many short"
-
-
-def _frame(anchor: np.ndarray, contents: np.ndarray, doc: np.ndarray, lo: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
-    cols = [signed(anchor), signed(contents), doc.astype(np.int64), lo.astype(np.int32), many.astype(np.int16)]
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], schema=_ROWS)
+_NAMES = ["anchor", "contents", "doc_id", "place"]
+_ROWS_SQL = "anchor long, contents long, doc_id long, place long"
+#: place holds the first window above these bits: the number of windows, whether the anchor is frequent, a known copy.
+_MANY, _FREQUENT_BIT, _COPIED_BIT, _SHIFT = (1 << 14) - 1, 1 << 14, 1 << 15, 16
+_UPPER = np.uint64(32)
 
 
 def _settle(gathered: list[tuple[np.ndarray, ...]], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """For each contents the block of the least document, to be compared; the others are copies already (many < 0)."""
+    """Marks blocks whose contents a smaller document here has; they need no comparison and go wherever there is room."""
     anchor, contents, doc, lo, many = (np.concatenate(x) for x in zip(*gathered, strict=True))
-    frequent = np.isin(anchor, hot)
-    # A frequent anchor's rows are dealt by contents; bit 14 of many tells.
-    key = np.where(frequent, mix(anchor ^ contents), anchor)
-    order = np.lexsort((lo, doc, contents, key))
-    key, contents, doc, lo, many, frequent = (x[order] for x in (key, contents, doc, lo, many, frequent))
-    head = np.r_[True, (key[1:] != key[:-1]) | (contents[1:] != contents[:-1])]
-    least = doc[np.flatnonzero(head)][np.cumsum(head) - 1]
+    frequent = np.isin(anchor >> _UPPER, hot)
+    # A frequent anchor's rows are dealt by contents.
+    low = anchor & np.uint64(0xFFFFFFFF)
+    key = np.where(frequent, mix(anchor >> _UPPER ^ contents) & ~np.uint64(0xFFFFFFFF) | low, anchor)
+    order = np.lexsort((doc, contents, key))
+    head = np.r_[True, (key[order][1:] != key[order][:-1]) | (contents[order][1:] != contents[order][:-1])]
+    least = np.empty_like(doc)
+    least[order] = doc[order][np.flatnonzero(head)][np.cumsum(head) - 1]
     copied = doc > least
-    many = np.where(copied, -many, many | (frequent.astype(np.int64) << 14))
-    # Copies need no comparison: they go wherever there is room.
-    key = np.where(copied, mix(doc.astype(np.uint64) + lo.astype(np.uint64)), key)
-    yield _frame(key, contents, doc, lo, many)
+    place = lo << _SHIFT | many | frequent * _FREQUENT_BIT | copied * _COPIED_BIT
+    key = np.where(copied, mix(doc.astype(np.uint64)), key)
+    contents = np.where(copied, np.uint64(0), contents)
+    yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(signed(contents)), pa.array(doc), pa.array(place)], names=_NAMES)
 
 
 def _map(batches: Iterator[pa.RecordBatch], shape: Shape, hot: list[int]) -> Iterator[pa.RecordBatch]:
-    hot_keys, gathered, n = np.array(hot, np.int64).view(np.uint64), [], 0
+    hot_keys, gathered, n = np.array(hot, np.uint64), [], 0
     for part in chunks(batches, "text"):
         row, lo, many, anchor, contents = cut(*items_of(*raw_text(part.column("text")), shape.items), shape)
         gathered.append((anchor, contents, part.column("doc_id").to_numpy(zero_copy_only=False)[row], lo, many))
@@ -151,14 +162,15 @@ def _map(batches: Iterator[pa.RecordBatch], shape: Shape, hot: list[int]) -> Ite
 def _count(batches: Iterator[pa.RecordBatch], shape: Shape) -> Iterator[pa.RecordBatch]:
     for part in chunks(batches, "text"):
         anchor = cut(*items_of(*raw_text(part.column("text")), shape.items), shape)[3]
-        yield pa.RecordBatch.from_arrays([pa.array(signed(anchor))], names=["anchor"])
+        yield pa.RecordBatch.from_arrays([pa.array(signed(anchor >> _UPPER))], names=["anchor"])
 
 
-def frequent_anchors(docs: DataFrame, shape: Shape) -> list[int]:
-    """Anchors with more than FREQUENT of the blocks of a sample; 1 / FREQUENT of them at most."""
-    blocks = docs.limit(SAMPLE_DOCS).mapInArrow(partial(_count, shape=shape), "anchor long").groupBy("anchor").count()
+def frequent_anchors(docs: DataFrame, shape: Shape, parts: int) -> list[int]:
+    """Anchors with more than FREQUENT of a partition's share of a sample's blocks; parts / FREQUENT of them at most."""
+    sample = docs.limit(max(SAMPLE_DOCS, parts))
+    blocks = sample.mapInArrow(partial(_count, shape=shape), "anchor long").groupBy("anchor").count()
     total = blocks.agg(F.sum("count")).first()[0] or 0
-    return [r[0] for r in blocks.where(F.col("count") > max(20, total * FREQUENT)).select("anchor").collect()]
+    return [r[0] for r in blocks.where(F.col("count") > max(20, total * FREQUENT / parts)).select("anchor").collect()]
 
 
 _INDEX_SQL = "kind byte, key long, doc_id long, lo int, many short"
@@ -170,28 +182,37 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not got:
         return
     rows = pa.Table.from_batches(got)
-    anchor, contents, doc, lo, many = (rows.column(k).to_numpy() for k in range(5))
-    many = many.astype(np.int64)
-    settled = many < 0
-    out = [(doc[settled], lo[settled], -many[settled], np.zeros(int(settled.sum()), np.int64), _COPIED)]
-    anchor, contents, doc, lo, many = (x[~settled] for x in (anchor, contents, doc, lo, many))
+    anchor, contents, doc, place = (rows.column(k).to_numpy() for k in range(4))
+    lo, many = place >> _SHIFT, place & _MANY
+    settled = place & _COPIED_BIT > 0
+    out = [(doc[settled], lo[settled], many[settled], np.zeros(int(settled.sum()), np.int64), _COPIED)]
+    anchor, contents, doc, lo, many, place = (x[~settled] for x in (anchor, contents, doc, lo, many, place))
     if len(anchor):
         order = np.lexsort((doc, contents, anchor))
-        anchor, contents, doc, lo, many = (x[order] for x in (anchor, contents, doc, lo, many))
-        frequent, many = many >> 14 > 0, many & (1 << 14) - 1
-        fresh = np.r_[True, anchor[1:] != anchor[:-1]]
-        head = fresh | np.r_[True, contents[1:] != contents[:-1]]
-        group = np.cumsum(fresh) - 1
+        anchor, contents, doc, lo, many, place = (x[order] for x in (anchor, contents, doc, lo, many, place))
+        anchor = anchor.view(np.uint64)
+        frequent = place & _FREQUENT_BIT > 0
+        head = np.r_[True, (anchor[1:] != anchor[:-1]) | (contents[1:] != contents[:-1])]
         least = doc[np.flatnonzero(head)][np.cumsum(head) - 1]
         copied = doc > least
-        several = np.bincount(group, head)[group] > 1
+        several = _several(anchor >> np.uint64(16), head) | _several(anchor & ~np.uint64(0xFFFF0000), head)
         contested = ~copied & (several | frequent)
         out.append((doc[copied], lo[copied], many[copied], np.zeros(int(copied.sum()), np.int64), _COPIED))
         # Blocks of a frequent anchor have no key in common: null, and each of their windows goes its own way.
-        key = pa.array(anchor[contested], mask=frequent[contested])
+        key = pa.array(signed(anchor[contested] >> _UPPER), mask=frequent[contested])
         out.append((doc[contested], lo[contested], many[contested], key, _CONTESTED))
     for d, a, n, key, kind in out:
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), kind, np.int8)), pa.array(key) if isinstance(key, np.ndarray) else key, pa.array(d), pa.array(a), pa.array(n.astype(np.int16))], names=["kind", "key", "doc_id", "lo", "many"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), kind, np.int8)), pa.array(key) if isinstance(key, np.ndarray) else key, pa.array(d), pa.array(a.astype(np.int32)), pa.array(n.astype(np.int16))], names=["kind", "key", "doc_id", "lo", "many"])
+
+
+def _several(key: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """Rows whose key has two different contents; head is true once for each contents."""
+    order = np.argsort(key, kind="stable")
+    new = np.r_[True, key[order][1:] != key[order][:-1]]
+    group = np.cumsum(new) - 1
+    out = np.empty(len(key), bool)
+    out[order] = np.bincount(group, head[order])[group] > 1
+    return out
 
 
 def partitions(df: DataFrame, rows: int = 0) -> int:
@@ -201,11 +222,14 @@ def partitions(df: DataFrame, rows: int = 0) -> int:
 
 def index_blocks(docs: DataFrame, shape: Shape) -> tuple[DataFrame, DataFrame]:
     """(copied, contested) blocks of docs (doc_id, text): doc_id, lo, many; contested ones with a key that equal windows share."""
-    hot = frequent_anchors(docs, shape)
+    parts = partitions(docs)
+    hot = frequent_anchors(docs, shape, parts)
     rows = docs.mapInArrow(partial(_map, shape=shape, hot=hot), _ROWS_SQL)
-    found = rows.repartition(partitions(docs), "anchor").mapInArrow(_compare, _INDEX_SQL)
+    found = rows.repartition(parts, F.shiftrightunsigned("anchor", 32)).mapInArrow(_compare, _INDEX_SQL)
     found = written(found, "blocks")
-    return found.where(F.col("kind") == _COPIED).select("doc_id", "lo", "many"), found.where(F.col("kind") == _CONTESTED).select("key", "doc_id", "lo", "many")
+    contested = found.where(F.col("kind") == _CONTESTED).select("key", "doc_id", "lo", "many")
+    contested.written_to = found.written_to  # for forget()
+    return found.where(F.col("kind") == _COPIED).select("doc_id", "lo", "many"), contested
 
 
 def spans_by_doc(spans: DataFrame) -> DataFrame:

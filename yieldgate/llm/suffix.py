@@ -27,11 +27,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import Shape, covered, index_blocks, partitions, runs_of, settle_windows, span_lists, with_spans
-from .common import _BYTES, Rolling, chunks, documents, mix, raw_text, signed
+from .common import _BYTES, Rolling, chunks, documents, forget, mix, raw_text, signed, written
 
 LENGTH = 50
-ANCHOR = 8
+ANCHOR = 12
 _ROLL = Rolling(211)
+#: Bytes whose suffixes are sorted at once, but for a key that has more.
+SORT_BYTES = 1 << 20
 #: Suffixes that a task compares at once.
 AT_ONCE = 1 << 16
 
@@ -154,22 +156,39 @@ def _cut_out(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
 
 
 def _sort(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Repeated windows as spans. Keys are sorted some at a time, so that arrays stay as small as SORT_BYTES allows."""
     got = [b for b in batches if b.num_rows]
     if not got:
         return
     rows = pa.Table.from_batches(got)
-    doc, lo = rows.column("doc_id").to_numpy(), rows.column("lo").to_numpy().astype(np.int64)
     sizes = pc.binary_length(rows.column("body")).to_numpy().astype(np.int64)
-    texts = np.concatenate([np.frombuffer(c.buffers()[2] or b"", np.uint8)[slice(*np.frombuffer(c.buffers()[1], np.int32)[[c.offset, c.offset + len(c)]])] for c in rows.column("body").chunks])
+    key = rows.column("key").to_numpy()
+    order = np.argsort(key, kind="stable")
+    last = np.flatnonzero(np.r_[key[order][1:] != key[order][:-1], True]) + 1  # ends of keys
+    filled = np.cumsum(sizes[order])
+    at = 0
+    while at < len(order):
+        before = filled[at - 1] if at else 0
+        k = int(np.searchsorted(filled[last - 1], before + SORT_BYTES, "right")) - 1
+        to = int(last[max(k, int(np.searchsorted(last, at, "right")))])
+        yield from _sort_part(rows.take(order[at:to]), sizes[order[at:to]], length)
+        at = to
+
+
+def _sort_part(rows: pa.Table, sizes: np.ndarray, length: int) -> Iterator[pa.RecordBatch]:
+    doc, lo = rows.column("doc_id").to_numpy(), rows.column("lo").to_numpy().astype(np.int64)
+    texts = np.frombuffer(b"".join(rows.column("body").to_pylist()), np.uint8)
     many = np.where(sizes, sizes - (length - 1), 0)
     row = np.repeat(np.arange(len(doc)), many)
     nth = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
     hit = np.flatnonzero(repeated(texts, (np.cumsum(sizes) - sizes)[row] + nth, doc[row], length))
     known = np.flatnonzero(sizes == 0)
-    row, begin = np.r_[row[hit], known], np.r_[lo[row[hit]] + nth[hit], lo[known]]
-    if len(row):
-        first, size = runs_of(row, begin)
-        yield pa.RecordBatch.from_arrays([pa.array(doc[row[first]]), pa.array(begin[first].astype(np.int32)), pa.array(size.astype(np.int16))], names=["doc_id", "lo", "many"])
+    doc, begin = np.r_[doc[row[hit]], doc[known]], np.r_[lo[row[hit]] + nth[hit], lo[known]]
+    if len(doc):
+        order = np.lexsort((begin, doc))
+        doc, begin = doc[order], begin[order]
+        first, size = runs_of(doc, begin)
+        yield pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(begin[first].astype(np.int32)), pa.array(np.minimum(size, 1 << 14).astype(np.int16))], names=["doc_id", "lo", "many"])
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -181,7 +200,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     bodies = bodies.mapInArrow(partial(_cut_out, length=length), "key long, doc_id long, lo int, body binary")
     # A key's windows meet in one partition; of a frequent anchor, whose blocks have keys of their own, each window goes alone.
     spans = bodies.repartition(partitions(docs), "key").mapInArrow(partial(_sort, length=length), "doc_id long, lo int, many short")
-    return copied.unionByName(spans)
+    # Written, so that what led to them can go before texts are dealt out again.
+    spans = written(copied.unionByName(spans), "spans")
+    forget(contested)
+    return spans
 
 
 def _keep(batches: Iterator[pa.RecordBatch], length: int, text_out: bool) -> Iterator[pa.RecordBatch]:
@@ -197,7 +219,8 @@ def _keep(batches: Iterator[pa.RecordBatch], length: int, text_out: bool) -> Ite
         kept, at = data[~gone].tobytes(), np.r_[0, np.cumsum(np.diff(offsets) - removed)]
         pieces = [kept[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
         if text_out:
-            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in part.schema.names if k not in ("spans", "text")), pa.array([p.decode("utf-8", "ignore") for p in pieces], pa.string()), pa.array(removed)], names=[*(k for k in part.schema.names if k not in ("spans", "text")), "text", "n_removed"])
+            texts = pa.array([p.decode("utf-8", "ignore") if n else "" for p, n in zip(pieces, removed.tolist(), strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(removed), texts, part.column("row")], names=["n_removed", "text", "row"])
         else:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(offsets)), pa.array(removed), pa.array(runs), pa.array([hashlib.sha256(p).hexdigest() for p in pieces])], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
@@ -213,9 +236,9 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     """df with the repeated bytes taken out of its texts (bytes of cut characters go too); null ids and texts stay."""
     docs = documents(df, id_col, text_col)
     spans = repeated_spans(docs, length)
-    body = df.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    joined = with_spans(body, spans).select("row", "doc_id", "text", "spans")
-    schema = T.StructType([joined.schema["row"], joined.schema["doc_id"], T.StructField("text", T.StringType()), T.StructField("n_removed", T.LongType())])
+    body = df.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"))
+    joined = with_spans(body, spans).select("row", "doc_id", F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")).alias("text"), "spans")
+    schema = T.StructType([T.StructField("n_removed", T.LongType()), T.StructField("text", T.StringType()), joined.schema["row"]])
     cut = joined.mapInArrow(partial(_keep, length=length, text_out=True), schema)
     text = F.when(F.col("n_removed") > 0, F.col("text")).otherwise(F.col(f"row.`{text_col}`"))
     return cut.select(*(text.alias(n) if n == text_col else F.col(f"row.`{n}`").alias(n) for n in df.columns))
