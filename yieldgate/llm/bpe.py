@@ -152,7 +152,7 @@ class Segmenter:
 
     def __init__(self, vocab: Vocabulary, most: int = 4096):
         self.vocab = vocab
-        self.most = max(most, 1)
+        self.most = max(most, WORD_MARGIN + 2)
         self.tail = ""  # not final yet
         self.run: bytes | None = None  # the rest of a word whose beginning has left
         self.kind = _KINDS[0]
