@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import partitions
-from .common import GOLDEN, chunks, documents, gram_hashes, mix, raw_text, signed, word_hashes, words_of, written
+from .common import GOLDEN, chunks, documents, forget, gram_hashes, mix, raw_text, signed, word_hashes, words_of, written
 from .components import components
 
 WORDS = 5
@@ -283,7 +283,10 @@ def set_members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, k1, k2, n, sign) for every document, and for every set with grams set_id, sign and its keys."""
     sets = written(docs.mapInArrow(_sets, "doc_id long, k1 long, k2 long, n int, sign binary"), "sets")
     full = sets.where("n > 0 AND doc_id IS NOT NULL")
-    return sets, full.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("set_id"), F.min_by("sign", "doc_id").alias("sign"))
+    reps = written(full.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("set_id"), F.min_by("sign", "doc_id").alias("sign")), "classes")
+    keys = written(sets.drop("sign"), "keys")
+    forget(sets)
+    return keys, reps
 
 
 def similar_sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -300,9 +303,12 @@ def similar_sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
     grams = texts.mapInArrow(_with_grams, "cluster long, n_sets long, set_id long, sign binary, grams binary")
     pairs = _together(_in_blocks(grams, "cluster", CLUSTER_BLOCK), "cluster")
     found = written(pairs.mapInArrow(_verify, "set_id long, links long, root long"), "links")
+    forget(reps, clusters, members)
     groups = components(found.select(F.col("set_id").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("set_id").agg(F.sum("links").alias("n_links"))
-    return links.join(groups, links["set_id"] == groups["node"]).select("set_id", "n_links", "component")
+    out = written(links.join(groups, links["set_id"] == groups["node"]).select("set_id", "n_links", "component"), "linked")
+    forget(found, groups)
+    return out
 
 
 def _shorter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,11 +324,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """doc_id, set_id (least id with the same grams), class_id (least id of those tied by links), n_links (other sets)."""
     docs = documents(df, id_col, text_col)
     sets, reps = set_members(docs)
-    reps = written(reps, "classes")
     found = similar_sets(docs.where("doc_id IS NOT NULL"), reps.select("set_id", "sign"))
     classes = reps.select("k1", "k2", "n", "set_id").join(found, "set_id", "left")
     classes = classes.select("k1", "k2", "n", "set_id", F.coalesce("component", "set_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    classes = written(classes, "members")
     full = sets.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "k1", "k2", "n").join(classes, ["k1", "k2", "n"])
+    forget(reps, found)
     alone = sets.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("doc_id").alias("set_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return full.select("doc_id", "set_id", "class_id", "n_links").unionByName(alone)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 
 
 def _large(e: DataFrame) -> DataFrame:
@@ -30,8 +30,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         after = written(_small(_large(e)), "edges")
         same = lambda x: x.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         done = same(e) == same(after)
+        forget(e)
         e = after
         if done:
             break
     nodes = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return nodes.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    out = nodes.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    out.written_to = e.written_to  # for forget()
+    return out

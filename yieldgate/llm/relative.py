@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import Shape, covered, index_blocks, items_of, partitions, runs_of, settle_windows, span_lists, with_spans
-from .common import Rolling, chunks, documents, mix, raw_text, signed, words_of
+from .common import Rolling, chunks, documents, forget, mix, raw_text, signed, words_of, written
 
 WINDOW = 13
 ANCHOR = 5
@@ -74,7 +74,9 @@ def factor_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     at_ends = with_spans(docs, contested, "inner").select("doc_id", "text", "spans")
     windows = at_ends.mapInArrow(partial(_windows, window=window), "key long, doc_id long, lo int, known boolean")
     spans = windows.repartition(partitions(docs), "key").mapInArrow(_later, "doc_id long, lo int, many short")
-    return copied.unionByName(spans)
+    spans = written(copied.unionByName(spans), "spans")
+    forget(contested)
+    return spans
 
 
 def _kept(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
