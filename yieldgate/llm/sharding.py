@@ -1,12 +1,12 @@
 """Sharding by extendible hashing.
 
 A row's key is hashed once; a shard is a prefix of the hash bits. All rows start in the one shard of depth 0, and only
-shards above the byte limit split on their next bit, until each fits. The directory has a pointer for every prefix of
-the deepest shard's length, so placing a row is one lookup.
+shards above the byte limit split on their next bit, until each fits. The directory, indexed by prefixes, has one entry a
+shard; a row looks up its prefixes of the depths that occur.
 
 Defined results: rows with equal keys have equal hashes and no bit can part them; if such rows alone pass the limit,
-they are laid in turn on overflow pages of their shard (`page` 0, 1, ...), and a row larger than the limit has a page of
-its own. Null keys are one key; null texts count no bytes; an empty table gives an empty directory.
+they are laid in turn on overflow pages of their shard (`page` 0, 1, ...); a row larger than the limit is a shard by
+itself. Null keys are one key; null texts count no bytes; an empty table gives an empty directory.
 """
 
 from __future__ import annotations
@@ -50,10 +50,11 @@ def directory(sized: DataFrame, limit: int = LIMIT) -> DataFrame:
             cut = F.call_function("shiftright", F.col("cell"), F.lit(fine - d))
             sums = open_cells.groupBy(cut.alias("prefix")).agg(F.sum("n_bytes").alias("shard_bytes"), F.sum("n_rows").alias("shard_rows"))
             sums = written(sums, "prefixes")
-            fits = sums.where((F.col("shard_bytes") <= limit) | F.lit(d == BITS))
+            whole = (F.col("shard_bytes") <= limit) | (F.col("shard_rows") == 1) | F.lit(d == BITS)
+            fits = sums.where(whole)
             closed = fits.select(F.lit(d).alias("depth"), "prefix", "shard_bytes", "shard_rows")
             shards = closed if shards is None else shards.unionByName(closed)
-            over = sums.where((F.col("shard_bytes") > limit) & F.lit(d != BITS)).select("prefix")
+            over = sums.where(~whole).select("prefix")
             if not (n_over := over.count()):
                 return shards
             if d < fine:
@@ -74,14 +75,10 @@ def assign_shards(df: DataFrame, key: str = "doc_id", size: Column | None = None
     shards = written(directory(rows.select("bits", "n_bytes"), limit), "directory")
     deepest = shards.agg(F.max("depth"), F.count("*")).first()
     depth, n = deepest[0] or 0, deepest[1]
-    # The directory proper: pointers from prefixes to shards, for the depths that occur.
+    # A row looks its prefixes up, one for each depth that occurs, and finds the one that is a shard.
     depths = [r[0] for r in shards.select("depth").distinct().orderBy("depth").collect()]  # 61 at most
-    index = _small(shards, n)
     at = F.explode(F.array(*(F.struct(F.lit(d).alias("depth"), prefix(F.col("bits"), d).alias("prefix")) for d in depths or [0])))
-    if n <= BROADCAST_ROWS:
-        placed = rows.withColumn("at", at).select("row", "bits", "n_bytes", "at.*").join(index, ["depth", "prefix"])
-    else:
-        placed = rows.withColumn("cell", prefix(F.col("bits"), depth)).join(_pointers(shards, depth), "cell").drop("cell")
+    placed = rows.withColumn("at", at).select("row", "bits", "n_bytes", "at.*").join(_small(shards, n), ["depth", "prefix"])
     label = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.lpad(F.conv(F.col("prefix").cast("string"), 10, 2), F.col("depth"), "0"))
     page = F.lit(0).cast("long")
     if depth == BITS:
@@ -96,13 +93,6 @@ def assign_shards(df: DataFrame, key: str = "doc_id", size: Column | None = None
     return placed.select("row.*", shard.alias("shard"))
 
 
-def _pointers(shards: DataFrame, depth: int) -> DataFrame:
-    """The directory laid out: one pointer for each prefix of `depth` bits."""
-    low = F.call_function("shiftleft", F.col("prefix"), F.lit(depth) - F.col("depth"))
-    width = F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(depth) - F.col("depth"))
-    return shards.withColumn("cell", F.explode(F.sequence(low, low + width - 1)))
-
-
 def write_shards(df: DataFrame, path: str, limit: int = LIMIT, key: str = "doc_id") -> None:
     """Files of path/shard_id=.../page=...; each shard is written by one task and fits the limit."""
     out = assign_shards(df, key, limit=limit)
@@ -126,7 +116,7 @@ p AS (SELECT doc_id, n_bytes, bits, k AS depth, bits >> ({BITS} - k) AS prefix F
 s AS (SELECT depth, prefix, CAST(sum(n_bytes) AS BIGINT) AS shard_bytes, count(*) AS shard_rows FROM p GROUP BY ALL),
 f AS (SELECT p.doc_id, p.n_bytes, p.bits, p.depth, p.prefix, s.shard_bytes, s.shard_rows,
              row_number() OVER (PARTITION BY p.doc_id ORDER BY p.depth) AS k
-      FROM p JOIN s USING (depth, prefix) WHERE s.shard_bytes <= {LIMIT} OR depth = 30)
+      FROM p JOIN s USING (depth, prefix) WHERE s.shard_bytes <= {LIMIT} OR s.shard_rows = 1 OR depth = 30)
 SELECT doc_id, n_bytes, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), CAST(depth AS INTEGER), '0') END AS shard,
        CAST(depth AS INTEGER) AS depth, CAST(0 AS BIGINT) AS page, shard_bytes, shard_rows
 FROM f WHERE k = 1
