@@ -31,7 +31,7 @@ def lots_profile(lots: DataFrame) -> DataFrame:
 
 def column_profile(lots: DataFrame) -> DataFrame:
     """feature, n, n_missing, missing_frac, n_distinct (missing ones left out)."""
-    long = long_features(lots)
+    long = long_features(lots, keep=())
     a = long.groupBy("feature").agg(F.count("*").alias("n"), F.count("x").alias("n_present"), F.count_distinct("x").alias("n_distinct"))
     return a.select("feature", "n", (F.col("n") - F.col("n_present")).alias("n_missing"), (1 - ratio(F.col("n_present"), F.col("n"))).alias("missing_frac"), "n_distinct")
 
@@ -74,7 +74,7 @@ def semi_monthly(lots: DataFrame) -> DataFrame:
 def missingness_gap(lots: DataFrame, low: float = 0.02, high: float = 0.98, top: int = 10) -> DataFrame:
     """Features whose missing readings go with failures: the widest gaps between failure rates."""
     absent = F.col("x").isNull()
-    a = long_features(lots).groupBy("feature").agg(
+    a = long_features(lots, keep=("fail",)).groupBy("feature").agg(
         F.count("*").alias("n"), F.count_if(absent).alias("n_missing"),
         F.avg(F.when(absent, F.col("fail"))).alias("rate_missing"), F.avg(F.when(~absent, F.col("fail"))).alias("rate_present"),
     )
@@ -86,7 +86,7 @@ def welch_t(lots: DataFrame, least: int = 20, with_p: bool = True) -> DataFrame:
     """Welch's t between failed and passed lots for each feature with more than `least` readings on each side."""
     failed, passed = F.col("fail") == 1, F.col("fail") == 0
     side = lambda cond, f: f(F.when(cond, F.col("x")))
-    a = long_features(lots).groupBy("feature").agg(*(side(c, f).alias(f"{n}_{s}") for s, c in (("fail", failed), ("pass", passed)) for n, f in (("n", F.count), ("mean", F.avg), ("var", F.var_samp))))
+    a = long_features(lots, keep=("fail",)).groupBy("feature").agg(*(side(c, f).alias(f"{n}_{s}") for s, c in (("fail", failed), ("pass", passed)) for n, f in (("n", F.count), ("mean", F.avg), ("var", F.var_samp))))
     a = a.where((F.col("n_fail") > least) & (F.col("n_pass") > least) & ((F.col("var_fail") > 0) | (F.col("var_pass") > 0)))
     u, v = F.col("var_fail") / F.col("n_fail"), F.col("var_pass") / F.col("n_pass")
     t = (F.col("mean_fail") - F.col("mean_pass")) / F.sqrt(u + v)
