@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import zlib
 
 import numpy as np
 
@@ -71,3 +72,44 @@ def test_words_are_counted_once(spark, docs, rows):
         for w in pseudo.split(t or ""):
             want[w] = want.get(w, 0) + 1
     assert got == want
+
+
+def test_rare_and_unseen_words_are_told_apart(spark):
+    """At production settings: words of one bucket have the shares that the whole corpus gives them."""
+    same = [w for w in (f"rare{k}" for k in range(2000)) if zlib.crc32(w.encode()) % pseudo.BUCKETS == 7][:3]
+    often, once, never = same
+    text = [t for _, t in corpus(300, 4)]
+    filler = " ".join(f"fill{k} fill{k}" for k in range(pseudo.TOP))  # so that the words in question are not frequent
+    text += [filler] * 20 + [f"w1 {often} w2"] * 20 + [f"w1 {once} w2"]
+    df = spark.createDataFrame(list(enumerate(text)), "doc_id long, text string").repartition(2)
+    got = {r["doc_id"]: r["log_prob"] for r in pseudo.pseudo_likelihood(df).collect()}
+    n = len(text)
+    assert len({got[i] for i in range(n - 21, n - 1)}) == 1
+    assert abs(got[n - 2] - got[n - 1] - np.log(20.5 / 1.5)) < 1e-3
+
+    docs = documents(df)
+    counts, model = pseudo.word_counts(docs), pseudo.train(docs)
+    assert not {often, once} & set(model.top)
+    held = spark.createDataFrame([(k, f"w1 {w} w2") for k, w in enumerate(same)], "doc_id long, text string")
+    a, b, c = (r["log_prob"] for r in pseudo.score_words(documents(held), counts, model).orderBy("doc_id").collect())
+    assert a > b + 1 and b > c + 1
+    classes = {r["log_prob"] for r in pseudo.score(documents(held), model).collect()}
+    assert max(classes) - min(classes) < 1e-6
+
+
+def test_shares_of_a_bucket_are_one(spark):
+    counts = spark.createDataFrame([(f"v{k}", k % 5 + 1) for k in range(400)], "word string, n long")
+    mine = [k for k in range(400) if zlib.crc32(f"v{k}".encode()) % pseudo.BUCKETS == 3]
+    rows = [(k, k, b"", [f"v{k}"], [1]) for k in mine] + [(-1, -1, b"", [next(w for w in (f"x{k}" for k in range(999)) if zlib.crc32(w.encode()) % pseudo.BUCKETS == 3)], [1])]
+    codes = spark.createDataFrame(rows, "row long, doc_id long, tokens binary, words array<string>, times array<long>")
+    got = {r["row"]: np.exp(r["share"]) for r in pseudo.shares(codes, counts, []).collect()}
+    assert abs(sum(got[k] for k in mine) + len(mine) * got[-1] - 1) < 1e-6
+
+
+def test_production_rounds_learn_from_both_sides(spark):
+    docs = documents(spark.createDataFrame(corpus(400, 1), "doc_id long, text string").repartition(2))
+    counts, model = pseudo.word_counts(docs), pseudo.train(docs)
+    held = corpus(50, 2)
+    mixed = [(i, " ".join(random.Random(i).sample(t.split(), len(t.split())))) for i, t in held]
+    a, b = (np.mean([r["mean_log_prob"] for r in pseudo.score_words(documents(spark.createDataFrame(x, "doc_id long, text string")), counts, model).collect()]) for x in (held, mixed))
+    assert a > b + 0.5

@@ -4,9 +4,11 @@ A token is hidden and predicted from the `SIDE` tokens on each side of it by a w
 the window turns its token into hidden units, these go through tanh and a softmax over the vocabulary. A document's score
 is the sum of its tokens' conditional log-probabilities, its mean the sum by its tokens.
 
-The vocabulary has a bounded size: the most frequent words of the whole corpus, and buckets for all others. Word counts
-are shuffled from all documents. The network is trained in numpy by every map task on all its documents, from a common
-start; their networks, which are as small as the vocabulary, are averaged by tokens, and further rounds begin from there.
+The vocabulary is every word of the corpus, and grows with it. The network predicts a token's class: the most frequent
+words are classes by themselves, all others share buckets. A word's probability is that of its class in its window times
+its share of the class, which is read by a join from the counts of all words, shuffled from all documents; words that
+were never counted share what the counts leave. The network is trained in numpy by every map task on all its documents,
+from a common start; their networks are averaged by tokens, and further rounds begin from there.
 
 Defined results: a null or empty text has no tokens, score 0 and a null mean; a window that sticks out of the text sees
 the edge token; repeated rows score alike; other columns are kept out by name; a table without words gives scores of an
@@ -20,22 +22,25 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
-from itertools import chain
+from math import log
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, documents
+from .common import chunks, documents, written
 
-#: Tokens: EDGE, then frequent words, then buckets of other words.
+#: Classes: EDGE, then frequent words, then buckets of other words.
 TOP, BUCKETS = 95, 32
 SIZE = 1 + TOP + BUCKETS
 EDGE = 0
 SIDE = 2
 HIDDEN = 16
-BATCH, RATE, ROUNDS, SEED = 1024, 1.0, 1, 5
+BATCH, RATE, ROUNDS, SEED = 1024, 1.0, 3, 5
+#: What each word of a class is counted more than it was met, and as many uncounted words as counted ones are met. Sums of
+#: logarithms are taken of whole numbers, so that repeated rows have the same sum in any order.
+EXTRA, SCALE = 0.5, float(1 << 30)
 #: Words of a task that are counted before they are sent on, and words remembered with their token.
 COUNTED, REMEMBERED = 500_000, 300_000
 
@@ -123,14 +128,34 @@ def split(text: str) -> list[str]:
     return text.lower().split()
 
 
-def windows(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+def windows(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of all rows, and what each sees: SIDE tokens before it and SIDE behind it in its row."""
-    edge = [EDGE] * SIDE
-    flat = np.fromiter(chain(chain.from_iterable(chain(edge, r) for r in rows), edge), np.int16)
+    edge = np.full(SIDE, EDGE, "<i2").tobytes()
+    flat = np.frombuffer(edge + b"".join(r + edge for r in rows), "<i2")
     at = np.flatnonzero(flat)
     return flat[at], np.stack([flat[at + d] for d in range(-SIDE, SIDE + 1) if d], 1)
 
 
+def _code(batches: Iterator[pa.RecordBatch], top: list[str]) -> Iterator[pa.RecordBatch]:
+    tokens = Tokens(top)
+    for part in chunks(batches, "text", 1 << 19):
+        codes, words, times = [], [], []
+        for text in part.column("text").to_pylist():
+            found = split(text)
+            codes.append(np.array(tokens.of(found), "<i2").tobytes())
+            rest = {w: n for w, n in Counter(found).items() if w not in tokens.top}
+            words.append(list(rest.keys()))
+            times.append(list(rest.values()))
+        columns = [part.column("row"), part.column("doc_id"), pa.array(codes, pa.binary()), pa.array(words, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "tokens", "words", "times"])
+
+
+def coded(docs: DataFrame, top: list[str]) -> DataFrame:
+    """row, doc_id, tokens, and the words that share a bucket with how often each is met, of docs (doc_id, text)."""
+    numbered = docs.withColumn("row", F.monotonically_increasing_id())
+    return numbered.mapInArrow(partial(_code, top=top), "row long, doc_id long, tokens binary, words array<string>, times array<long>")
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def sent(counts: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
@@ -151,10 +176,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _train(batches: Iterator[pa.RecordBatch], top: list[str], weights: np.ndarray, rate: float) -> Iterator[pa.RecordBatch]:
-    network, tokens, seen = Network.of(weights), Tokens(top), 0
-    for part in chunks(batches, "text", 1 << 19):
-        token, window = windows([tokens.of(split(t)) for t in part.column("text").to_pylist()])
+def _train(batches: Iterator[pa.RecordBatch], weights: np.ndarray, rate: float) -> Iterator[pa.RecordBatch]:
+    network, seen = Network.of(weights), 0
+    for part in chunks(batches, "tokens", 1 << 18):
+        token, window = windows(part.column("tokens").to_pylist())
         for at in range(0, len(token), BATCH):
             network.learn(window[at : at + BATCH], token[at : at + BATCH], rate)
         seen += len(token)
@@ -174,24 +199,30 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Model:
-    """Frequent words and the network's weights; a few kilobytes, whatever the corpus."""
+    """Words that are classes by themselves and the weights of the network over classes.
+
+    The network's size is fixed; what grows with the corpus are the counts of word_counts(), which stay a table.
+    """
 
     top: list[str]
     weights: np.ndarray
 
 
-def train(docs: DataFrame, rounds: int = ROUNDS, rate: float = RATE) -> Model:
-    """A model of docs (doc_id, text): word counts of all, then rounds of training by all tasks on all documents."""
-    counts = word_counts(docs)
+def frequent(counts: DataFrame) -> tuple[list[str], np.ndarray]:
+    """The words that are classes by themselves, and the counts of all classes, one more for each."""
     best = counts.orderBy(F.desc("n"), "word").limit(TOP).collect()
     rest = counts.agg(F.sum("n")).first()[0] or 0
     share = np.full(SIZE, 1.0)
     share[1 : 1 + len(best)] += [r[1] for r in best]
     share[1 + TOP :] += max(0, rest - sum(r[1] for r in best)) / BUCKETS
+    return [r[0] for r in best], share
+
+
+def fit(codes: DataFrame, top: list[str], share: np.ndarray, rounds: int = ROUNDS, rate: float = RATE) -> Model:
+    """A model of the documents of coded(): rounds of training by all tasks on all documents."""
     weights = Network.start(np.log(share / share.sum())).flat()
-    top = [r[0] for r in best]
     for _ in range(rounds):
-        networks = docs.mapInArrow(partial(_train, top=top, weights=weights, rate=rate), "n long, weights binary")
+        networks = codes.select("tokens").mapInArrow(partial(_train, weights=weights, rate=rate), "n long, weights binary")
         # Networks are averaged in a few tasks before the driver averages what is left: 8 at most.
         found = networks.repartition(8).mapInArrow(_sum, "n long, weights binary").collect()
         if found:
@@ -199,26 +230,69 @@ def train(docs: DataFrame, rounds: int = ROUNDS, rate: float = RATE) -> Model:
     return Model(top, weights)
 
 
+def train(docs: DataFrame, rounds: int = ROUNDS, rate: float = RATE) -> Model:
+    """A model of docs (doc_id, text): word counts of all, then rounds of training by all tasks on all documents."""
+    top, share = frequent(written(word_counts(docs), "counts"))
+    return fit(written(coded(docs, top), "coded"), top, share, rounds, rate)
+
+
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    network, tokens = Network.of(model.weights), Tokens(model.top)
-    for part in chunks(batches, "text", 1 << 19):
-        rows = [tokens.of(split(t)) for t in part.column("text").to_pylist()]
+    network = Network.of(model.weights)
+    for part in chunks(batches, "tokens", 1 << 18):
+        rows = part.column("tokens").to_pylist()
         token, window = windows(rows)
         logs = np.empty(len(token))
         for at in range(0, len(token), BATCH):
             logs[at : at + BATCH] = network.log_probs(window[at : at + BATCH], token[at : at + BATCH])
-        size = np.array([len(r) for r in rows], np.int64)
+        size = np.array([len(r) // 2 for r in rows], np.int64)
         total = np.diff(np.r_[0.0, np.cumsum(logs)][np.r_[0, np.cumsum(size)]])
-        mean = pa.array(total / np.maximum(size, 1), mask=size == 0)
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size), pa.array(total), mean], names=["doc_id", "n_tokens", "log_prob", "mean_log_prob"])
+        yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), pa.array(size), pa.array(total)], names=["row", "doc_id", "n_tokens", "log_prob"])
+
+
+def _class_scores(codes: DataFrame, model: Model) -> DataFrame:
+    return codes.select("row", "doc_id", "tokens").mapInArrow(partial(_score, model=model), "row long, doc_id long, n_tokens long, log_prob double")
+
+
+def _with_mean(scored: DataFrame) -> DataFrame:
+    mean = F.try_divide(F.col("log_prob"), F.col("n_tokens"))
+    return scored.select("doc_id", "n_tokens", "log_prob", mean.alias("mean_log_prob"))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_tokens, log_prob, mean_log_prob of each row of docs (doc_id, text)."""
-    return docs.mapInArrow(partial(_score, model=model), "doc_id long, n_tokens long, log_prob double, mean_log_prob double")
+    """doc_id, n_tokens, log_prob, mean_log_prob of the classes of each row's tokens, of docs (doc_id, text)."""
+    return _with_mean(_class_scores(coded(docs, model.top), model))
+
+
+def shares(codes: DataFrame, counts: DataFrame, top: list[str]) -> DataFrame:
+    """row and share: the sum of its words' log-shares of their buckets, of rows of coded() with such words.
+
+    A word counted n times has (n + EXTRA) / (N + 2 EXTRA T) of a bucket with T words counted N times in all; as many
+    words again as were counted are taken to be still unmet, and have EXTRA each.
+    """
+    bucket = F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(BUCKETS)).cast("int")
+    rest = counts.where(~F.col("word").isin(top)) if top else counts
+    sums = {r["bucket"]: r["n"] + 2 * EXTRA * r["t"] for r in rest.groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n"), F.count("*").alias("t")).collect()}
+    whole = F.array(*(F.lit(log(sums.get(b, 2 * EXTRA))) for b in range(BUCKETS)))
+    met = codes.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
+    part = F.ln(F.coalesce(F.col("n"), F.lit(0)) + EXTRA) - F.get(whole, bucket)
+    joined = met.join(rest, "word", "left").select("row", (F.col("times") * F.round(part * SCALE).cast("long")).alias("part"))
+    return joined.groupBy("row").agg((F.sum("part") / SCALE).alias("share"))
+
+
+def _word_scores(codes: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
+    scored = _class_scores(codes, model).join(shares(codes, counts, model.top), "row", "left")
+    return _with_mean(scored.withColumn("log_prob", F.col("log_prob") + F.coalesce(F.col("share"), F.lit(0.0))))
+
+
+def score_words(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
+    """As score(), of the words themselves, under a model and the counts (word, n) of the corpus that it was trained on."""
+    return _word_scores(written(coded(docs, model.top), "coded"), counts, model)
 
 
 def pseudo_likelihood(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Scores of all documents under a model trained on all of them."""
+    """Scores of all documents, word by word, under a model trained on all of them."""
     docs = documents(df, id_col, text_col)
-    return score(docs, train(docs))
+    counts = written(word_counts(docs), "counts")
+    top, share = frequent(counts)
+    codes = written(coded(docs, top), "coded")
+    return _word_scores(codes, counts, fit(codes, top, share))
