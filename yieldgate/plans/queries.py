@@ -347,6 +347,22 @@ def folds(spark: SparkSession, sf_dir: str, policies: tuple[str, ...] = ("thresh
     return backtest.run_folds(scored, INSPECT, ESCAPE, CAPS, policies)
 
 
+def fitted_folds(spark: SparkSession, sf_dir: str, policies: tuple[str, ...] = ("threshold",), names: tuple[str, ...] = tuple(models.REGISTRY)) -> DataFrame:
+    """A backtest of the registry's models, fitted anew in every fold, in both regimes."""
+    lots = written(src.lots_events(spark, sf_dir), "lots")
+    return backtest.run_folds(models.fitted_folds(lots, names), INSPECT, ESCAPE, CAPS, policies)
+
+
+def ablation(lots: DataFrame, names: tuple[str, ...] = tuple(models.REGISTRY)) -> DataFrame:
+    """features (raw or augmented with each sensor's history) and the summary of the robust policy without a cap."""
+    out = None
+    for kind, table in (("raw", lots), ("augmented", written(history.augmented(lots), "augmented"))):
+        folds = backtest.run_folds(models.fitted_folds(table, names), INSPECT, ESCAPE, {"unconstrained": None}, ("robust",))
+        part = backtest.fold_summary(folds).select(F.lit(kind).alias("features"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 #: Backtest of the threshold policy, as far as the summaries below need it.
 BACKTEST = f"""
 sc AS (
@@ -417,7 +433,12 @@ def fold_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def backtest_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backtest.fold_summary(folds(spark, sf_dir, backtest.POLICIES))
+    return backtest.fold_summary(fitted_folds(spark, sf_dir, backtest.POLICIES))
+
+
+@query()
+def history_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ablation(written(src.lots_events(spark, sf_dir), "lots"))
 
 
 @query(f"WITH {LOTS}, {FOLDS}, {BACKTEST}, {REFERENCE} SELECT * FROM refs")
@@ -546,7 +567,7 @@ def impute_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def bootstrap_cost_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = written(folds(spark, sf_dir), "folds")
+    f = written(fitted_folds(spark, sf_dir), "folds")
     each = [
         inference.bootstrap_cost_ci(f.where(F.col("regime") == r), ["regime", "policy", "model"], action, INSPECT, ESCAPE, cap)
         for (r, cap), action in zip(CAPS.items(), ("inspect_all", "random_at_capacity"), strict=True)
@@ -556,7 +577,7 @@ def bootstrap_cost_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inference.permutation_test(folds(spark, sf_dir), ["regime", "policy", "model"])
+    return inference.permutation_test(fitted_folds(spark, sf_dir), ["regime", "policy", "model"])
 
 
 @query()
