@@ -48,6 +48,30 @@ def test_bound_is_a_bound():
     assert (cover >= demand - 1e-6).all()
 
 
+def test_priced_columns_carry_the_plan():
+    rng = np.random.default_rng(1)
+    lengths = np.arange(1, 1023)
+    demand = rng.integers(1, 200, len(lengths)).astype(float)
+    program = packing.Program(lengths, demand, 1024)
+    assert program.plain.all() and program.total() > 1.2 * program.ideal  # nothing but one length a pattern
+    program.solve()
+    alone = sum(x for p, x in zip(program.patterns, program.x, strict=True) if len(p) == 1)
+    assert program.ended == "gap" and program.total() <= 1.002 * program.bound and alone < 0.05 * program.x.sum()
+    assert program.entered > 500 and program.plain.sum() < 300
+
+
+def test_many_lengths_after_a_session(spark):
+    spark.range(10).count()
+    plan = packing.plan_patterns(dict.fromkeys(range(1, 1023), 10))
+    assert used(plan) == Counter(dict.fromkeys(range(1, 1023), 10))
+
+
+def test_long_white_space(vocab_path):
+    library = Tokenizer.from_file(vocab_path)
+    for text in (" " * 1_000_000, "x\n" + "\t " * 40_000 + "<|endoftext|> y", "a" * 100_000 + " " * 49_999):
+        assert packing.text_ids(text, vocab_path) == library.encode(text, add_special_tokens=False).ids
+
+
 def test_pieces_and_places(docs, empty, rows, vocab_path):
     library = Tokenizer.from_file(vocab_path)
     ids = defaultdict(list)

@@ -1,9 +1,9 @@
 """Packing token sequences by column generation for the cutting-stock problem.
 
 Documents become pieces: every full `capacity` tokens, then the rest. The histogram of piece lengths (never more than
-`capacity` numbers) goes to the driver, where a linear program over packing patterns is solved: knapsack dynamic
-programming prices new patterns, all of those that hold some length at once, until a bound shows that the program is
-within `GAP` of its optimum. Patterns are rounded down, what is left is filled by decreasing length, and each pattern's
+`capacity` numbers) goes to the driver, where a linear program over packing patterns is solved. It begins with one plain
+pattern a length; knapsack dynamic programming prices all other patterns, until a bound shows that the program is within
+`GAP` of its optimum or no pattern lowers its cost. Patterns are rounded down, what is left is filled by decreasing length, and each pattern's
 places are dealt to the pieces ranked within their length: a join with a table that grows with the number of lengths
 only. Ranks come from small salted groups, so a length that many pieces share is ranked by many tasks.
 
@@ -15,9 +15,10 @@ equal lengths are ranked by id and start; an empty table gives no pieces; other
 
 from __future__ import annotations
 
-import bisect
 import functools
 import math
+import re
+import warnings
 import zlib
 from collections.abc import Iterator
 
@@ -27,15 +28,20 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import PATTERN, vocabulary
+from .bpe import PATTERN, encoder, vocabulary
 from .common import chunks, documents, written
 
 CAPACITY = 1024
 END = 0
-#: Relative distance from the linear program's optimum at which pricing ends.
-GAP = 5e-4
-#: Lengths that the first patterns are filled up with.
-SPREAD = 512
+#: Pricing ends within this share of the linear program's optimum, or within one sequence of it.
+GAP = 1e-3
+#: Rounds of pricing at most; a warning tells if they end before that is proven.
+ROUNDS = 300
+#: While plain columns are driven out, how far multipliers are drawn to the best known ones, and how much more a long
+#: length is worth than its tokens, so that short ones are left to fill up with.
+DRAWN, LONGER = 0.9, 0.1
+#: What counts as nothing in costs and uses.
+TINY = 1e-9
 #: Rows that are ranked together, and the most groups of such rows (their counts are broadcast).
 GROUP_ROWS, GROUPS = 400, 100_000
 
@@ -45,89 +51,58 @@ def padded(fill: int, capacity: int = CAPACITY) -> int:
     return fill if fill & (fill - 1) == 0 else capacity
 
 
-def _reachable(lengths: list[int], capacity: int) -> int:
-    """Bit c is set where some multiset of lengths sums to c."""
-    mask, sums = (1 << (capacity + 1)) - 1, 1
-    for n in lengths:
-        step = n
-        while step <= capacity:
-            sums |= (sums << step) & mask
-            step *= 2
-    return sums
-
-
-def first_patterns(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[list[dict[int, int]], list[int], list[float]]:
-    """A basis to begin with: fill up for the largest length left, as far as sums allow, until some length is used up.
+class Program:
+    """min cost·x, A x >= demand, x >= 0 over patterns; a revised simplex method with an explicit inverse.
 
-    Gives patterns (index: copies), the length that each uses up, and how often each is taken. As no later pattern has
-    a length used up before, the patterns are independent.
+    The first basis is plain: every length fills sequences by itself. All other columns come from the knapsack program.
+    Arithmetic is elementwise: no linear-algebra library runs in the driver, whose threads may not survive a fork.
     """
-    left = demand.astype(np.float64).copy()
-    alive = list(range(len(lengths)))
-    patterns, used, times = [], [], []
-    while alive:
-        # A spread of the lengths that fit is enough to fill up with.
-        room = capacity - int(lengths[alive[-1]])
-        fits = alive[: bisect.bisect_right(alive, room, key=lambda k: int(lengths[k]))]
-        fits = fits if len(fits) <= SPREAD else fits[: SPREAD // 4] + fits[SPREAD // 4 :: -(-len(fits) // SPREAD)]
-        sizes = [int(lengths[k]) for k in fits]
-        sums = _reachable(sizes, room)
-        pattern = {alive[-1]: 1}
-        room = sums.bit_length() - 1
-        at = len(fits) - 1
-        while room > 0:
-            while sizes[at] > room or not sums >> (room - sizes[at]) & 1:
-                at -= 1
-            pattern[fits[at]] = pattern.get(fits[at], 0) + 1
-            room -= sizes[at]
-        often, k = min((left[k] / a, k) for k, a in pattern.items())
-        for j, a in pattern.items():
-            left[j] -= a * often
-        patterns.append(pattern)
-        used.append(k)
-        times.append(often)
-        alive.remove(k)
-    return patterns, used, times
-
-
-class Program:
-    """min cost·x, A x >= demand, x >= 0 over patterns; a revised simplex method with an explicit inverse."""
 
     def __init__(self, lengths: np.ndarray, demand: np.ndarray, capacity: int):
-        self.lengths, self.capacity = lengths, capacity
-        self.patterns, _, times = first_patterns(lengths, demand, capacity)
-        columns = np.zeros((len(lengths), len(lengths)))
-        for k, p in enumerate(self.patterns):
-            columns[list(p), k] = list(p.values())
+        self.lengths, self.demand, self.capacity = lengths, demand, capacity
+        copies = capacity // lengths
+        self.patterns: list[dict[int, int]] = [{k: int(a)} for k, a in enumerate(copies)]
+        self.plain = np.ones(len(lengths), bool)
         self.cost = np.array([self.cost_of(p) for p in self.patterns])
-        self.inverse = np.linalg.inv(columns)
-        self.x = np.maximum(np.array(times), 0.0)
-        self.y = self.cost @ self.inverse
-        self.ideal = float(lengths @ demand) / capacity
+        self.inverse = np.diag(1.0 / copies)
+        self.x = demand / copies
+        self.y = self.cost / copies
+        self.bound = self.ideal = float((lengths * demand).sum()) / capacity
+        #: The best multipliers known, which no pattern exceeds in worth; at first each token's share of a sequence.
+        self.center = lengths / capacity
+        self.rounds = self.entered = 0
+        self.ended = ""
 
     def cost_of(self, pattern: dict[int, int]) -> float:
         """Padded size in sequences; a surplus (one copy less) costs nothing."""
         fill = sum(int(self.lengths[k]) * a for k, a in pattern.items())
         return padded(fill, self.capacity) / self.capacity if fill > 0 else 0.0
 
-    def price(self) -> tuple[np.ndarray, np.ndarray]:
-        """Best value of patterns that fill exactly 0, 1, ... tokens, and the last length in each."""
+    def total(self) -> float:
+        return float((self.cost * self.x).sum())
+
+    def near(self, gap: float) -> bool:
+        """Whether the best bound known shows that the program is near its optimum."""
+        return self.total() <= max(self.bound * (1 + gap), self.bound + 1)
+
+    def price(self, worth: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Knapsack dynamic program over lengths `among`: best worth of exactly 0, 1, ... tokens, and the last place in among."""
+        lengths, worth = self.lengths[among], worth[among]
         value = np.full(self.capacity + 1, -np.inf)
         value[0] = 0.0
         last = np.zeros(self.capacity + 1, np.int64)
-        y, lengths = self.y, self.lengths
         fits = np.searchsorted(lengths, np.arange(self.capacity + 1), "right")
         for c in range(int(lengths[0]), self.capacity + 1):
             k = fits[c]
-            got = value[c - lengths[:k]] + y[:k]
+            got = value[c - lengths[:k]] + worth[:k]
             last[c] = at = int(got.argmax())
             value[c] = got[at]
         return value, last
 
-    def pattern(self, last: np.ndarray, fill: int, first: int | None = None) -> dict[int, int]:
+    def pattern(self, last: np.ndarray, among: np.ndarray, fill: int, first: int | None = None) -> dict[int, int]:
         out: dict[int, int] = {} if first is None else {first: 1}
         while fill > 0:
-            k = int(last[fill])
+            k = int(among[last[fill]])
             out[k] = out.get(k, 0) + 1
             fill -= int(self.lengths[k])
         return out
@@ -137,10 +112,10 @@ class Program:
         at = np.fromiter(pattern, np.int64)
         many = np.fromiter(pattern.values(), np.float64)
         cost = self.cost_of(pattern)
-        gain = float(self.y[at] @ many) - cost
-        if gain < 1e-9:
+        gain = float((self.y[at] * many).sum()) - cost
+        if gain < TINY:
             return False
-        u = self.inverse[:, at] @ many
+        u = (self.inverse[:, at] * many).sum(1)
         rows = np.flatnonzero(u > 1e-10)
         if not len(rows):
             return False
@@ -149,36 +124,70 @@ class Program:
         row = self.inverse[out] / u[out]
         touched = np.flatnonzero(np.abs(u) > 1e-12)
         live = np.flatnonzero(row)
-        self.inverse[np.ix_(touched, live)] -= np.outer(u[touched], row[live])
+        self.inverse[np.ix_(touched, live)] -= np.multiply.outer(u[touched], row[live])
         self.inverse[out] = row
         self.x = np.maximum(self.x - step * u, 0.0)
         self.x[out] = step
-        self.patterns[out], self.cost[out] = pattern, cost
+        self.patterns[out], self.cost[out], self.plain[out] = pattern, cost, False
         self.y = self.y - gain * row
+        self.entered += 1
         return True
 
-    def solve(self, gap: float = GAP, rounds: int = 120, per_round: int = 48) -> float:
-        """Generates columns until the cost is within `gap` of the bound; gives the bound."""
-        powers = [1 << k for k in range(self.capacity.bit_length()) if 1 << k < self.capacity]
-        bound = self.ideal
-        for _ in range(rounds):
-            for k in np.flatnonzero(self.y < -1e-9).tolist():
-                self.enter({k: -1})
-            cost = float(self.cost @ self.x)
-            if cost <= bound * (1 + gap):
-                break
-            value, last = self.price()
-            best = np.maximum.accumulate(value)
-            fill = np.maximum.accumulate(np.where(value >= best, np.arange(len(value)), 0))
-            holding = self.y + best[self.capacity - self.lengths]
-            rate = max(float(holding.max()), *(value[c] * self.capacity / c for c in powers))
-            if self.y.min() >= -1e-9:
-                bound = max(bound, cost / max(1.0, rate))
-            new = [self.pattern(last, c) for c in powers if value[c] * self.capacity / c > 1 + 1e-9]
-            new += [self.pattern(last, int(fill[self.capacity - self.lengths[k]]), int(k)) for k in np.argsort(-holding)[:per_round]]
-            if not sum(self.enter(p) for p in new):
+    def _round(self, among: np.ndarray, per_round: int, smooth: float) -> int:
+        """Prices columns over lengths `among` and enters those that lower the cost; lengths in common keep for later."""
+        self.rounds += 1
+        whole = len(among) == len(self.lengths)
+        center = self.center if whole else self.center * (1 + LONGER * self.center)
+        worth = smooth * center + (1 - smooth) * np.maximum(self.y, 0.0)
+        value, last = self.price(worth, among)
+        best = np.maximum.accumulate(value)
+        fill = np.maximum.accumulate(np.where(value >= best, np.arange(len(value)), 0))
+        if whole:
+            powers = [1 << k for k in range(self.capacity.bit_length()) if 1 << k < self.capacity]
+            rate = max(1.0, float((worth + best[self.capacity - self.lengths]).max()), *(value[c] * self.capacity / c for c in powers))
+            if (low := float((worth * self.demand).sum()) / rate) > self.bound:
+                self.bound, self.center = low, worth / rate
+            entered = sum(self.enter(self.pattern(last, among, c)) for c in powers if np.isfinite(value[c]))
+            order = among[np.argsort(-(worth + best[self.capacity - self.lengths]))]
+        else:
+            entered, order = 0, among[::-1]
+        used: set[int] = set()
+        for k in order.tolist():
+            if entered >= per_round:
                 break
-        return bound
+            if k in used:
+                continue
+            pattern = self.pattern(last, among, int(fill[self.capacity - self.lengths[k]]), k)
+            if not used & pattern.keys():
+                used |= pattern.keys()
+                entered += self.enter(pattern)
+        return entered
+
+    def solve(self, gap: float = GAP, rounds: int = ROUNDS, per_round: int = 16) -> float:
+        """Generates columns until the cost is near the bound or no column lowers it; gives the bound.
+
+        While lengths still fill sequences by themselves, columns are priced among these, long ones first, so that
+        each one drives a plain column out; then among all. Multipliers are drawn towards the best ones known, less
+        so whenever no column is found. `ended` tells what ended the search: gap, optimum or rounds.
+        """
+        smooth, plain, everything = DRAWN, True, np.arange(len(self.lengths))
+        while not self.near(gap):
+            if self.rounds >= rounds:
+                self.ended = "rounds"
+                return self.bound
+            if plain:
+                open_ = np.flatnonzero(self.plain & (self.x > TINY))
+                plain = len(open_) > 0 and self._round(open_, per_round, DRAWN) > 0
+                continue
+            for k in np.flatnonzero(self.y < -TINY).tolist():
+                self.enter({k: -1})
+            if not self._round(everything, per_round, smooth):
+                if not smooth:
+                    self.ended = "optimum"
+                    return self.bound
+                smooth = smooth / 2 if smooth > 0.05 else 0.0
+        self.ended = "gap"
+        return self.bound
 
 
 def plan_patterns(histogram: dict[int, int], capacity: int = CAPACITY, gap: float = GAP) -> list[tuple[dict[int, int], int]]:
@@ -190,6 +199,8 @@ def plan_patterns(histogram: dict[int, int], capacity: int = CAPACITY, gap: floa
     lengths = np.array(sorted(rest), np.int64)
     program = Program(lengths, np.array([rest[int(n)] for n in lengths], np.float64), capacity)
     program.solve(gap)
+    if program.ended == "rounds":
+        warnings.warn(f"packing: {program.rounds} rounds of pricing end {program.total() / program.bound - 1:.2%} above the bound", stacklevel=2)
     left = np.array([rest[int(n)] for n in lengths], np.int64)
     for extra in (False, True):  # whole parts first, then fractions, large ones first, as long as pieces are left
         for k in np.argsort(-(program.x - np.floor(program.x + 1e-9))):
@@ -263,17 +274,28 @@ def fast_encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=vocab.special)
 
 
+#: A run of white space this long is too much for the compiled pre-tokenizer; such texts go through the transducer.
+_LONG_SPACE = re.compile(r"\s{50000}")
+
+
+def text_ids(text: str, path: str) -> list[int]:
+    """The ids of a text, special tokens as themselves."""
+    coder = fast_encoding(path)
+    if len(text) >= 50_000 and _LONG_SPACE.search(text):
+        return encoder(path).encode(text).tolist()
+    if any(s in text for s in coder.special_tokens_set):
+        return coder.encode(text, allowed_special="all")
+    return coder.encode_ordinary(text)
+
+
 _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iterator[pa.RecordBatch]:
-    coder = fast_encoding(path)
-    special = list(coder.special_tokens_set)
     for part in chunks(batches, "text"):
         rows = []
         for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-            plain = not any(s in text for s in special)
-            ids = coder.encode_ordinary(text) if plain else coder.encode(text, allowed_special="all")
+            ids = text_ids(text, path)
             ids.append(END)
             data = np.array(ids, "<u4").tobytes()
             rows.extend((doc_id, at, min(capacity, len(ids) - at), zlib.crc32(data[4 * at : 4 * (at + capacity)]), len(ids)) for at in range(0, len(ids), capacity))
