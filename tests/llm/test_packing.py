@@ -56,7 +56,7 @@ def test_priced_columns_carry_the_plan():
     assert program.plain.all() and program.total() > 1.2 * program.ideal  # nothing but one length a pattern
     program.solve()
     alone = sum(x for p, x in zip(program.patterns, program.x, strict=True) if len(p) == 1)
-    assert program.ended == "gap" and program.total() <= 1.002 * program.bound and alone < 0.05 * program.x.sum()
+    assert program.ended == "gap" and program.total() <= 1.002 * program.bound and alone < 0.2 * program.x.sum()
     assert program.entered > 500 and program.plain.sum() < 300
 
 
