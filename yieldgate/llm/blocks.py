@@ -9,9 +9,12 @@ is a block for every ten to twenty windows, which is what makes the shuffle smal
 ones, those of the first document with their contents whose anchor has other contents too that agree on one side of it
 as far as a window must reach there: only their windows need a closer look.
 
-Equal blocks that meet in a map task are settled there, so that no block, however frequent, brings more rows to the
-shuffle than there are map tasks. Anchors that many blocks have are found on a sample and dealt out by contents; that
-decides only where a row goes, not what comes out.
+Equal blocks that a map task gathers together are settled there, so that a block, however frequent, brings one row to
+the shuffle for every GATHER blocks read. Anchors that many blocks have are found on a sample of documents from everywhere in
+the table and dealt out by contents; that decides only where a row goes, not what comes out. Spark sorts the blocks and
+tasks compare them anchor by anchor; one with more blocks than a task should hold has them all contested.
+
+Blocks are equal if 128 bits agree: 32 of the anchor's hash, 16 of each side's and 64 of the contents'.
 """
 
 from __future__ import annotations
@@ -26,12 +29,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTES, GOLDEN, Rolling, chunks, mix, raw_text, signed, word_hashes, words_of, written
+from .common import _BYTES, GOLDEN, Rolling, chunks, forget, mix, raw_text, signed, word_hashes, words_of, written
 
-#: Blocks that a map task gathers before it sends them on.
-GATHER = 1 << 20
-#: Least documents of the sample for frequent anchors; an anchor with this part of a partition's blocks is frequent.
-SAMPLE_DOCS, FREQUENT = 2000, 1 / 4
+#: Blocks that a map task gathers before it sends them on, and blocks that are compared at once.
+GATHER, AT_ONCE = 1 << 18, 1 << 16
+#: Most blocks of one anchor that are compared with each other.
+HELD = 1 << 16
+#: Documents of the sample for frequent anchors, on average; an anchor with this part of a partition's blocks is frequent.
+SAMPLE_DOCS, FREQUENT = 2000, 1 / 32
+#: Blocks for each shuffle partition at most, as the sample tells.
+PART_BLOCKS = 1 << 20
 _LOW = np.uint64(21)
 _ROLL = Rolling(101)
 _COPIED, _CONTESTED = 0, 1
@@ -165,44 +172,94 @@ def _count(batches: Iterator[pa.RecordBatch], shape: Shape) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([pa.array(signed(anchor >> _UPPER))], names=["anchor"])
 
 
-def frequent_anchors(docs: DataFrame, shape: Shape, parts: int) -> list[int]:
+def sampled_anchors(docs: DataFrame, shape: Shape, parts: int) -> tuple[DataFrame, int]:
+    """anchor, count over a sample of documents by a hash of their ids, and how many documents one of it stands for."""
+    share = max(1, docs.count() // max(SAMPLE_DOCS, parts))
+    sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(97)), F.lit(share)) == 0)
+    return written(sample.mapInArrow(partial(_count, shape=shape), "anchor long").groupBy("anchor").count(), "anchors"), share
+
+
+def frequent_anchors(anchors: DataFrame, parts: int) -> list[int]:
     """Anchors with more than FREQUENT of a partition's share of a sample's blocks; parts / FREQUENT of them at most."""
-    sample = docs.limit(max(SAMPLE_DOCS, parts))
-    blocks = sample.mapInArrow(partial(_count, shape=shape), "anchor long").groupBy("anchor").count()
-    total = blocks.agg(F.sum("count")).first()[0] or 0
-    return [r[0] for r in blocks.where(F.col("count") > max(20, total * FREQUENT / parts)).select("anchor").collect()]
+    total = anchors.agg(F.sum("count")).first()[0] or 0
+    return [r[0] for r in anchors.where(F.col("count") > max(20, total * FREQUENT / parts)).select("anchor").collect()]
+
+
+_INDEX_SQL = "kind byte, key long, doc_id long, lo int, many int"
 
 
-_INDEX_SQL = "kind byte, key long, doc_id long, lo int, many short"
+def _found(kind: int, key: np.ndarray, doc: np.ndarray, lo: np.ndarray, many: np.ndarray, alone: np.ndarray | None = None) -> pa.RecordBatch:
+    columns = [np.full(len(doc), kind, np.int8), pa.array(signed(key), mask=alone), doc, lo.astype(np.int32), many.astype(np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["kind", "key", "doc_id", "lo", "many"])
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], rows: int, most: int) -> Iterator[tuple[pa.Table, bool]]:
+    """Rows sorted by their first column, `rows` or more at a time and never part of a group.
+
+    But a group of more than `most` rows comes in parts, and true goes with each of them.
+    """
+    held: list[pa.RecordBatch] = []
+    n, crowded = 0, None  # the key of the group whose parts are being given
+
+    def split(last: bool) -> Iterator[tuple[pa.Table, bool]]:
+        nonlocal held, n, crowded
+        table = pa.Table.from_batches(held).combine_chunks()
+        keys = table.column(0).to_numpy()
+        if crowded is not None:
+            end = int(np.searchsorted(keys, crowded, "right"))
+            if end:
+                yield table.slice(0, end), True
+            if end < len(keys) or last:
+                crowded = None
+            table, keys = table.slice(end), keys[end:]
+        cut = len(keys) if last or not len(keys) else int(np.searchsorted(keys, keys[-1]))
+        if cut:
+            yield table.slice(0, cut), False
+            table = table.slice(cut)
+        if table.num_rows > most:
+            crowded = keys[-1]
+            yield table, True
+            table = table.slice(table.num_rows)
+        held, n = table.to_batches(), table.num_rows
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= rows:
+                yield from split(False)
+    if n:
+        yield from split(True)
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All rows of a partition, which holds whole anchors: copies of earlier blocks, and contested first ones."""
-    got = [b for b in batches if b.num_rows]
-    if not got:
-        return
-    rows = pa.Table.from_batches(got)
-    anchor, contents, doc, place = (rows.column(k).to_numpy() for k in range(4))
-    lo, many = place >> _SHIFT, place & _MANY
-    settled = place & _COPIED_BIT > 0
-    out = [(doc[settled], lo[settled], many[settled], np.zeros(int(settled.sum()), np.int64), _COPIED)]
-    anchor, contents, doc, lo, many, place = (x[~settled] for x in (anchor, contents, doc, lo, many, place))
-    if len(anchor):
-        order = np.lexsort((doc, contents, anchor))
-        anchor, contents, doc, lo, many, place = (x[order] for x in (anchor, contents, doc, lo, many, place))
-        anchor = anchor.view(np.uint64)
-        frequent = place & _FREQUENT_BIT > 0
+    """Copies of earlier blocks, and contested first ones; rows come in the order of anchor, contents and document."""
+    before = None  # the block that the last rows of a crowded anchor had, and its least document
+    for rows, crowded in whole_groups(batches, AT_ONCE, HELD):
+        _, anchor, contents, doc, place = (rows.column(k).to_numpy() for k in range(5))
+        lo, many = place >> _SHIFT, place & _MANY
+        settled = place & _COPIED_BIT > 0
+        if settled.any():
+            yield _found(_COPIED, anchor[settled].view(np.uint64) * np.uint64(0), doc[settled], lo[settled], many[settled])
+            anchor, contents, doc, lo, many, place = (x[~settled] for x in (anchor, contents, doc, lo, many, place))
+        if not len(anchor):
+            continue
+        anchor, contents = anchor.view(np.uint64), contents.view(np.uint64)
         head = np.r_[True, (anchor[1:] != anchor[:-1]) | (contents[1:] != contents[:-1])]
-        least = doc[np.flatnonzero(head)][np.cumsum(head) - 1]
-        copied = doc > least
-        several = _several(anchor >> np.uint64(16), head) | _several(anchor & ~np.uint64(0xFFFF0000), head)
+        least = doc[np.flatnonzero(head)]
+        if before is not None and before[:2] == (anchor[0], contents[0]):
+            least[0] = min(least[0], before[2])
+        before = (anchor[-1], contents[-1], least[-1])
+        copied = doc > least[np.cumsum(head) - 1]
+        frequent = place & _FREQUENT_BIT > 0
+        frequent |= crowded
+        several = np.zeros(len(anchor), bool) if crowded else _several(anchor >> np.uint64(16), head) | _several(anchor & ~np.uint64(0xFFFF0000), head)
         contested = ~copied & (several | frequent)
-        out.append((doc[copied], lo[copied], many[copied], np.zeros(int(copied.sum()), np.int64), _COPIED))
-        # Blocks of a frequent anchor have no key in common: null, and each of their windows goes its own way.
-        key = pa.array(signed(anchor[contested] >> _UPPER), mask=frequent[contested])
-        out.append((doc[contested], lo[contested], many[contested], key, _CONTESTED))
-    for d, a, n, key, kind in out:
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), kind, np.int8)), pa.array(key) if isinstance(key, np.ndarray) else key, pa.array(d), pa.array(a.astype(np.int32)), pa.array(n.astype(np.int16))], names=["kind", "key", "doc_id", "lo", "many"])
+        if copied.any():
+            yield _found(_COPIED, anchor[copied] * np.uint64(0), doc[copied], lo[copied], many[copied])
+        if contested.any():
+            # Blocks of a frequent or crowded anchor have no key in common: null, and each of their windows goes its own way.
+            yield _found(_CONTESTED, anchor[contested] >> _UPPER, doc[contested], lo[contested], many[contested], frequent[contested])
 
 
 def _several(key: np.ndarray, head: np.ndarray) -> np.ndarray:
@@ -215,21 +272,27 @@ def _several(key: np.ndarray, head: np.ndarray) -> np.ndarray:
     return out
 
 
-def partitions(df: DataFrame, rows: int = 0) -> int:
-    """As many shuffle partitions as the session asks for; more if `rows` need them to stay small."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // (1 << 20)))
+def partitions(df: DataFrame, rows: int = 0, each: int = 1) -> int:
+    """As many shuffle partitions as the session asks for; more if `rows` need them to have `each` rows at most."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
+
 
+def index_blocks(docs: DataFrame, shape: Shape) -> tuple[DataFrame, DataFrame, int]:
+    """Copied and contested blocks of docs (doc_id, text), and the number of partitions that they were dealt to.
 
-def index_blocks(docs: DataFrame, shape: Shape) -> tuple[DataFrame, DataFrame]:
-    """(copied, contested) blocks of docs (doc_id, text): doc_id, lo, many; contested ones with a key that equal windows share."""
-    parts = partitions(docs)
-    hot = frequent_anchors(docs, shape, parts)
-    rows = docs.mapInArrow(partial(_map, shape=shape, hot=hot), _ROWS_SQL)
-    found = rows.repartition(parts, F.shiftrightunsigned("anchor", 32)).mapInArrow(_compare, _INDEX_SQL)
-    found = written(found, "blocks")
+    Blocks are doc_id, lo, many; contested ones have a key that equal windows share, too.
+    """
+    sample, share = sampled_anchors(docs, shape, partitions(docs))
+    blocks = share * (sample.agg(F.sum("count")).first()[0] or 0)
+    parts = partitions(docs, blocks, PART_BLOCKS)
+    hot = frequent_anchors(sample, parts)
+    forget(sample)
+    rows = docs.mapInArrow(partial(_map, shape=shape, hot=hot), _ROWS_SQL).select(F.shiftrightunsigned("anchor", 32).alias("group"), "*")
+    sorted_ = rows.repartition(parts, "group").sortWithinPartitions("group", "anchor", "contents", "doc_id")
+    found = written(sorted_.mapInArrow(_compare, _INDEX_SQL), "blocks")
     contested = found.where(F.col("kind") == _CONTESTED).select("key", "doc_id", "lo", "many")
     contested.written_to = found.written_to  # for forget()
-    return found.where(F.col("kind") == _COPIED).select("doc_id", "lo", "many"), contested
+    return found.where(F.col("kind") == _COPIED).select("doc_id", "lo", "many"), contested, parts
 
 
 def spans_by_doc(spans: DataFrame) -> DataFrame:
@@ -259,16 +322,6 @@ def covered(offsets: np.ndarray, row: np.ndarray, lo: np.ndarray, size: np.ndarr
     return np.cumsum(marks[:n]) > 0
 
 
-def settle_windows(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Which windows need no comparison any more, as a smaller document here has the same key."""
-    order = np.lexsort((doc, key))
-    head = np.r_[True, key[order][1:] != key[order][:-1]]
-    least = doc[order][np.flatnonzero(head)][np.cumsum(head) - 1]
-    out = np.zeros(len(key), bool)
-    out[order] = doc[order] > least
-    return out
-
-
 def runs_of(row: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index and size of each run of windows that follow one another in one row; sorted."""
     new = np.r_[True, (np.diff(begin) != 1) | (np.diff(row) != 0)]

@@ -1,10 +1,11 @@
 """Substring dedup by relative Lempel-Ziv parsing.
 
 The reference is every document with a smaller id, cut into content-defined blocks of words that overlap by a window
-less one word; all of them are indexed (`index_blocks`). A document is factored against that index: a factor is a run
-of blocks, each of which the reference holds, so it is a window (13 words) long at least and is a duplicate span. Where
-factors end, the parse left blocks whose anchor the reference knows with other contents: there every window is checked
-by itself against the windows of those reference blocks, so that no window across a boundary is missed.
+less one word; all of them are indexed (`index_blocks`). Blocks that the reference holds as a whole are factors as they
+are. In the other blocks whose anchor the reference knows, a greedy parse goes from left to right: the longest match of
+the words from here on, found through a table of the reference blocks' windows and compared word by word, is a factor;
+behind it the parse goes on with the first window that reaches over the factor's end, so none across a boundary is
+missed. Words that begin no match of 13 words are literals. Factors are 13 words long at least, and are duplicate spans.
 
 Words are `[^\\x20\\x09-\\x0D]+`, unchanged. Defined results: a null or empty text has no words; documents shorter than a
 window lose nothing; rows with the same id are versions of one document (see suffix.py) and null ids take no part; of
@@ -19,62 +20,126 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Shape, covered, index_blocks, items_of, partitions, runs_of, settle_windows, span_lists, with_spans
-from .common import Rolling, chunks, documents, forget, mix, raw_text, signed, words_of, written
+from .blocks import Shape, covered, index_blocks, span_lists, with_spans
+from .common import chunks, documents, forget, mix, raw_text, signed, words_of, written
 
 WINDOW = 13
 ANCHOR = 5
-_ROLL = Rolling(307)
+#: What stands between words where contents are compared.
+SPACE = b" "
 
 
 def shape(window: int = WINDOW) -> Shape:
     return Shape("words", window, min(ANCHOR, window))
 
 
-def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """The windows at factor boundaries: key, doc_id, lo, known (a smaller document has it already)."""
-    for part in chunks(batches, "text"):
-        words, offsets = items_of(*raw_text(part.column("text")), "words")
+def _bodies(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """The contested blocks' words, one space between them: key, doc_id, lo, body.
+
+    Blocks of frequent anchors come window by window, with keys of their own; those that a smaller document here has
+    too have no body.
+    """
+    for part in chunks(batches, "text", 1 << 19):
+        data, offsets = raw_text(part.column("text"))
+        starts, ends, counts = words_of(data, offsets)
+        inner = np.r_[0, np.cumsum(counts)]
         row, lo, many = span_lists(part.column("spans"))
-        fits = offsets[row] + lo + many + window - 1 <= offsets[row + 1]
-        row, lo, many = row[fits], lo[fits], many[fits]
-        lo = np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        row = np.repeat(row, many)
-        begin = offsets[row] + lo
-        key = mix(_ROLL.slices(_ROLL.sums(words), begin, begin + window))
+        keys = part.column("spans").flatten().field(2)
+        alone = keys.is_null().to_numpy(zero_copy_only=False)
+        keys = pc.fill_null(keys, 0).to_numpy(zero_copy_only=False)
+        fits = inner[row] + lo + many + window - 1 <= inner[row + 1]
+        row, lo, many, alone, keys = (x[fits] for x in (row, lo, many, alone, keys))
+        size = np.where(alone, many, 1)
+        lo = np.repeat(lo, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        row, many, keys, alone = np.repeat(row, size), np.repeat(np.where(alone, 1, many), size), np.repeat(keys, size), np.repeat(alone, size)
+        # All words once, each with a space behind it: a block is a slice of that.
+        letters = ends - starts
+        place = np.r_[0, np.cumsum(letters + 1)]
+        flat = np.full(int(place[-1]), SPACE[0], np.uint8)
+        to = np.arange(letters.sum()) - np.repeat(np.cumsum(letters) - letters, letters)
+        flat[to + np.repeat(place[:-1], letters)] = data[to + np.repeat(starts, letters)]
+        first = inner[row] + lo
+        begin, end = place[first], place[first + many + window - 1] - 1
+        body = flat.tobytes()
+        bodies = [body[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
         doc = part.column("doc_id").to_numpy(zero_copy_only=False)[row]
-        known = settle_windows(key, doc) if len(key) else np.zeros(0, bool)
-        key = np.where(known, mix(begin.astype(np.uint64)), key)
-        yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(doc), pa.array(lo.astype(np.int32)), pa.array(known)], names=["key", "doc_id", "lo", "known"])
-
-
-def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows that a smaller document has, as runs; a partition holds whole keys."""
-    got = [b for b in batches if b.num_rows]
-    if not got:
-        return
-    rows = pa.Table.from_batches(got)
-    key, doc, lo, known = (rows.column(k).to_numpy() for k in range(4))
-    hit = known.copy()
-    hit[~known] = settle_windows(key[~known], doc[~known])
-    doc, lo = doc[hit], lo[hit].astype(np.int64)
-    if len(doc):
-        order = np.lexsort((lo, doc))
-        doc, lo = doc[order], lo[order]
-        first, size = runs_of(doc, lo)
-        yield pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(lo[first].astype(np.int32)), pa.array(np.minimum(size, 1 << 14).astype(np.int16))], names=["doc_id", "lo", "many"])
+        if alone.any():
+            least: dict[bytes, int] = {}
+            at = np.flatnonzero(alone)
+            for k in at[np.argsort(doc[at], kind="stable")].tolist():
+                known = least.setdefault(bodies[k], int(doc[k])) < doc[k]
+                keys[k] = signed(mix(np.array([k], np.uint64)))[0] if known else int.from_bytes(hashlib.blake2b(bodies[k], digest_size=8).digest(), "little", signed=True)
+                bodies[k] = b"" if known else bodies[k]
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(doc), pa.array(lo.astype(np.int32)), pa.array(bodies, pa.binary())], names=["key", "doc_id", "lo", "body"])
+
+
+class Reference:
+    """Blocks of smaller documents under one anchor, and a table of their windows: block and place of the first one.
+
+    `blocks.HELD` bounds it: an anchor with more blocks than that has its windows sent each by itself.
+    """
+
+    def __init__(self, window: int = WINDOW):
+        self.window = window
+        self.blocks: list[list[bytes]] = []
+        self.table: dict[bytes, tuple[int, int]] = {}
+
+    def add(self, words: list[bytes]) -> None:
+        self.blocks.append(words)
+        for k in range(len(words) - self.window + 1):
+            self.table.setdefault(SPACE.join(words[k : k + self.window]), (len(self.blocks) - 1, k))
+
+    def factors(self, words: list[bytes]) -> Iterator[tuple[int, int]]:
+        """Place and length of the factors of words, by a greedy parse from left to right."""
+        at, w = 0, self.window
+        while at + w <= len(words):
+            found = self.table.get(SPACE.join(words[at : at + w]))
+            if found is None:
+                at += 1
+                continue
+            block, k = self.blocks[found[0]], found[1] + w
+            end = at + w
+            while end < len(words) and k < len(block) and words[end] == block[k]:
+                end, k = end + 1, k + 1
+            yield at, end - at
+            at = end - w + 1  # the first window that reaches over the factor's end
+
+
+def _parse(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Factors as spans of windows, of blocks in the order of key and document."""
+    key, doc, waiting = None, None, []
+    reference = Reference(window)
+    for batch in batches:
+        out: list[tuple[int, int, int]] = []
+        for k, d, lo, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if not body:
+                out.append((d, lo, 1))
+                continue
+            if k != key:
+                key, doc, waiting, reference = k, d, [], Reference(window)
+            elif d != doc:
+                for words in waiting:
+                    reference.add(words)
+                doc, waiting = d, []
+            words = body.split(SPACE)
+            out.extend((d, lo + at, length - window + 1) for at, length in reference.factors(words))
+            waiting.append(words)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "lo", "many"])
 
 
 def factor_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Duplicate spans (doc_id, lo, many): windows that start in a smaller document too."""
-    copied, contested = index_blocks(docs.where("doc_id IS NOT NULL"), shape(window))
-    at_ends = with_spans(docs, contested, "inner").select("doc_id", "text", "spans")
-    windows = at_ends.mapInArrow(partial(_windows, window=window), "key long, doc_id long, lo int, known boolean")
-    spans = windows.repartition(partitions(docs), "key").mapInArrow(_later, "doc_id long, lo int, many short")
-    spans = written(copied.unionByName(spans), "spans")
+    copied, contested, parts = index_blocks(docs.where("doc_id IS NOT NULL"), shape(window))
+    lists = contested.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "many", "key")).alias("spans")).withColumnRenamed("doc_id", "span_doc")
+    at_ends = docs.join(lists, docs["doc_id"] == lists["span_doc"]).select("doc_id", "text", "spans")
+    blocks = at_ends.mapInArrow(partial(_bodies, window=window), "key long, doc_id long, lo int, body binary")
+    in_order = blocks.repartition(parts, "key").sortWithinPartitions("key", "doc_id")
+    spans = written(copied.unionByName(in_order.mapInArrow(partial(_parse, window=window), "doc_id long, lo int, many int")), "spans")
     forget(contested)
     return spans
 

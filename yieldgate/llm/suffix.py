@@ -1,11 +1,15 @@
-"""Substring dedup by suffix sorting with a difference cover.
+"""Substring dedup by a distributed difference-cover sort.
 
 Which bytes of a document lie in a 50-byte string that also starts in an earlier document? `index_blocks` first settles
-what whole content-defined blocks tell and leaves the contested blocks, about which suffixes must be sorted. Equal
-windows share the key that blocks are dealt by, so every partition can sort its own suffixes: triples at positions 1 and
-2 modulo 3 are sorted and named, the names are sorted recursively until names differ or cover the length in question,
-the remaining suffixes are merged in by one letter and the rank behind it, and then the prefixes of neighbours are
-compared, letter by letter.
+what whole content-defined blocks tell and leaves contested ones. Of their strings those stay whose hash another
+document has too; hashes only rule strings out. The rest is decided by sorting bytes across the cluster:
+
+Positions 1 and 2 modulo 3 of a document are the sample. Each brings a triple of letters, (length - 2) / 3 bytes a
+letter, and up to two bytes on each side. Spark sorts the triples by range partitions, and equal neighbours have one
+name. Two strings, wherever they start, reach sampled positions after the same 0, 1 or 2 bytes (that is what makes 1 and
+2 a difference cover), so they are equal if the bytes before these, the names and the bytes behind the triples are:
+that merges the strings at all positions in one walk along the sorted sample, comparing neighbours. As a triple and two
+bytes are the whole string, the names of the first sort are final and there is nothing to recurse on.
 
 Defined results: a null or empty text is kept as it is; documents shorter than the length lose nothing; rows with the
 same id are versions of one document (nothing is removed on account of another version, and a span found in one is cut
@@ -26,104 +30,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import Shape, covered, index_blocks, partitions, runs_of, settle_windows, span_lists, with_spans
+from .blocks import Shape, covered, index_blocks, runs_of, span_lists, whole_groups, with_spans
 from .common import _BYTES, Rolling, chunks, documents, forget, mix, raw_text, signed, written
 
 LENGTH = 50
 ANCHOR = 12
 _ROLL = Rolling(211)
-#: Bytes whose suffixes are sorted at once, but for a key that has more.
-SORT_BYTES = 1 << 20
-#: Suffixes that a task compares at once.
-AT_ONCE = 1 << 16
+#: Contested blocks that are looked at together, and most of one key.
+BLOCKS, HELD = 1 << 14, 1 << 17
+#: Bytes of text that are cut into samples at once, and samples that are compared at once.
+CUT_BYTES, SAMPLES = 1 << 18, 1 << 16
+#: Positions modulo 3 that are sampled, and the bytes by which strings at any two positions are shifted into the sample.
+COVER, SHIFTS = (1, 2), (0, 1, 2)
 
 
 def shape(length: int = LENGTH) -> Shape:
     return Shape("bytes", length, min(ANCHOR, length))
 
 
-def _names(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, bool]:
-    """Names (ranks from 1) of triples, and whether all differ."""
-    if max(a.max(), b.max(), c.max()) < 1 << 21:
-        order = np.argsort((a << 42) | (b << 21) | c)
-    else:
-        order = np.lexsort((c, b, a))
-    a, b, c = a[order], b[order], c[order]
-    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])]
-    names = np.empty(len(order), np.int64)
-    names[order] = np.cumsum(new)
-    return names, bool(new.all())
-
-
-def suffix_array(letters: np.ndarray) -> np.ndarray:
-    """Starts of the suffixes of letters (positive integers) in order, by the difference cover {1, 2} modulo 3."""
-    n = len(letters)
-    if n < 3:
-        return np.array(sorted(range(n), key=lambda i: letters[i:].tolist()), np.int64)
-    t = np.r_[letters, 0, 0, 0].astype(np.int64)
-    # The empty suffix joins the sample where a last zero asks for the rank behind it.
-    ones, twos = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)
-    sample = np.r_[ones, twos]
-    names, distinct = _names(t[sample], t[sample + 1], t[sample + 2])
-    rank = np.zeros(n + 4, np.int64)
-    if distinct:
-        rank[sample] = names
-    else:
-        shorter = np.r_[names[: len(ones)], 0, names[len(ones) :]] + 1  # the least letter parts ones from twos
-        order = suffix_array(shorter)
-        place = np.empty(len(shorter), np.int64)
-        place[order] = np.arange(1, len(shorter) + 1)
-        rank[ones], rank[twos] = place[: len(ones)], place[len(ones) + 1 :]
-    wide = 2 * n + 8
-    zeros, ones = np.arange(0, n, 3), ones[ones < n]
-    zeros = zeros[np.argsort(t[zeros] * wide + rank[zeros + 1])]
-    ones, twos = ones[np.argsort(rank[ones])], twos[np.argsort(rank[twos])]
-    # Zeros and ones compare by a letter and the rank behind it, twos and ones by rank, twos and zeros by a letter and
-    # the place behind it among zeros and ones.
-    first = _merge(zeros, t[zeros] * wide + rank[zeros + 1], ones, t[ones] * wide + rank[ones + 1])
-    place = np.zeros(n + 4, np.int64)
-    place[first] = np.arange(1, len(first) + 1)
-    before = np.searchsorted(t[zeros] * wide + place[zeros + 1], t[twos] * wide + place[twos + 1]) + np.searchsorted(rank[ones], rank[twos])
-    out, taken = np.empty(n, np.int64), np.zeros(n, bool)
-    at = before + np.arange(len(twos))
-    out[at] = twos
-    taken[at] = True
-    out[~taken] = first
-    return out
-
-
-def _merge(a: np.ndarray, a_keys: np.ndarray, b: np.ndarray, b_keys: np.ndarray) -> np.ndarray:
-    """Both in the order of their keys, which are sorted."""
-    out = np.empty(len(a) + len(b), np.int64)
-    at = np.searchsorted(b_keys, a_keys, "left") + np.arange(len(a))
-    mask = np.ones(len(out), bool)
-    mask[at] = False
-    out[at] = a
-    out[mask] = b
+def known_copies(hashes: np.ndarray, doc: np.ndarray, data: np.ndarray, begin: np.ndarray, width: int, sides: np.ndarray | None = None) -> np.ndarray:
+    """Which strings of data a smaller document here has too, with the same sides: found by hash, compared by bytes."""
+    order = np.lexsort((doc, hashes))
+    new = np.r_[True, np.diff(hashes[order]) != 0][: len(order)]
+    model = np.empty_like(order)
+    model[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    out = doc > doc[model] if sides is None else (doc > doc[model]) & (sides == sides[model])
+    at, step = np.flatnonzero(out), np.arange(width)
+    for k in range(0, len(at), SAMPLES):
+        some = at[k : k + SAMPLES]
+        out[some] = (data[begin[some][:, None] + step] == data[begin[model[some]][:, None] + step]).all(1)
     return out
 
 
-def repeated(texts: np.ndarray, starts: np.ndarray, docs: np.ndarray, length: int) -> np.ndarray:
-    """Which of `starts`, places in texts, begin a string of `length` bytes that begins in a smaller document too.
-
-    docs has the document of each start; strings must not run over the end of a text.
-    """
-    owner = np.full(len(texts), -1, np.int64)
-    owner[starts] = np.arange(len(starts))
-    order = suffix_array(texts.astype(np.int64) + 1)
-    order = order[owner[order] >= 0]
-    same = np.zeros(len(order), bool)
-    step = np.arange(length)
-    for at in range(1, len(order), AT_ONCE):
-        to = min(len(order), at + AT_ONCE)
-        cells = texts[order[at - 1 : to][:, None] + step]
-        same[at:to] = (cells[1:] == cells[:-1]).all(1)
-    group = np.cumsum(~same) - 1
-    doc = docs[owner[order]]
-    least = np.minimum.reduceat(doc, np.flatnonzero(~same)) if len(order) else doc
-    out = np.zeros(len(starts), bool)
-    out[owner[order]] = doc > least[group]
-    return out
+def spread(doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Numbers that deal rows out evenly."""
+    return mix(doc.astype(np.uint64) << np.uint64(24) ^ place.astype(np.uint64))
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -143,66 +84,174 @@ def _cut_out(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
         begin, sizes = offsets[row] + lo, many + length - 1
         doc = part.column("doc_id").to_numpy(zero_copy_only=False)[row]
         if alone.any():
-            sums = _ROLL.sums(_BYTES[data])
-            keys = np.where(alone, signed(mix(_ROLL.slices(sums, begin, begin + sizes))), keys)
-            known = np.zeros(len(row), bool)
-            known[alone] = settle_windows(keys[alone], doc[alone])
-            sizes = np.where(known, 0, sizes)
-            keys = np.where(known, signed(mix(begin.astype(np.uint64))), keys)
+            hashes = mix(_ROLL.slices(_ROLL.sums(_BYTES[data]), begin, begin + sizes))
+            at = np.flatnonzero(alone)
+            known = at[known_copies(hashes[at], doc[at], data, begin[at], length)]
+            sizes[known] = 0
+            hashes[known] = spread(doc[known], lo[known])
+            keys = np.where(alone, signed(hashes), keys)
         inner = np.r_[0, np.cumsum(sizes)]
         at = np.arange(inner[-1]) + np.repeat(begin - inner[:-1], sizes)
         body = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(inner.astype(np.int32)), pa.py_buffer(data[at])])
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(doc), pa.array(lo.astype(np.int32)), body], names=["key", "doc_id", "lo", "body"])
 
 
-def _sort(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Repeated windows as spans. Keys are sorted some at a time, so that arrays stay as small as SORT_BYTES allows."""
-    got = [b for b in batches if b.num_rows]
-    if not got:
-        return
-    rows = pa.Table.from_batches(got)
-    sizes = pc.binary_length(rows.column("body")).to_numpy().astype(np.int64)
-    key = rows.column("key").to_numpy()
-    order = np.argsort(key, kind="stable")
-    last = np.flatnonzero(np.r_[key[order][1:] != key[order][:-1], True]) + 1  # ends of keys
-    filled = np.cumsum(sizes[order])
-    at = 0
-    while at < len(order):
-        before = filled[at - 1] if at else 0
-        k = int(np.searchsorted(filled[last - 1], before + SORT_BYTES, "right")) - 1
-        to = int(last[max(k, int(np.searchsorted(last, at, "right")))])
-        yield from _sort_part(rows.take(order[at:to]), sizes[order[at:to]], length)
-        at = to
-
-
-def _sort_part(rows: pa.Table, sizes: np.ndarray, length: int) -> Iterator[pa.RecordBatch]:
-    doc, lo = rows.column("doc_id").to_numpy(), rows.column("lo").to_numpy().astype(np.int64)
-    texts = np.frombuffer(b"".join(rows.column("body").to_pylist()), np.uint8)
-    many = np.where(sizes, sizes - (length - 1), 0)
-    row = np.repeat(np.arange(len(doc)), many)
-    nth = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-    hit = np.flatnonzero(repeated(texts, (np.cumsum(sizes) - sizes)[row] + nth, doc[row], length))
-    known = np.flatnonzero(sizes == 0)
-    doc, begin = np.r_[doc[row[hit]], doc[known]], np.r_[lo[row[hit]] + nth[hit], lo[known]]
-    if len(doc):
-        order = np.lexsort((begin, doc))
-        doc, begin = doc[order], begin[order]
-        first, size = runs_of(doc, begin)
-        yield pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(begin[first].astype(np.int32)), pa.array(np.minimum(size, 1 << 14).astype(np.int16))], names=["doc_id", "lo", "many"])
+def _candidates(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Runs (doc_id, lo, body) of strings whose hash two documents have under one key; known copies as they come.
+
+    Of a key with too many blocks to look at together all strings are candidates.
+    """
+    for rows, crowded in whole_groups(batches, BLOCKS, HELD):
+        key, doc, lo = rows.column(0).to_numpy(), rows.column(1).to_numpy(), rows.column(2).to_numpy().astype(np.int64)
+        data, offsets = raw_text(rows.column(3).combine_chunks().cast(pa.large_binary()))
+        size = np.diff(offsets)
+        many = np.maximum(size - (length - 1), 0)
+        row = np.repeat(np.arange(len(doc)), many)
+        begin = np.arange(len(row)) + np.repeat(offsets[:-1] - (np.cumsum(many) - many), many)
+        if crowded:
+            hit = np.ones(len(row), bool)
+        else:
+            hashes = mix(_ROLL.slices(_ROLL.sums(_BYTES[data]), begin, begin + length) ^ mix(key.view(np.uint64))[row])
+            order = np.argsort(hashes)
+            new = np.r_[True, np.diff(hashes[order]) != 0][: len(order)]
+            first, group = np.flatnonzero(new), np.cumsum(new) - 1
+            owner = doc[row[order]]
+            hit = np.zeros(len(row), bool)
+            if len(order):
+                hit[order] = (np.minimum.reduceat(owner, first) < np.maximum.reduceat(owner, first))[group]
+        row, begin = row[hit], begin[hit]
+        if len(row):
+            first, run = runs_of(row, begin)
+            yield _bodies(doc[row[first]], (lo - offsets[:-1])[row[first]] + begin[first], data, begin[first], run + length - 1)
+        known = size == 0
+        if known.any():
+            yield _bodies(doc[known], lo[known], data, offsets[:-1][known], size[known])
+
+
+def _bodies(doc: np.ndarray, lo: np.ndarray, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+    """doc_id, lo, body: slices of data."""
+    inner = np.r_[0, np.cumsum(size)]
+    at = np.arange(inner[-1]) + np.repeat(begin - inner[:-1], size)
+    body = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(inner.astype(np.int32)), pa.py_buffer(data[at])])
+    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(lo.astype(np.int32)), body], names=["doc_id", "lo", "body"])
+
+
+_SAMPLE_SQL = "text binary, doc_id long, place int, sides long"
+#: Above these bits of sides: how many bytes there are before and behind the triple, and whether an earlier document is
+#: known to have it with the same ones; below, the bytes: nearest and next before, nearest and next behind.
+_COUNTS = 32
+
+
+def _samples(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """The sampled triples of runs, with up to two bytes on each side.
+
+    Those that a smaller document here has with the same sides, byte by byte, need no comparison and go wherever there
+    is room, so that a triple brings no more rows to one task than there are tasks here.
+    """
+    span = length - 2
+    for part in chunks(batches, "body", CUT_BYTES):
+        doc, lo = part.column("doc_id").to_numpy(), part.column("lo").to_numpy().astype(np.int64)
+        data, offsets = raw_text(part.column("body").cast(pa.large_binary()))
+        many = np.maximum(np.diff(offsets) - span + 1, 0)
+        copies = np.flatnonzero(many == 0)
+        if len(copies):
+            away = spread(doc[copies], lo[copies])
+            yield _sampled(away.view(np.uint8).reshape(-1, 8), span, doc[copies], lo[copies], np.full(len(copies), (2 << 2 | 1 << 4) << _COUNTS))
+        row = np.repeat(np.arange(len(doc)), many)
+        begin = np.arange(len(row)) + np.repeat(offsets[:-1] - (np.cumsum(many) - many), many)
+        place = begin - offsets[row] + lo[row]
+        sampled = np.isin(place % 3, COVER)
+        row, begin, place = row[sampled], begin[sampled], place[sampled]
+        if not len(row):
+            continue
+        doc = doc[row]
+        before, behind = np.minimum(2, begin - offsets[row]), np.minimum(2, offsets[row + 1] - begin - span)
+        wide = np.r_[np.zeros(2, np.uint8), data, np.zeros(2, np.uint8)].astype(np.int64)
+        sides = wide[begin + 1] * (before > 0) | wide[begin] * (before > 1) << 8 | wide[begin + span + 2] * (behind > 0) << 16 | wide[begin + span + 3] * (behind > 1) << 24
+        sides |= (before | behind << 2) << _COUNTS
+        text = data[begin[:, None] + np.arange(span)]
+        hashes = mix(_ROLL.slices(_ROLL.sums(_BYTES[data]), begin, begin + span) ^ mix(sides.view(np.uint64)))
+        known = known_copies(hashes, doc, data, begin, span, sides)
+        sides |= known.astype(np.int64) << _COUNTS + 4
+        away = spread(doc[known], place[known]).view(np.uint8).reshape(-1, 8)[:, :span]
+        text[known, : away.shape[1]] = away
+        yield _sampled(text, span, doc, place, sides)
+
+
+def _sampled(text: np.ndarray, span: int, doc: np.ndarray, place: np.ndarray, sides: np.ndarray) -> pa.RecordBatch:
+    if text.shape[1] != span:
+        text = np.pad(text[:, :span], ((0, 0), (0, max(0, span - text.shape[1]))))
+    ends = np.arange(0, span * len(doc) + 1, span, dtype=np.int32)
+    flat = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(text))])
+    return pa.RecordBatch.from_arrays([flat, pa.array(doc), pa.array(place.astype(np.int32)), pa.array(sides)], names=["text", "doc_id", "place", "sides"])
+
+
+def _repeats(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Spans of strings that a smaller document has too, from samples in the order of triple and document."""
+    span = length - 2
+    carried: tuple[bytes, dict[int, int]] = (b"", {})  # a crowded triple and, for its sides, the least document so far
+    for rows, crowded in whole_groups(batches, SAMPLES, SAMPLES):
+        text = raw_text(rows.column(0).combine_chunks().cast(pa.large_binary()))[0].reshape(-1, span)
+        doc, place, sides = rows.column(1).to_numpy(), rows.column(2).to_numpy().astype(np.int64), rows.column(3).to_numpy()
+        before, behind, known = sides >> _COUNTS & 3, sides >> _COUNTS + 2 & 3, sides >> _COUNTS + 4 & 1 > 0
+        name = np.cumsum(np.r_[False, (text[1:] != text[:-1]).any(1)])
+        keys, docs, starts, sure = [], [], [], []
+        for d in SHIFTS:
+            near = (sides >> 16 & 0xFFFF, sides & 0xFF | sides >> 8 & 0xFF00, sides & 0xFFFF)[d]
+            fits = (before >= d) & (behind >= 2 - d)
+            keys.append((name << 18 | d << 16 | near)[fits])
+            docs.append(doc[fits])
+            starts.append((place - d)[fits])
+            sure.append(known[fits])
+        key, owner, start, sure = (np.concatenate(x) for x in (keys, docs, starts, sure))
+        hit = sure.copy()
+        key, asked = key[~sure], np.flatnonzero(~sure)
+        if len(key):
+            order = np.lexsort((owner[asked], key))
+            head = np.r_[True, np.diff(key[order]) != 0]
+            least = owner[asked][order][np.flatnonzero(head)]
+            if crowded:
+                label = rows.column(0)[0].as_py()
+                if carried[0] != label:
+                    carried = (label, {})
+                for k, at in enumerate(key[order][head].tolist()):
+                    least[k] = carried[1][at] = min(int(least[k]), carried[1].get(at, int(least[k])))
+            hit[asked[order]] = owner[asked][order] > least[np.cumsum(head) - 1]
+        owner, start = owner[hit], start[hit]
+        if len(owner):
+            order = np.lexsort((start, owner))
+            owner, start = owner[order], start[order]
+            new = np.r_[True, (np.diff(owner) != 0) | (np.diff(start) != 0)]
+            owner, start = owner[new], start[new]
+            first, size = runs_of(owner, start)
+            yield pa.RecordBatch.from_arrays([pa.array(owner[first]), pa.array(start[first].astype(np.int32)), pa.array(size.astype(np.int32))], names=["doc_id", "lo", "many"])
+
+
+def repeated_strings(runs: DataFrame, length: int, parts: int) -> DataFrame:
+    """Spans (doc_id, lo, many) of starts of strings in runs (doc_id, lo, body) that start in a smaller document's too.
+
+    runs are read twice, the first time for the bounds of the ranges by which Spark sorts.
+    """
+    samples = runs.mapInArrow(partial(_samples, length=length), _SAMPLE_SQL)
+    in_order = samples.repartitionByRange(parts, "text").sortWithinPartitions("text", "doc_id")
+    return in_order.mapInArrow(partial(_repeats, length=length), "doc_id long, lo int, many int")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Spans (doc_id, lo, many) of starts of repeated strings, in docs (doc_id, text)."""
-    copied, contested = index_blocks(docs.where("doc_id IS NOT NULL"), shape(length))
+    if length < 4:
+        raise ValueError("strings of fewer than four bytes have no triples")
+    copied, contested, parts = index_blocks(docs.where("doc_id IS NOT NULL"), shape(length))
     lists = contested.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "many", "key")).alias("spans"))
     lists = lists.withColumnRenamed("doc_id", "span_doc")
     bodies = docs.join(lists, docs["doc_id"] == lists["span_doc"]).select("doc_id", "text", "spans")
     bodies = bodies.mapInArrow(partial(_cut_out, length=length), "key long, doc_id long, lo int, body binary")
-    # A key's windows meet in one partition; of a frequent anchor, whose blocks have keys of their own, each window goes alone.
-    spans = bodies.repartition(partitions(docs), "key").mapInArrow(partial(_sort, length=length), "doc_id long, lo int, many short")
+    # A key's strings meet in one task; of a frequent anchor, whose blocks have keys of their own, each string goes alone.
+    met = bodies.repartition(parts, "key").sortWithinPartitions("key")
+    runs = written(met.mapInArrow(partial(_candidates, length=length), "doc_id long, lo int, body binary"), "runs")
     # Written, so that what led to them can go before texts are dealt out again.
-    spans = written(copied.unionByName(spans), "spans")
-    forget(contested)
+    spans = written(copied.unionByName(repeated_strings(runs, length, parts)), "spans")
+    forget(contested, runs)
     return spans
 
 
