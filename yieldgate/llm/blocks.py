@@ -287,9 +287,11 @@ def index_blocks(docs: DataFrame, shape: Shape) -> tuple[DataFrame, DataFrame, i
     parts = partitions(docs, blocks, PART_BLOCKS)
     hot = frequent_anchors(sample, parts)
     forget(sample)
-    rows = docs.mapInArrow(partial(_map, shape=shape, hot=hot), _ROWS_SQL).select(F.shiftrightunsigned("anchor", 32).alias("group"), "*")
-    sorted_ = rows.repartition(parts, "group").sortWithinPartitions("group", "anchor", "contents", "doc_id")
-    found = written(sorted_.mapInArrow(_compare, _INDEX_SQL), "blocks")
+    rows = docs.mapInArrow(partial(_map, shape=shape, hot=hot), _ROWS_SQL)
+    group = F.shiftrightunsigned("anchor", 32)
+    in_order = rows.repartition(parts, group).sortWithinPartitions("anchor", "contents", "doc_id")
+    # Groups in the order of signed anchors: the upper half goes before the lower one, and both rise.
+    found = written(in_order.select(F.shiftright("anchor", 32).alias("group"), "*").mapInArrow(_compare, _INDEX_SQL), "blocks")
     contested = found.where(F.col("kind") == _CONTESTED).select("key", "doc_id", "lo", "many")
     contested.written_to = found.written_to  # for forget()
     return found.where(F.col("kind") == _COPIED).select("doc_id", "lo", "many"), contested, parts
