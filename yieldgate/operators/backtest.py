@@ -7,6 +7,8 @@ relational and runs for all models and folds at once.
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +54,16 @@ def time_split(lots: DataFrame, n: int | None = None) -> DataFrame:
     return with_ranges(lots, [((part,), a, b) for part, (a, b) in split_bounds(n).items()], ["part"])
 
 
+def until(lots: DataFrame, end: datetime) -> DataFrame:
+    """Lots up to a time, all lots of that time too (unlike a range of positions)."""
+    return lots.where(F.col("ts") <= F.lit(end))
+
+
+def between(lots: DataFrame, start: datetime, end: datetime) -> DataFrame:
+    """Lots of a span of time, both ends included."""
+    return lots.where(F.col("ts").between(F.lit(start), F.lit(end)))
+
+
 def split_summary(lots: DataFrame) -> DataFrame:
     """Size, failures and times of each part."""
     a = time_split(lots).groupBy("part").agg(F.count("*").alias("n"), F.sum("fail").alias("n_fail"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
@@ -163,6 +175,25 @@ def reference_costs(folds: DataFrame, inspect: float, escape: float) -> DataFram
     return out.select("regime", "r.action", "r.cost", "r.feasible", (F.col("r.place") == F.col("b.place")).alias("is_best"))
 
 
+def by_kind(folds: DataFrame, prefix: str) -> DataFrame:
+    """kind (whether the baseline's action begins with prefix), n_rows and the regimes it occurs in, as text."""
+    kind = F.col("baseline_action").startswith(prefix)
+    regimes = F.array_join(F.array_sort(F.collect_set("regime")), ",")
+    return folds.groupBy(kind.alias("kind")).agg(F.count("*").alias("n_rows"), regimes.alias("regimes"))
+
+
+def winners(folds: DataFrame, inspect: float, escape: float) -> DataFrame:
+    """model, policy of every configuration that some regime finds cheaper than all policies without a model."""
+    return better_configs(folds, inspect, escape).where("better").select("model", "policy").distinct()
+
+
+def better_configs(folds: DataFrame, inspect: float, escape: float) -> DataFrame:
+    """fold_summary with the reference's action and cost, and `better`: totals are compared, as an average could win by its last bit."""
+    best = reference_costs(folds, inspect, escape).where("is_best").select("regime", F.col("action").alias("reference_action"), F.col("cost").alias("reference_cost"))
+    rows = fold_summary(folds).join(F.broadcast(best), "regime")
+    return rows.withColumn("better", F.round(F.col("total_model") - F.col("reference_cost") * F.col("eval_lots"), 3) < 0)
+
+
 def fold_summary(folds: DataFrame) -> DataFrame:
     """For each configuration: spread of savings over folds, medians, pooled costs and catches."""
     s = F.col("saving")
@@ -181,10 +212,7 @@ def fold_summary(folds: DataFrame) -> DataFrame:
 
 def dominance(folds: DataFrame, inspect: float, escape: float) -> DataFrame:
     """regime, n_configs, n_better (cheaper than every feasible policy without a model), the cheapest one and its cost."""
-    best = reference_costs(folds, inspect, escape).where("is_best").select("regime", F.col("action").alias("reference_action"), F.col("cost").alias("reference_cost"))
-    rows = fold_summary(folds).join(F.broadcast(best), "regime")
-    # Totals are compared: an average could win by its last bit.
-    better = F.round(F.col("total_model") - F.col("reference_cost") * F.col("eval_lots"), 3) < 0
+    rows, better = better_configs(folds, inspect, escape), F.col("better")
     cheapest = F.min(F.struct("total_model", "model", "policy", "cost_per_lot"))
     a = rows.groupBy("regime", "reference_action", "reference_cost").agg(F.count("*").alias("n_configs"), F.count_if(better).alias("n_better"), cheapest.alias("c"))
     return a.select("regime", "reference_action", "reference_cost", "n_configs", "n_better", F.col("c.model").alias("cheapest_model"), F.col("c.policy").alias("cheapest_policy"), F.col("c.cost_per_lot").alias("cheapest_cost"))

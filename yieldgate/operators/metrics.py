@@ -104,3 +104,18 @@ def calibration_curve(scored: DataFrame, bins: int = 8, keys: list[str] | None =
     inner = F.slice(F.col("edges"), 2, bins - 1)
     rows = scored.join(F.broadcast(edges), keys).withColumn("bin", F.size(F.filter(inner, lambda e: e <= F.col("p"))))
     return rows.groupBy(*keys, "bin").agg(F.count("*").alias("n"), F.avg("p").alias("mean_p"), F.avg("y").alias("observed"))
+
+
+def linear_importance(rows: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """feature, importance: mean absolute Shapley value, which for a linear score is weight * (value - mean).
+
+    A missing reading stands at the mean.
+    """
+    means = rows.agg(*(F.avg(c).alias(f"_mean_{c}") for c in weights))
+    parts = rows.crossJoin(F.broadcast(means)).agg(*(F.avg(F.abs(F.lit(w) * F.coalesce(F.col(c) - F.col(f"_mean_{c}"), F.lit(0.0)))).alias(c) for c, w in weights.items()))
+    return parts.unpivot([], list(weights), "feature", "importance")
+
+
+def top_features(ranking: DataFrame, n: int = 15) -> DataFrame:
+    """The n features with the largest importance; of equals the first by name."""
+    return ranking.orderBy(F.desc("importance"), "feature").limit(n)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from yieldgate.functions import power
 from yieldgate.operators import backtest, decision, drift, history, inference, metrics, models, prep, profile
-from yieldgate.plans.shared import written
+from yieldgate.plans.shared import shared_dir, written
 from yieldgate.sources import lots as src
 
 INSPECT, ESCAPE, CAP = 2000, 60000, 0.2
@@ -249,11 +251,40 @@ def optimal_flag_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each[0].unionByName(each[1])
 
 
-@query()
+def bounds_sql(asked: str) -> str:
+    """CTE `bound` (id, side, p): the rate p at which a binomial of n trials has at most j successes with probability target.
+
+    asked is SQL with columns id, side, j, n, target; bisection, as the probability falls with the rate.
+    """
+    at_most = "list_sum(list_transform(range(0, CAST(j + 1 AS BIGINT)), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(m) + (n - i) * ln(1 - m))))"
+    return f"""
+halves AS (
+  SELECT id, side, CAST(j AS DOUBLE) AS j, CAST(n AS DOUBLE) AS n, target, CAST(0 AS DOUBLE) AS low, CAST(1 AS DOUBLE) AS high, CAST(0.5 AS DOUBLE) AS m, 0 AS step FROM ({asked})
+  UNION ALL SELECT id, side, j, n, target, low, high, (low + high) / 2, step + 1
+  FROM (SELECT id, side, j, n, target, step, CASE WHEN {at_most} > target THEN m ELSE low END AS low, CASE WHEN {at_most} > target THEN high ELSE m END AS high FROM halves WHERE step < 60)),
+bound AS (SELECT id, side, m AS p FROM halves WHERE step = 60)"""
+
+
+def _robust_sql(regime: str, cap: float) -> str:
+    e = f"({ESCAPE} * inflation)"
+    cost = f"(n_flagged * {INSPECT} + (total_k - caught) * {e})"
+    return f"""(WITH {_cuts_sql(_grid_sql(cap))}
+SELECT '{regime}' AS regime, cuts.model, rate AS target_flag_rate, above, total_n AS n, n_flagged, n_flagged / total_n AS flag_rate, caught, total_k - caught AS missed,
+       caught / nullif(total_k, 0) AS catch_rate, n_flagged * {INSPECT} AS inspect_cost, round((total_k - caught) * {e}) AS escape_cost, round({cost}) AS total_cost,
+       round({cost} / total_n * 10000) / 10000 AS cost_per_lot, observed AS base_rate_observed, round(upper * 1000000) / 1000000 AS base_rate_upper, round(inflation * 1000000) / 1000000 AS escape_inflation
+FROM cuts, up ORDER BY CASE WHEN total_k > 0 THEN {cost} WHEN upper * {ESCAPE} > {INSPECT} THEN -rate ELSE rate END, rate LIMIT 1)"""
+
+
+@query(f"""
+WITH RECURSIVE {LOTS}, {LADDER}, t AS (SELECT count(*) AS n, sum(y) AS k FROM s), {bounds_sql("SELECT 0 AS id, 'upper' AS side, k AS j, n, CAST(0.05 AS DOUBLE) AS target FROM t")},
+up AS (SELECT k / n AS observed, CASE WHEN k >= n THEN 1.0 ELSE p END AS upper, CASE WHEN k > 0 THEN CASE WHEN k >= n THEN 1.0 ELSE p END / (k / n) ELSE 1.0 END AS inflation FROM t, bound)
+SELECT * FROM {_robust_sql('unconstrained', 1.0)} UNION ALL SELECT * FROM {_robust_sql('capacity_capped', CAP)}""")
 def robust_flag_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds are found by two methods here and in SQL, so what hangs on them is rounded."""
     steps = written(metrics.ladder(scored_events(spark, sf_dir)), "ladder")
     each = [decision.robust_flag_rate(steps, INSPECT, ESCAPE, cap).withColumn("regime", F.lit(r)) for r, cap in CAPS.items()]
-    return each[0].unionByName(each[1])
+    places = {"escape_cost": 0, "total_cost": 0, "cost_per_lot": 4, "base_rate_upper": 6, "escape_inflation": 6}
+    return each[0].unionByName(each[1]).withColumns({c: profile.rounded(F.col(c), k) for c, k in places.items()})
 
 
 def _split_ladders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -349,15 +380,37 @@ def folds(spark: SparkSession, sf_dir: str, policies: tuple[str, ...] = ("thresh
 
 def fitted_folds(spark: SparkSession, sf_dir: str, policies: tuple[str, ...] = ("threshold",), names: tuple[str, ...] = tuple(models.REGISTRY)) -> DataFrame:
     """A backtest of the registry's models, fitted anew in every fold, in both regimes."""
+    return backtest.run_folds(_scored_folds(spark, sf_dir, names), INSPECT, ESCAPE, CAPS, policies)
+
+
+#: Tables of scores by application, tables and models: every policy and test is about the same fits.
+_fits: dict[tuple, str] = {}
+
+
+def _scored_folds(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir, names)
+    if key in _fits:
+        try:
+            return spark.read.parquet(_fits[key])
+        except AnalysisException:  # the folder was cleared
+            del _fits[key]
     lots = written(src.lots_events(spark, sf_dir), "lots")
-    return backtest.run_folds(models.fitted_folds(lots, names), INSPECT, ESCAPE, CAPS, policies)
+    path = f"{shared_dir(spark)}/scored-folds-{uuid.uuid4().hex}"
+    models.fitted_folds(lots, names).write.parquet(path)
+    _fits[key] = path
+    return spark.read.parquet(path)
 
 
-def ablation(lots: DataFrame, names: tuple[str, ...] = tuple(models.REGISTRY)) -> DataFrame:
-    """features (raw or augmented with each sensor's history) and the summary of the robust policy without a cap."""
+def ablation(lots: DataFrame, names: tuple[str, ...] = tuple(models.REGISTRY), raw: DataFrame | None = None) -> DataFrame:
+    """features (raw or augmented with each sensor's history) and the summary of the robust policy without a cap.
+
+    raw: scores of the raw lots, where they are there already.
+    """
     out = None
-    for kind, table in (("raw", lots), ("augmented", written(history.augmented(lots), "augmented"))):
-        folds = backtest.run_folds(models.fitted_folds(table, names), INSPECT, ESCAPE, {"unconstrained": None}, ("robust",))
+    for kind in ("raw", "augmented"):
+        table = lots if kind == "raw" else written(history.augmented(lots), "augmented")
+        scored = raw if kind == "raw" and raw is not None else models.fitted_folds(table, names)
+        folds = backtest.run_folds(scored, INSPECT, ESCAPE, {"unconstrained": None}, ("robust",))
         part = backtest.fold_summary(folds).select(F.lit(kind).alias("features"), "*")
         out = part if out is None else out.unionByName(part)
     return out
@@ -438,7 +491,7 @@ def backtest_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def history_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ablation(written(src.lots_events(spark, sf_dir), "lots"))
+    return ablation(written(src.lots_events(spark, sf_dir), "lots"), raw=_scored_folds(spark, sf_dir, tuple(models.REGISTRY)))
 
 
 @query(f"WITH {LOTS}, {FOLDS}, {BACKTEST}, {REFERENCE} SELECT * FROM refs")
@@ -489,14 +542,35 @@ def retrain_input_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.input_drift(drift.feature_psi(*_halves(spark, sf_dir))).drop("psi_top")
 
 
-@query()
+#: Regimes of counts (id, n, k) by two-sided bounds of 95 %.
+_REGIMES = bounds_sql("SELECT id, 'lo' AS side, k - 1 AS j, n, CAST(0.975 AS DOUBLE) AS target FROM counts WHERE k > 0 UNION ALL SELECT id, 'hi', k, n, CAST(0.025 AS DOUBLE) FROM counts WHERE k < n") + f""",
+regimes AS (
+  SELECT counts.*, coalesce(lo.p, 0.0) AS ci_lo, coalesce(hi.p, 1.0) AS ci_hi, CAST({INSPECT} AS DOUBLE) / {ESCAPE} AS breakeven
+  FROM counts LEFT JOIN bound lo ON lo.id = counts.id AND lo.side = 'lo' LEFT JOIN bound hi ON hi.id = counts.id AND hi.side = 'hi'),
+named AS (SELECT *, CASE WHEN ci_lo > breakeven THEN 'inspect' WHEN ci_hi < breakeven THEN 'no_inspect' ELSE 'undecided' END AS regime FROM regimes)"""
+
+
+@query(f"""
+WITH RECURSIVE {LOTS}, {LONG}, {PSI}, counts AS (SELECT CASE WHEN row_id < (SELECT count(*) // 2 FROM lots) THEN 'ref' ELSE 'cur' END AS id, count(*) AS n, sum(fail) AS k FROM lots GROUP BY 1), {_REGIMES},
+r AS (SELECT max(regime) FILTER (id = 'ref') AS a, max(regime) FILTER (id = 'cur') AS b FROM named),
+i AS (SELECT count(psi) AS usable, count(*) FILTER (psi > 0.25) AS major, string_agg(feature, ',' ORDER BY psi DESC, feature) FILTER (psi IS NOT NULL) AS top FROM psi),
+o AS (SELECT *, a <> 'undecided' AND b <> 'undecided' AND a <> b AS flipped, coalesce(major / nullif(usable, 0) > 0.1, false) AS drifted FROM r, i)
+SELECT a AS reference_regime, b AS current_regime, usable AS psi_usable, major AS psi_major, major / nullif(usable, 0) AS psi_share_major, drifted AS input_drifted, top AS psi_top, flipped AS action_flipped, flipped OR drifted AS retrain FROM o""")
 def retraining_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """psi_top names the features that drifted most, in order."""
     out = drift.retraining_trigger(*_halves(spark, sf_dir), drift.breakeven_prevalence(INSPECT, ESCAPE))
-    return out.withColumn("psi_top", F.to_json("psi_top"))
+    return out.withColumn("psi_top", F.array_join(F.transform("psi_top", lambda x: x["feature"]), ","))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE w AS (SELECT CAST(date_trunc('week', ts) AS TIMESTAMP) AS week, count(*) AS n, CAST(sum(CAST(event_type = 'error' AND value > 100 AS INTEGER)) AS BIGINT) AS k FROM events GROUP BY 1),
+counts AS (SELECT week AS id, n, k FROM w), {_REGIMES}
+SELECT id AS week, n, k AS n_fail, k / n AS prevalence, round(ci_lo * 1000000) / 1000000 AS ci_lo, round(ci_hi * 1000000) / 1000000 AS ci_hi, breakeven, regime FROM named""")
 def prevalence_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _weekly_regimes(spark, sf_dir).withColumns({c: profile.rounded(F.col(c), 6) for c in ("ci_lo", "ci_hi")})
+
+
+def _weekly_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
     weeks = src.lots_events(spark, sf_dir, rare=True).groupBy(F.date_trunc("week", "ts").alias("week")).agg(F.count("*").alias("n"), F.sum("fail").alias("n_fail"))
     return drift.prevalence_regime(weeks, drift.breakeven_prevalence(INSPECT, ESCAPE))
 
@@ -588,6 +662,26 @@ def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.join(metrics.top_shares(scored, (0.2,)).select("model", F.col("recall").alias("recall_at_20"), F.col("lift").alias("lift_at_20")), "model")
 
 
+@query()
+def feature_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact Shapley values of the linear model's log-odds over the test lots."""
+    lots = written(backtest.time_split(written(src.lots_events(spark, sf_dir), "lots")), "parts")
+    train, val, test = (lots.where(F.col("part") == p).drop("part") for p in ("train", "val", "test"))
+    return models.shapley_ranking(models.fit_logreg(train, val), test)
+
+
+@query(f"WITH {LOTS}, {FOLDS}, {BACKTEST} SELECT starts_with(baseline_action, 'inspect') AS kind, count(*) AS n_rows, string_agg(DISTINCT regime, ',' ORDER BY regime) AS regimes FROM folds GROUP BY 1")
+def baselines_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backtest.by_kind(folds(spark, sf_dir), "inspect")
+
+
+@query(f"""
+WITH {LOTS}, {FOLDS}, {BACKTEST}, {REFERENCE}, {SUMMARY}
+SELECT DISTINCT s.model, s.policy FROM summary s JOIN refs r ON s.regime = r.regime AND is_best WHERE round(total_model - cost * eval_lots, 3) < 0""")
+def winning_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backtest.winners(written(folds(spark, sf_dir), "folds"), INSPECT, ESCAPE)
+
+
 @query()
 def boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     lots = written(src.lots_events(spark, sf_dir), "lots")

@@ -43,14 +43,22 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.to_timestamp("ts", "dd/MM/yyyy HH:mm:ss").alias("ts"), (F.col("label") == 1).cast("tinyint").alias("fail"))
 
 
+def numbered_lines(df: DataFrame) -> DataFrame:
+    """A table read from files with `_line`, the place of each row: files by name, their blocks and lines in order."""
+    placed = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    return with_row_id(placed, "_file", "_block", "_at", name="_line").drop("_file", "_block", "_at")
+
+
 def zip_lines(a: DataFrame, b: DataFrame) -> DataFrame:
     """Columns of both side by side, by position in their files."""
+    return numbered_lines(a).join(numbered_lines(b), "_line")
 
-    def numbered(df: DataFrame) -> DataFrame:
-        schema = T.StructType([T.StructField("_line", T.LongType()), *df.schema.fields])
-        return df.sparkSession.createDataFrame(df.rdd.zipWithIndex().map(lambda x: (x[1], *x[0])), schema)
 
-    return numbered(a).join(numbered(b), "_line")
+def write_raw_lots(lots: DataFrame, sensors: str, labels: str, cols: list[str]) -> None:
+    """Space-delimited readings (NaN if missing) and labels with times to the second, a line each, in the rows' order."""
+    lots.select(F.concat_ws(" ", *(F.coalesce(F.col(c).cast("string"), F.lit("NaN")) for c in cols))).write.mode("overwrite").text(sensors)
+    label = F.when(F.col("fail") == 1, "1").otherwise("-1")
+    lots.select(F.concat(label, F.lit(' "'), F.date_format("ts", "dd/MM/yyyy HH:mm:ss"), F.lit('"'))).write.mode("overwrite").text(labels)
 
 
 def read_raw_lots(spark: SparkSession, sensors: str, labels: str, n_features: int) -> DataFrame:
