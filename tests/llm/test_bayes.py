@@ -80,6 +80,29 @@ def test_keep_one(docs, rows, empty):
     assert bayes.keep_one(empty).count() == 0 and bayes.near_duplicates(empty).count() == 0
 
 
+def test_versions_of_one_document(spark):
+    """Both versions find their links, and all that they are tied to is one class; an unrelated repeat moves no row."""
+    rng = random.Random(8)
+    a, b = (" ".join("".join(rng.choices("abcdefgh", k=4)) for _ in range(80)) for _ in range(2))
+    near = lambda t: t + " more"
+    rows = [(1, a), (1, b), (5, near(b)), (7, near(a)), (9, "x y z"), (None, "p q"), (None, "p q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r["doc_id"], r["class_id"], r["n_links"]) for r in bayes.near_duplicates(df).collect()}
+    assert got == {(1, 1, 1), (5, 1, 1), (7, 1, 1), (9, 9, 0), (None, None, 0)}
+    assert sorted(str((r["doc_id"], r["text"])) for r in bayes.keep_one(df).collect()) == sorted(map(str, [r for r in rows if r[0] in (1, 9, None)]))
+    twice = [*rows, (9, "x y z"), (5, near(b))]
+    kept = bayes.keep_one(spark.createDataFrame(twice, "doc_id long, text string"))
+    assert sorted(str((r["doc_id"], r["text"])) for r in kept.collect()) == sorted(map(str, [r for r in rows if r[0] in (1, 9, None)]))
+
+
+def test_a_hub(spark):
+    edges = [(k, 0) for k in range(1, 2000)] + [(5000 + k, k) for k in range(1, 50)]
+    got = components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()
+    assert len(got) == 2049 and {r["component"] for r in got} == {0}
+    with pytest.raises(RuntimeError):
+        components(spark.createDataFrame([(k, k + 1) for k in range(100)], "a long, b long"), rounds=1)
+
+
 def test_pruning_is_the_posterior():
     """Against the integral of the posterior density."""
     x = np.linspace(0, 1, 200_001)[1:-1]

@@ -41,7 +41,7 @@ def test_stages(spark, rows, tmp_path, vocab_path):
             classes = brute_classes(now)
             now = list(dict.fromkeys(r for r in now if classes[r][1] == r[0]))
         elif name == "repeated_passages":
-            now = [(i, bytes(np.array(x, np.uint8)[~gone]).decode("utf-8", "ignore")) for i, x, gone in brute_repeats(now, 50, as_bytes)]
+            now = [(i, bytes(np.frombuffer(x, np.uint8)[~gone]).decode("utf-8", "ignore")) for i, x, gone in brute_repeats(now, 50, as_bytes)]
         elif name == "masked_secrets":
             now = [(i, masked(t)) for i, t in now]
         if name != "packed":

@@ -42,7 +42,17 @@ def test_rows_that_no_bit_parts_go_to_pages(spark):
     pages = defaultdict(int)
     for r in got:
         pages[(r["shard"], r["page"])] += r["n_bytes"]
-    assert sum(pages.values()) == 91 and max(pages.values()) <= 30 and len(pages) >= 4
+    assert sum(pages.values()) == 91 and max(pages.values()) <= 25 and 6 <= len(pages) <= 10
+
+
+def test_pages_of_large_and_small_rows(spark):
+    sizes = [3, 40, 7, 100, 60, 20, 20, 1, 51, 50]
+    df = spark.createDataFrame([(7, "x" * n) for n in sizes * 3], "doc_id long, text string").repartition(4)
+    pages = defaultdict(list)
+    for r in sharding.shard_digest(df, 100).collect():
+        pages[r["page"]].append(r["n_bytes"])
+    assert sorted(n for p in pages.values() for n in p) == sorted(sizes * 3)
+    assert all(sum(p) <= 100 for p in pages.values()) and len(pages) <= 2 * sum(sizes) * 3 // 100 + 10
 
 
 def test_a_directory_too_large_to_send(docs, monkeypatch):

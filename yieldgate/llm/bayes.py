@@ -10,8 +10,9 @@ Groups and clusters of any size are dealt in blocks: a task holds two blocks of
 for each set its number of links and one edge, never a pair of its own.
 
 Defined results: a text of 1 to 4 words has one gram, all its words; a null or empty text has none, links to nothing and
-is a class by itself; rows with the same id count as one document whose sets may differ (the least id of a set stands
-for it); null ids take no part in the join and get null classes; other columns are kept out by name.
+is a class by itself; rows with the same id are versions of one document, each with its set (the least id of a set stands
+for it, all versions of a document are in one class); null ids take no part in the join and get null classes; other
+columns are kept out by name.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ VALUES = BANDS * ROWS
 STEP, TOLERANCE = 16, 1e-6
 #: Sets in a block of a band's group, and in a block of a cluster.
 GROUP_BLOCK, CLUSTER_BLOCK = 512, 192
+#: Documents for each shuffle partition at most.
+SETS = 20_000
 
 _A = (mix(np.arange(1, VALUES + 1, dtype=np.uint64) * GOLDEN) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (mix(np.arange(VALUES + 1, 2 * VALUES + 1, dtype=np.uint64) * GOLDEN) >> np.uint64(32)).astype(np.uint32)
@@ -76,6 +79,11 @@ def signatures(grams: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def set_keys(grams: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each set, whatever its order; first has the place of its first gram."""
+    return np.add.reduceat(mix(grams), first), np.add.reduceat(mix(grams ^ GOLDEN), first)
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in chunks(batches, "text"):
         grams, offsets = grams_of(part.column("text"))
@@ -85,7 +93,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sign: list[bytes | None] = [None] * len(size)
         if len(full):
             first = offsets[:-1][full]
-            k1[full], k2[full] = np.add.reduceat(mix(grams), first), np.add.reduceat(mix(grams ^ GOLDEN), first)
+            k1[full], k2[full] = set_keys(grams, first)
             values = signatures(grams, offsets)
             for r, k in enumerate(full.tolist()):
                 sign[k] = values[r].tobytes()
@@ -218,14 +226,22 @@ def _in_blocks(df: DataFrame, key: str, size: int) -> DataFrame:
     return df.select(key, "i", "j", *rest)
 
 
-def _together(df: DataFrame, key: str) -> DataFrame:
-    return df.repartition(partitions(df), key, "i", "j").sortWithinPartitions(key, "i", "j")
+def _together(df: DataFrame, key: str, parts: int) -> DataFrame:
+    return df.repartition(parts, key, "i", "j").sortWithinPartitions(key, "i", "j")
 
 
 def _with_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """cluster, n_sets, set_id, values (16 bits each) and grams of each set."""
+    """cluster, n_sets, set_id, values (16 bits each) and grams of each set; other versions of its document go."""
     for part in chunks(batches, "text"):
         grams, offsets = grams_of(part.column("text"))
+        same = np.zeros(part.num_rows, bool)
+        full = np.flatnonzero(np.diff(offsets))
+        if len(full):
+            k1, k2 = set_keys(grams, offsets[:-1][full])
+            same[full] = (signed(k1) == part.column("k1").to_numpy()[full]) & (signed(k2) == part.column("k2").to_numpy()[full])
+        if not same.all():
+            grams, size = grams[np.repeat(same, np.diff(offsets))], np.diff(offsets)[same]
+            offsets, part = np.r_[0, np.cumsum(size)], part.filter(pa.array(same))
         values = signatures(grams, offsets).astype(np.uint16)
         bodies = [grams[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([part.column("cluster"), part.column("n_sets"), part.column("set_id"), pa.array([v.tobytes() for v in values], pa.binary()), pa.array(bodies, pa.binary())], names=["cluster", "n_sets", "set_id", "sign", "grams"])
@@ -249,9 +265,8 @@ def shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """set_id, links, root: for two blocks of a cluster, each set's number of links and the least set it is tied to."""
     for group in groups_of(batches, 3):
-        ids, block = group.column("set_id").to_numpy(), group.column("block").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids, block = ids[order], block[order]
+        ids, order = np.unique(group.column("set_id").to_numpy(), return_index=True)  # rows repeated under one id count once
+        block = group.column("block").to_numpy()[order]
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
         values = _matrix(group.column("sign").combine_chunks(), np.uint16)[order]
         bodies = group.column("grams").to_pylist()
@@ -280,33 +295,46 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def set_members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, k1, k2, n, sign) for every document, and for every set with grams set_id, sign and its keys."""
+    """(doc_id, k1, k2, n) for every document, and for every set with grams sid, set_id, sign and its keys.
+
+    sid tells sets apart, as set_id (the least document with the set) need not if a document has versions: it is set_id
+    for one set of each document, and a number above all ids for its other ones.
+    """
     sets = written(docs.mapInArrow(_sets, "doc_id long, k1 long, k2 long, n int, sign binary"), "sets")
     full = sets.where("n > 0 AND doc_id IS NOT NULL")
-    reps = written(full.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("set_id"), F.min_by("sign", "doc_id").alias("sign")), "classes")
+    reps = full.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("set_id"), F.min_by("sign", "doc_id").alias("sign"))
+    reps = written(reps.withColumn("other", F.lit(1 << 62) + F.monotonically_increasing_id()), "classes")
     keys = written(sets.drop("sign"), "keys")
     forget(sets)
-    return keys, reps
+    twice = reps.groupBy("set_id").agg(F.min("other").alias("first"), F.count("*").alias("versions")).where("versions > 1").drop("versions")
+    sid = F.when(F.col("first") != F.col("other"), F.col("other")).otherwise(F.col("set_id"))
+    out = written(reps.join(twice, "set_id", "left").select(sid.alias("sid"), "set_id", "k1", "k2", "n", "sign"), "reps")
+    forget(reps)
+    return keys, out
 
 
 def similar_sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """set_id, n_links, component for each set that has a link; reps: set_id, sign."""
-    reps = written(reps.groupBy("set_id").agg(F.min("sign").alias("sign")), "reps")
-    bands = reps.mapInArrow(_bands, "band long, set_id long")
+    """sid, n_links, component (a sid) for each set that has a link or versions; reps as from set_members()."""
+    parts = partitions(docs, docs.count(), SETS)
+    bands = reps.select(F.col("sid").alias("set_id"), "sign").mapInArrow(_bands, "band long, set_id long")
     crowded = bands.groupBy("band").agg(F.count("*").alias("n_sets")).where("n_sets > 1")
-    met = bands.join(crowded, "band").join(reps.mapInArrow(_shorter, "set_id long, sign binary"), "set_id")
-    groups = _together(_in_blocks(met.select("band", "set_id", "n_sets", "sign"), "band", GROUP_BLOCK), "band")
+    short = reps.select(F.col("sid").alias("set_id"), "sign").mapInArrow(_shorter, "set_id long, sign binary")
+    met = bands.join(crowded, "band").join(short, "set_id")
+    groups = _together(_in_blocks(met.select("band", "set_id", "n_sets", "sign"), "band", GROUP_BLOCK), "band", parts)
     clusters = components(groups.mapInArrow(_tie, "a long, b long"))
     sizes = clusters.groupBy("component").agg(F.count("*").alias("n_sets"))
-    members = written(clusters.join(sizes, "component").select(F.col("node").alias("set_id"), F.col("component").alias("cluster"), "n_sets"), "clusters")
-    texts = docs.join(members, docs["doc_id"] == members["set_id"]).select("cluster", "n_sets", "set_id", "text")
+    members = clusters.join(sizes, "component").select(F.col("node").alias("sid"), F.col("component").alias("cluster"), "n_sets")
+    members = written(members.join(reps.select("sid", F.col("set_id").alias("doc"), "k1", "k2"), "sid"), "clusters")
+    texts = docs.join(members, docs["doc_id"] == members["doc"]).select("cluster", "n_sets", F.col("sid").alias("set_id"), "k1", "k2", "text")
     grams = texts.mapInArrow(_with_grams, "cluster long, n_sets long, set_id long, sign binary, grams binary")
-    pairs = _together(_in_blocks(grams, "cluster", CLUSTER_BLOCK), "cluster")
+    pairs = _together(_in_blocks(grams, "cluster", CLUSTER_BLOCK), "cluster", parts)
     found = written(pairs.mapInArrow(_verify, "set_id long, links long, root long"), "links")
-    forget(reps, clusters, members)
-    groups = components(found.select(F.col("set_id").alias("a"), F.col("root").alias("b")))
+    forget(clusters, members)
+    versions = reps.where("sid <> set_id").select(F.col("sid").alias("a"), F.col("set_id").alias("b"))
+    groups = components(found.select(F.col("set_id").alias("a"), F.col("root").alias("b")).unionByName(versions))
     links = found.groupBy("set_id").agg(F.sum("links").alias("n_links"))
-    out = written(links.join(groups, links["set_id"] == groups["node"]).select("set_id", "n_links", "component"), "linked")
+    out = groups.join(links, links["set_id"] == groups["node"], "left").select(F.col("node").alias("sid"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component")
+    out = written(out, "linked")
     forget(found, groups)
     return out
 
@@ -324,8 +352,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """doc_id, set_id (least id with the same grams), class_id (least id of those tied by links), n_links (other sets)."""
     docs = documents(df, id_col, text_col)
     sets, reps = set_members(docs)
-    found = similar_sets(docs.where("doc_id IS NOT NULL"), reps.select("set_id", "sign"))
-    classes = reps.select("k1", "k2", "n", "set_id").join(found, "set_id", "left")
+    found = similar_sets(docs.where("doc_id IS NOT NULL"), reps)
+    classes = reps.select("sid", "k1", "k2", "n", "set_id").join(found, "sid", "left")
     classes = classes.select("k1", "k2", "n", "set_id", F.coalesce("component", "set_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     classes = written(classes, "members")
     full = sets.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "k1", "k2", "n").join(classes, ["k1", "k2", "n"])
@@ -335,12 +363,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df without the documents of a class but its least; a row repeated under one id stays once."""
+    """df without the documents of a class but its least; a row repeated under one id stays once, rows without id all stay."""
     classes = near_duplicates(df, id_col, text_col)
     gone = classes.where("class_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
-    kept = df.join(gone, F.col(id_col).cast("long") == gone["gone"], "left_anti")
-    twice = classes.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates([id_col, text_col]) if twice else kept
+    same = lambda t, c: F.col(id_col).cast("long") == t[c]
+    kept = df.join(gone, same(gone, "gone"), "left_anti")
+    twice = written(classes.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("twice")).count().where("count > 1").select("twice"), "twice")
+    if twice.isEmpty():
+        return kept
+    once = kept.join(twice, same(twice, "twice"), "left_anti")
+    return once.unionByName(kept.join(twice, same(twice, "twice"), "left_semi").dropDuplicates([id_col, text_col]))
 
 
 SQL = f"""

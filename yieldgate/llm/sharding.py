@@ -5,15 +5,18 @@ shards above the byte limit split on their next bit, until each fits. The direct
 shard; a row looks up its prefixes of the depths that occur.
 
 Defined results: rows with equal keys have equal hashes and no bit can part them; if such rows alone pass the limit,
-they are laid in turn on overflow pages of their shard (`page` 0, 1, ...); a row larger than the limit is a shard by
-itself. Null keys are one key; null texts count no bytes; an empty table gives an empty directory.
+they are laid in turn on overflow pages of their shard: small ones on even pages, each of which is filled from half
+the limit's multiples, those above half the limit on odd pages by themselves; so no page passes the limit unless a
+single row does. A row larger than the limit is a shard by itself. Null keys are one key; null texts count no bytes; an empty table gives an empty directory.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from yieldgate.plans.shared import running_sums
+
 from .common import written
 
 #: Hash bits used: 60, as 15 hexadecimal digits of an MD5, which any engine can compute.
@@ -35,33 +38,30 @@ def prefix(bits: Column, depth: Column | int) -> Column:
 def directory(sized: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Shards (depth, prefix, shard_bytes, shard_rows) for rows with columns `bits` and `n_bytes`.
 
-    The rows are read once, into a histogram about six bits finer than the shards expected; only parts of it that no
-    further bit of the histogram makes fit are counted again, finer.
+    The rows are read once, into a histogram about six bits finer than the shards expected; sums of all prefixes come
+    from the histogram alone, and a shard is a prefix that fits below one that does not. Only cells that no bit of the
+    histogram makes fit are counted again, finer.
     """
     total = sized.agg(F.sum("n_bytes")).first()[0] or 0
     step = max(6, (int(total) // max(1, limit)).bit_length() + 4)
-    rows, depth, shards = sized, 0, None
+    rows, start, shards = sized, 0, None
     while True:
-        fine = min(BITS, depth + step)
-        histogram = written(rows.groupBy(prefix(F.col("bits"), fine).alias("cell")).agg(F.sum("n_bytes").alias("n_bytes"), F.count("*").alias("n_rows")), "histogram")
-        # A cell's shard is its shortest prefix that fits: sums of all prefixes come from the histogram alone.
-        open_cells = histogram
-        for d in range(depth, fine + 1):
-            cut = F.call_function("shiftright", F.col("cell"), F.lit(fine - d))
-            sums = open_cells.groupBy(cut.alias("prefix")).agg(F.sum("n_bytes").alias("shard_bytes"), F.sum("n_rows").alias("shard_rows"))
-            sums = written(sums, "prefixes")
-            whole = (F.col("shard_bytes") <= limit) | (F.col("shard_rows") == 1) | F.lit(d == BITS)
-            fits = sums.where(whole)
-            closed = fits.select(F.lit(d).alias("depth"), "prefix", "shard_bytes", "shard_rows")
-            shards = closed if shards is None else shards.unionByName(closed)
-            over = sums.where(~whole).select("prefix")
-            if not (n_over := over.count()):
-                return shards
-            if d < fine:
-                open_cells = open_cells.join(_small(over, n_over), cut == over["prefix"], "left_semi")
-        over = over.withColumnRenamed("prefix", "cell")
-        rows = rows.join(_small(over, n_over), prefix(F.col("bits"), fine) == over["cell"], "left_semi")
-        depth, step = fine + 1, 12
+        fine = min(BITS, start + step)
+        cells = written(rows.groupBy(prefix(F.col("bits"), fine).alias("cell")).agg(F.sum("n_bytes").alias("n_bytes"), F.count("*").alias("n_rows")), "histogram")
+        each = cells.withColumn("depth", F.explode(F.sequence(F.lit(start), F.lit(fine))))
+        cut = F.call_function("shiftright", F.col("cell"), F.lit(fine) - F.col("depth"))
+        sums = written(each.groupBy("depth", cut.alias("prefix")).agg(F.sum("n_bytes").alias("shard_bytes"), F.sum("n_rows").alias("shard_rows")), "prefixes")
+        whole = (F.col("shard_bytes") <= limit) | (F.col("shard_rows") == 1) | (F.col("depth") == BITS)
+        over = sums.where(~whole).select("depth", "prefix")
+        below = over.select((F.col("depth") + 1).alias("depth"), F.explode(F.array(F.col("prefix") * 2, F.col("prefix") * 2 + 1)).alias("prefix"))
+        fits = sums.where(whole)
+        closed = fits.where(F.col("depth") == start).unionByName(fits.where(F.col("depth") > start).join(below, ["depth", "prefix"]))
+        shards = closed if shards is None else shards.unionByName(closed)
+        again = over.where(F.col("depth") == fine).select(F.col("prefix").alias("cell"))
+        if not (n := again.count()):
+            return shards.select("depth", "prefix", "shard_bytes", "shard_rows")
+        rows = rows.join(_small(again, n), prefix(F.col("bits"), fine) == again["cell"], "left_semi")
+        start, step = fine + 1, 12
 
 
 def _small(df: DataFrame, n: int) -> DataFrame:
@@ -73,19 +73,23 @@ def assign_shards(df: DataFrame, key: str = "doc_id", size: Column | None = None
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") if size is None else size
     rows = df.drop("shard").select(F.struct("*").alias("row"), hash_bits(F.col(key)).alias("bits"), size.alias("n_bytes"))
     shards = written(directory(rows.select("bits", "n_bytes"), limit), "directory")
-    deepest = shards.agg(F.max("depth"), F.count("*")).first()
-    depth, n = deepest[0] or 0, deepest[1]
-    # A row looks its prefixes up, one for each depth that occurs, and finds the one that is a shard.
-    depths = [r[0] for r in shards.select("depth").distinct().orderBy("depth").collect()]  # 61 at most
-    at = F.explode(F.array(*(F.struct(F.lit(d).alias("depth"), prefix(F.col("bits"), d).alias("prefix")) for d in depths or [0])))
-    placed = rows.withColumn("at", at).select("row", "bits", "n_bytes", "at.*").join(_small(shards, n), ["depth", "prefix"])
+    ends = shards.agg(F.min("depth"), F.max("depth"), F.count("*")).first()
+    least, deepest, n = ends[0] or 0, ends[1] or 0, ends[2]
+    # Rows and shards meet by the bits that all shards have; of the shards there a row takes the one that is its prefix.
+    coarse = shards.withColumn("coarse", F.call_function("shiftright", F.col("prefix"), F.col("depth") - F.lit(least)))
+    here = (prefix(F.col("bits"), least) == F.col("coarse")) & (prefix(F.col("bits"), F.col("depth")) == F.col("prefix"))
+    placed = rows.join(_small(coarse, n), here).drop("coarse")
     label = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.lpad(F.conv(F.col("prefix").cast("string"), 10, 2), F.col("depth"), "0"))
     page = F.lit(0).cast("long")
-    if depth == BITS:
-        # Only rows that no bit can part are ordered, and only within their own shard.
+    if deepest == BITS:
+        # Only rows that no bit can part are ordered, by ranges, and only within their own shard.
         crowded = (F.col("depth") == BITS) & (F.col("shard_bytes") > limit)
-        before = F.sum("n_bytes").over(Window.partitionBy("depth", "prefix").orderBy(F.xxhash64(F.to_json("row"))).rowsBetween(Window.unboundedPreceding, -1))
-        full = placed.where(crowded).withColumn("page", F.floor(F.coalesce(before, F.lit(0)) / limit).cast("long"))
+        large, half = F.col("n_bytes") * 2 > limit, max(1, limit // 2)
+        order = [F.xxhash64(F.to_json("row"))]
+        sums = {"_small": F.when(large, 0).otherwise(F.col("n_bytes")), "_large": large.cast("long")}
+        full = running_sums(placed.where(crowded), order, sums, ["prefix"])
+        turn = F.when(large, F.col("_large") * 2 - 1).otherwise(F.floor((F.col("_small") - F.col("n_bytes")) / half) * 2)
+        full = full.withColumn("page", turn.cast("long")).drop("_small", "_large")
         placed = placed.where(~crowded).withColumn("page", page).unionByName(full)
     else:
         placed = placed.withColumn("page", page)
