@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from yieldgate.functions.beta import rate_interval_udf
 from yieldgate.sources.lots import long_features
 
-from .profile import ratio
+from .profile import exact_quantiles, ratio
 
 MAJOR, MAJOR_SHARE, FLOOR = 0.25, 0.10, 1e-6
 
@@ -26,9 +26,9 @@ def feature_psi(reference: DataFrame, current: DataFrame, bins: int = 10, cols:
 
     Bins are those of the reference's different quantiles, open at both ends, and one for missing readings.
     """
-    at = F.array(*(F.lit(i / bins) for i in range(bins + 1)))
     ref, cur = (long_features(x, cols, keep=()).withColumn("is_ref", F.lit(r)) for x, r in ((reference, True), (current, False)))
-    edges = ref.groupBy("feature").agg(F.array_sort(F.array_distinct(F.percentile("x", at))).alias("edges"))
+    found = exact_quantiles(ref, ["feature"], "x", [i / bins for i in range(bins + 1)])
+    edges = found.select("feature", F.array_sort(F.array_distinct(F.array_compact("quantiles"))).alias("edges"))
     rows = ref.unionByName(cur).join(F.broadcast(edges), "feature")
     inner = F.slice(F.col("edges"), F.lit(2), F.greatest(F.size("edges") - 2, F.lit(0)))
     place = F.when(F.col("x").isNull(), -1).otherwise(F.size(F.filter(inner, lambda e: e <= F.col("x"))))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from yieldgate.plans.shared import running_sums
 
-from .profile import ratio
+from .profile import exact_quantiles, ratio
 
 ABOVE = 1.0 + 1e-9
 KEYS = ["model"]
@@ -99,8 +99,7 @@ def pr_curve(steps: DataFrame, keys: list[str] | None = None) -> DataFrame:
 def calibration_curve(scored: DataFrame, bins: int = 8, keys: list[str] | None = None) -> DataFrame:
     """Mean score and observed rate in bins between exact quantiles of the scores (first edge in, others belong below)."""
     keys = keys or KEYS
-    at = F.array(*(F.lit(i / bins) for i in range(bins + 1)))
-    edges = scored.groupBy(*keys).agg(F.percentile("p", at).alias("edges"))
+    edges = exact_quantiles(scored, keys, "p", [i / bins for i in range(bins + 1)]).withColumnRenamed("quantiles", "edges")
     inner = F.slice(F.col("edges"), 2, bins - 1)
     rows = scored.join(F.broadcast(edges), keys).withColumn("bin", F.size(F.filter(inner, lambda e: e <= F.col("p"))))
     return rows.groupBy(*keys, "bin").agg(F.count("*").alias("n"), F.avg("p").alias("mean_p"), F.avg("y").alias("observed"))

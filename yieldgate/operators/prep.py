@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from yieldgate.sources.lots import feature_cols, long_features
 
-from .profile import column_profile, ratio
+from .profile import column_profile, exact_quantiles, ratio
 
 
 def column_verdicts(train: DataFrame, max_missing: float = 0.5) -> DataFrame:
@@ -19,16 +23,41 @@ def column_verdicts(train: DataFrame, max_missing: float = 0.5) -> DataFrame:
     return c.select("feature", "n_distinct", "missing_frac", constant.alias("is_constant"), sparse.alias("is_sparse"), (~constant & ~sparse).alias("kept"))
 
 
+def _products(batches: Iterator[pa.RecordBatch], means: list[float]) -> Iterator[pa.RecordBatch]:
+    """A task's sums over pairs of columns: a row for each first column, with arrays over the second."""
+    total = None
+    for batch in batches:
+        x = np.stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns], 1) - np.array(means)
+        there = ~np.isnan(x)
+        x, m = np.where(there, x, 0.0), there.astype(np.float64)
+        part = np.stack([m.T @ m, x.T @ m, (x * x).T @ m, m.T @ x, m.T @ (x * x), x.T @ x])
+        total = part if total is None else total + part
+    if total is not None:
+        columns = [pa.array(np.arange(len(means)), pa.int32()), *(pa.array(list(t), pa.list_(pa.float64())) for t in total)]
+        yield pa.RecordBatch.from_arrays(columns, names=["a", *SUMS])
+
+
+#: Sums over lots that have both readings: their number, of the first and its square, of the second and its square, of products.
+SUMS = ("n", "x", "xx", "y", "yy", "xy")
+
+
 def correlations(train: DataFrame, cols: list[str]) -> DataFrame:
-    """a, b (a before b in cols), r: Pearson over lots that have both readings; all pairs in one pass."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
-    if not pairs:
-        return train.sparkSession.createDataFrame([], "a string, b string, r double")
-    each = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in pairs))
-    rows = train.select(F.explode(each).alias("p")).select("p.*").where("x IS NOT NULL AND y IS NOT NULL")
-    n, sx, sy = F.count("*"), F.var_pop("x"), F.var_pop("y")
-    r = F.try_divide(F.covar_pop("x", "y"), F.sqrt(sx * sy))
-    return rows.groupBy("a", "b").agg(r.alias("r"), n.alias("n")).select("a", "b", "r")
+    """a, b (a before b in cols), r: Pearson over lots that have both readings; all pairs in one pass.
+
+    Every task multiplies its lots' matrix of readings by itself, so what is shuffled grows with tasks and columns, not
+    with lots. Readings are taken from their columns' means, so that sums stay exact.
+    """
+    spark = train.sparkSession
+    if len(cols) < 2:
+        return spark.createDataFrame([], "a string, b string, r double")
+    means = [m or 0.0 for m in train.agg(*(F.avg(c) for c in cols)).first()]
+    kinds = "a int, " + ", ".join(f"{k} array<double>" for k in SUMS)
+    sums = train.select(*(F.col(c).cast("double").alias(c) for c in cols)).mapInArrow(partial(_products, means=means), kinds)
+    pairs = sums.select("a", F.posexplode(F.arrays_zip(*SUMS)).alias("b", "s")).where("b > a").groupBy("a", "b").agg(*(F.sum(f"s.{k}").alias(k) for k in SUMS))
+    n, x, xx, y, yy, xy = (F.col(k) for k in SUMS)
+    r = F.try_divide(xy - x * y / n, F.sqrt((xx - x * x / n) * (yy - y * y / n)))
+    names = F.array(*(F.lit(c) for c in cols))
+    return pairs.where("n > 0").select(F.get(names, "a").alias("a"), F.get(names, "b").alias("b"), r.alias("r"))
 
 
 def correlated_cols(train: DataFrame, cols: list[str], threshold: float | None) -> list[str]:
@@ -64,7 +93,7 @@ class Prep:
 def impute_scale_params(train: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """feature, median (exact midpoint), mean and population spread after filling with it."""
     long = long_features(train, cols, keep=())
-    medians = long.groupBy("feature").agg(F.percentile("x", F.lit(0.5)).alias("median"))
+    medians = exact_quantiles(long, ["feature"], "x", [0.5]).select("feature", F.get("quantiles", F.lit(0)).alias("median"))
     filled = long.join(F.broadcast(medians), "feature").withColumn("v", F.coalesce("x", "median"))
     return filled.groupBy("feature").agg(F.first("median").alias("median"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("spread"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from yieldgate.functions.beta import welch_p_udf
+from yieldgate.plans.shared import running_sums
 from yieldgate.sources.lots import long_features
 
 
@@ -93,3 +94,27 @@ def welch_t(lots: DataFrame, least: int = 20, with_p: bool = True) -> DataFrame:
     free = (u + v) ** 2 / (u**2 / (F.col("n_fail") - 1) + v**2 / (F.col("n_pass") - 1))
     out = a.select("feature", "n_fail", "n_pass", "mean_fail", "mean_pass", t.alias("t"), free.alias("df"))
     return out.withColumn("p", welch_p_udf("t", "df")).orderBy("p", "feature") if with_p else out
+
+
+def exact_quantiles(rows: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
+    """keys and `quantiles`, an array with a value for each share: exact, between neighbours by straight lines.
+
+    Different values are counted and ranked by running sums over ranges, so no task holds a key's values; keys without
+    a value have an array of nulls.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    ranked = running_sums(counts, [F.col("_v")], {"_to": F.col("_n")}, keys)
+    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_all"))
+    listed = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q")) for i, q in enumerate(shares)))
+    at = lambda q: (F.col("_all") - 1) * q
+    here = lambda place: (F.col("_to") - F.col("_n") <= place) & (place < F.col("_to"))
+    low, high = (lambda q: F.floor(at(q))), (lambda q: F.ceil(at(q)))
+    met = ranked.join(F.broadcast(totals), keys).withColumn("_q", F.explode(F.filter(listed, lambda x: here(low(x["q"])) | here(high(x["q"])))))
+    q = F.col("_q.q")
+    pick = lambda place: F.max(F.when(here(place), F.col("_v")))
+    ends = met.groupBy(*keys, "_q").agg(pick(low(q)).alias("_a"), pick(high(q)).alias("_b"), F.first("_all").alias("_all"))
+    between = F.when(low(q) == high(q), F.col("_a")).otherwise((high(q) - at(q)) * F.col("_a") + (at(q) - low(q)) * F.col("_b"))
+    found = ends.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("_q.i").alias("i"), between.alias("v")))).alias("_all_q"))
+    nothing = F.array(*(F.lit(None).cast("double") for _ in shares))
+    out = rows.select(*keys).distinct().join(found, keys, "left")
+    return out.select(*keys, F.coalesce(F.transform("_all_q", lambda x: x["v"]), nothing).alias("quantiles"))

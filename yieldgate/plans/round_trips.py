@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yieldgate.operators import backtest, metrics, profile
+from yieldgate.operators import backtest, metrics, models, profile
 from yieldgate.sources import lots as src
 from yieldgate.streaming import monitor
 
@@ -95,3 +95,15 @@ def stream_weekly_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     src.lots_events(spark, sf_dir).select("ts", "fail").coalesce(4).write.parquet(lots)
     monitor.run_available(monitor.weekly_rates(monitor.read_lots(spark, lots)), rates, checkpoint)
     return spark.read.schema("week timestamp, n long, n_fail long").parquet(rates)
+
+
+@query(f"""
+WITH {LOTS}, n AS (SELECT count(*) AS n FROM lots), b AS (SELECT CAST(floor(n * CAST(0.6 AS DOUBLE)) AS BIGINT) AS a, CAST(floor(n * CAST(0.6 AS DOUBLE)) AS BIGINT) + CAST(floor(n * CAST(0.2 AS DOUBLE)) AS BIGINT) AS b FROM n)
+SELECT row_id, fail AS y, (SELECT avg(fail) FROM lots, b WHERE row_id < a) AS p FROM lots, b WHERE row_id >= b""")
+def model_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the test lots by the constant model, kept and loaded again."""
+    parts = written(backtest.time_split(written(src.lots_events(spark, sf_dir), "lots")), "parts")
+    train, val, test = (parts.where(F.col("part") == p) for p in ("train", "val", "test"))
+    path = _folder(spark, "model")
+    models.fit_majority(train, val).save(spark, path)
+    return models.Fitted.load(spark, path).score(test)
