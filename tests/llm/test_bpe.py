@@ -71,3 +71,10 @@ def test_columns_round_trip(docs, rows, vocab_path):
     ids = bpe.encode_column(docs, vocab_path)
     back = {r["doc_id"]: r["text"] for r in bpe.decode_column(ids, vocab_path).collect()}
     assert all(back[i] == (t or "") for i, t in rows if i is not None)
+
+
+def test_special_tokens_in_any_order(vocab_path):
+    vocab = bpe.Vocabulary(vocab_path)
+    vocab.special = {"<b>": 7, "<a>": 8, "<a><b>": 9}
+    pieces = bpe.Segmenter(vocab).feed("x <a> y <b> z <a><b><b>", True)
+    assert [int(p[0]) for p in pieces if not isinstance(p, str)] == [8, 7, 9, 7]

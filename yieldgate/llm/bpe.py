@@ -79,6 +79,14 @@ class Vocabulary:
         self.flat = np.frombuffer(b"".join(self.tokens), np.uint8)
         self.lookahead = self.sufficient_lookahead()
 
+    def first_special(self, text: str) -> tuple[int, str, int] | None:
+        """Place, string and id of the first special token in a text; of those at one place the longest."""
+        found = [(at, -len(t), t, k) for t, k in self.special.items() if (at := text.find(t)) >= 0]
+        if not found:
+            return None
+        at, _, token, k = min(found)
+        return at, token, k
+
     def sufficient_lookahead(self) -> int:
         """Bytes behind a token that decide whether it stands, from the merge list."""
         reach: dict[int, int] = {}  # by token: the longest chain that merges so far, it being the left part, can start
@@ -160,11 +168,11 @@ class Segmenter:
     def feed(self, text: str, last: bool = False) -> list:
         text, out = self.tail + text, []
         self.tail = ""
-        for token, k in self.vocab.special.items():
-            while (at := text.find(token)) >= 0:
-                self._words(text[:at], True, out)
-                out.append(np.array([k]))
-                text = text[at + len(token) :]
+        while found := self.vocab.first_special(text):
+            at, token, k = found
+            self._words(text[:at], True, out)
+            out.append(np.array([k]))
+            text = text[at + len(token) :]
         held = 0
         if not last:
             held = max((n for t in self.vocab.special for n in range(1, len(t)) if text.endswith(t[:n])), default=0)

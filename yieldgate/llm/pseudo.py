@@ -26,6 +26,7 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +44,8 @@ BATCH, RATE, ROUNDS, SEED = 1024, 1.0, 3, 5
 EXTRA, SCALE = 0.5, float(1 << 30)
 #: Words of a task that are counted before they are sent on, and words remembered with their token.
 COUNTED, REMEMBERED = 500_000, 300_000
+#: Networks that are added up by one task.
+FAN = 64
 
 
 @dataclass
@@ -184,17 +187,39 @@ def _train(batches: Iterator[pa.RecordBatch], weights: np.ndarray, rate: float)
             network.learn(window[at : at + BATCH], token[at : at + BATCH], rate)
         seen += len(token)
     if seen:
-        yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([network.flat().astype("<f4").tobytes()])], names=["n", "weights"])
+        task = TaskContext.get().partitionId()
+        yield _network(task, seen, network.flat().astype(np.float64) * seen)
+
+
+_NETWORK_SQL = "task long, n long, weights binary"
+
+
+def _network(task: int, n: int, total: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([task]), pa.array([n]), pa.array([total.astype("<f8").tobytes()])], names=["task", "n", "weights"])
 
 
 def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n, total = 0, None
+    """Sums of the networks of FAN tasks each, which come in the order of tasks."""
+    group, n, total = None, 0, None
     for batch in batches:
-        for k, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            part = k * np.frombuffer(w, "<f4").astype(np.float64)
-            n, total = n + k, part if total is None else total + part
+        for task, k, w in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if group is not None and task // FAN != group:
+                yield _network(group, n, total)
+                n, total = 0, None
+            part = np.frombuffer(w, "<f8")
+            group, n, total = task // FAN, n + k, part if total is None else total + part
     if n:
-        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([(total / n).astype("<f4").tobytes()])], names=["n", "weights"])
+        yield _network(group, n, total)
+
+
+def average(networks: DataFrame, tasks: int) -> np.ndarray | None:
+    """The mean of networks (task, n, weights: n times theirs), by levels of FAN, always added in the same order."""
+    while tasks > FAN:
+        dealt = networks.repartition(-(-tasks // FAN), F.floor(F.col("task") / FAN)).sortWithinPartitions("task")
+        networks, tasks = dealt.mapInArrow(_sum, _NETWORK_SQL), -(-tasks // FAN)
+    found = sorted(networks.collect(), key=lambda r: r["task"])  # FAN at most
+    n = sum(r["n"] for r in found)
+    return sum(np.frombuffer(r["weights"], "<f8") for r in found) / n if n else None
 
 
 @dataclass
@@ -222,11 +247,9 @@ def fit(codes: DataFrame, top: list[str], share: np.ndarray, rounds: int = ROUND
     """A model of the documents of coded(): rounds of training by all tasks on all documents."""
     weights = Network.start(np.log(share / share.sum())).flat()
     for _ in range(rounds):
-        networks = codes.select("tokens").mapInArrow(partial(_train, weights=weights, rate=rate), "n long, weights binary")
-        # Networks are averaged in a few tasks before the driver averages what is left: 8 at most.
-        found = networks.repartition(8).mapInArrow(_sum, "n long, weights binary").collect()
-        if found:
-            weights = np.average([np.frombuffer(r[1], "<f4") for r in found], axis=0, weights=[r[0] for r in found]).astype(np.float32)
+        tokens = codes.select("tokens")
+        mean = average(tokens.mapInArrow(partial(_train, weights=weights, rate=rate), _NETWORK_SQL), tokens.rdd.getNumPartitions())
+        weights = weights if mean is None else mean.astype(np.float32)
     return Model(top, weights)
 
 
