@@ -70,7 +70,8 @@ class Network:
         return np.tanh(x, out=x)
 
     def log_probs(self, seen: np.ndarray, token: np.ndarray) -> np.ndarray:
-        z = self.hidden(seen) @ self.out
+        """In double precision, so that a window's value hardly depends on its place in the batch."""
+        z = self.hidden(seen).astype(np.float64) @ self.out.astype(np.float64)
         z += self.bias
         picked = z[np.arange(len(z)), token]
         top = z.max(1)
@@ -264,11 +265,11 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
     for part in chunks(batches, "tokens", 1 << 18):
         rows = part.column("tokens").to_pylist()
         token, window = windows(rows)
-        logs = np.empty(len(token))
+        logs = np.empty(len(token), np.int64)  # whole numbers, whose sums are exact
         for at in range(0, len(token), BATCH):
-            logs[at : at + BATCH] = network.log_probs(window[at : at + BATCH], token[at : at + BATCH])
+            logs[at : at + BATCH] = np.rint(network.log_probs(window[at : at + BATCH], token[at : at + BATCH]) * SCALE)
         size = np.array([len(r) // 2 for r in rows], np.int64)
-        total = np.diff(np.r_[0.0, np.cumsum(logs)][np.r_[0, np.cumsum(size)]])
+        total = np.diff(np.r_[0, np.cumsum(logs)][np.r_[0, np.cumsum(size)]]) / SCALE
         yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), pa.array(size), pa.array(total)], names=["row", "doc_id", "n_tokens", "log_prob"])
 
 
