@@ -47,7 +47,7 @@ def test_scores_are_the_formula(docs, rows, empty):
         for k, token in enumerate(ids[:300] if len(ids) > 300 else ids):
             seen = padded[k : k + 2] + padded[k + 3 : k + 5]
             z = np.tanh(sum(net.tables[p, x] for p, x in enumerate(seen))) @ net.out + net.bias
-            total += z[token] - np.log(np.exp(z).sum())
+            total += z[pseudo.classes(model.top)[token]] - np.log(np.exp(z).sum())
         r = got[(i, len(ids))]
         if len(ids) <= 300:
             assert abs(r["log_prob"] - total) < 1e-3 * max(1, len(ids))
@@ -58,13 +58,24 @@ def test_scores_are_the_formula(docs, rows, empty):
 def test_gradient():
     rng = np.random.default_rng(0)
     net = pseudo.Network.start(np.zeros(pseudo.SIZE))
-    seen, token = rng.integers(0, pseudo.SIZE, (64, 4)), rng.integers(1, pseudo.SIZE, 64)
+    seen, token = rng.integers(0, pseudo.TOKENS, (64, 4)), rng.integers(1, pseudo.SIZE, 64)
     before = net.log_probs(seen, token).mean()
     for _ in range(30):
         net.learn(seen, token, 0.5)
     assert net.log_probs(seen, token).mean() > before + 0.5
 
 
+def test_large_logits_stay_finite():
+    rng = np.random.default_rng(0)
+    net = pseudo.Network.start(np.zeros(pseudo.SIZE))
+    seen, goal = rng.integers(0, pseudo.TOKENS, (64, 4)), rng.integers(1, pseudo.SIZE, 64)
+    near = net.log_probs(seen, goal)
+    net.bias += 900
+    assert np.abs(net.log_probs(seen, goal) - near).max() < 1e-3
+    net.learn(seen, goal, 0.5)
+    assert np.isfinite(net.flat()).all() and net.log_probs(seen, goal).mean() > near.mean()
+
+
 def test_words_are_counted_once(spark, docs, rows):
     got = {r["word"]: r["n"] for r in pseudo.word_counts(documents(docs)).collect()}
     want: dict[str, int] = {}
@@ -76,10 +87,10 @@ def test_words_are_counted_once(spark, docs, rows):
 
 def test_rare_and_unseen_words_are_told_apart(spark):
     """At production settings: words of one bucket have the shares that the whole corpus gives them."""
-    same = [w for w in (f"rare{k}" for k in range(2000)) if zlib.crc32(w.encode()) % pseudo.BUCKETS == 7][:3]
+    same = [w for w in (f"rare{k}" for k in range(9000)) if zlib.crc32(w.encode()) % pseudo.SEEN_BUCKETS == 7][:3]
     often, once, never = same
     text = [t for _, t in corpus(300, 4)]
-    filler = " ".join(f"fill{k} fill{k}" for k in range(pseudo.TOP))  # so that the words in question are not frequent
+    filler = " ".join(f"fill{k} fill{k}" for k in range(pseudo.SEEN))  # so that the words in question are not frequent
     text += [filler] * 20 + [f"w1 {often} w2"] * 20 + [f"w1 {once} w2"]
     df = spark.createDataFrame(list(enumerate(text)), "doc_id long, text string").repartition(2)
     got = {r["doc_id"]: r["log_prob"] for r in pseudo.pseudo_likelihood(df).collect()}

@@ -4,8 +4,9 @@ A token is hidden and predicted from the `SIDE` tokens on each side of it by a w
 the window turns its token into hidden units, these go through tanh and a softmax over the vocabulary. A document's score
 is the sum of its tokens' conditional log-probabilities, its mean the sum by its tokens.
 
-The vocabulary is every word of the corpus, and grows with it. The network predicts a token's class: the most frequent
-words are classes by themselves, all others share buckets. A word's probability is that of its class in its window times
+The vocabulary is every word of the corpus, and grows with it. The network sees 1,503 frequent words as
+themselves and all others by 544 buckets of their hash, and predicts a token's class: the most frequent words are classes
+by themselves, all others share buckets. A word's probability is that of its class in its window times
 its share of the class, which is read by a join from the counts of all words, shuffled from all documents; words that
 were never counted share what the counts leave. The network is trained in numpy by every map task on all its documents,
 from a common start; their networks are averaged by tokens, and further rounds begin from there.
@@ -18,8 +19,9 @@ untrained network.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import partial
 from math import log
@@ -27,15 +29,18 @@ from math import log
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, documents, written
 
-#: Classes: EDGE, then frequent words, then buckets of other words.
+#: Tokens: EDGE, then frequent words, then buckets of other words by their hash. This many of them are seen in windows.
+EDGE = 0
+SEEN, SEEN_BUCKETS = 1503, 544
+TOKENS = 1 + SEEN + SEEN_BUCKETS
+#: Classes: EDGE, then the most frequent of these words, then buckets of all others by the same hash.
 TOP, BUCKETS = 95, 32
 SIZE = 1 + TOP + BUCKETS
-EDGE = 0
 SIDE = 2
 HIDDEN = 16
 BATCH, RATE, ROUNDS, SEED = 1024, 1.0, 3, 5
@@ -45,67 +50,77 @@ EXTRA, SCALE = 0.5, float(1 << 30)
 #: Words of a task that are counted before they are sent on, and words remembered with their token.
 COUNTED, REMEMBERED = 500_000, 300_000
 #: Networks that are added up by one task.
-FAN = 64
+FAN = 32
 
 
-@dataclass
 class Network:
-    """Tables (place, token, hidden), output weights (hidden, token) and bias (token)."""
+    """Tables (place, token, hidden), output weights (hidden, class) and bias (class)."""
 
-    tables: np.ndarray
-    out: np.ndarray
-    bias: np.ndarray
+    def __init__(self, tables: np.ndarray, out: np.ndarray, bias: np.ndarray):
+        self.tables = tables
+        self.top = np.concatenate([out, bias[None]])  # the bias is the weight of a hidden unit that is always 1
+        self.out, self.bias = self.top[:-1], self.top[-1]
 
     @staticmethod
     def start(bias: np.ndarray, seed: int = SEED) -> Network:
         rng = np.random.default_rng(seed)
-        tables = rng.normal(0, 0.3, (2 * SIDE, SIZE, HIDDEN)).astype(np.float32)
+        tables = rng.normal(0, 0.3, (2 * SIDE, TOKENS, HIDDEN)).astype(np.float32)
         return Network(tables, rng.normal(0, 0.1, (HIDDEN, SIZE)).astype(np.float32), bias.astype(np.float32))
 
     def hidden(self, seen: np.ndarray) -> np.ndarray:
-        """Hidden units for windows of tokens, one row each."""
-        x = self.tables[0, seen[:, 0]]
+        """Hidden units for windows of tokens, one row each, and the unit that is 1."""
+        x = self.tables[0].take(seen[:, 0], 0)
         for k in range(1, 2 * SIDE):
-            x = x + self.tables[k, seen[:, k]]
-        return np.tanh(x, out=x)
-
-    def log_probs(self, seen: np.ndarray, token: np.ndarray) -> np.ndarray:
-        """In double precision, so that a window's value hardly depends on its place in the batch."""
-        z = self.hidden(seen).astype(np.float64) @ self.out.astype(np.float64)
-        z += self.bias
-        picked = z[np.arange(len(z)), token]
-        top = z.max(1)
-        z -= top[:, None]
+            x += self.tables[k].take(seen[:, k], 0)
+        h = np.ones((len(x), HIDDEN + 1), np.float32)
+        np.tanh(x, out=h[:, :-1])
+        return h
+
+    def _shift(self, z: np.ndarray, most: float) -> np.ndarray | float:
+        """What is taken from logits so that exp() stays finite: nothing while their bound, as units are within 1, is low."""
+        return z.max(1)[:, None] if np.abs(self.top).sum(0).max() > most else 0.0
+
+    def log_probs(self, seen: np.ndarray, goal: np.ndarray) -> np.ndarray:
+        """Of the classes in the middle of windows, in double precision, so that a window's value hardly depends on its place in the batch."""
+        z = self.hidden(seen).astype(np.float64) @ self.top.astype(np.float64)
+        if np.ndim(shift := self._shift(z, 600.0)):
+            z -= shift
+        picked = z[np.arange(len(z)), goal]
         np.exp(z, out=z)
-        return picked - top - np.log(z.sum(1))
+        return picked - np.log(z @ np.ones(SIZE))
 
-    def learn(self, seen: np.ndarray, token: np.ndarray, rate: float) -> None:
+    def learn(self, seen: np.ndarray, goal: np.ndarray, rate: float) -> None:
         """One step of gradient descent on the mean negative log-probability of a batch."""
+        n = len(goal)
         h = self.hidden(seen)
-        z = h @ self.out
-        z += self.bias
-        z -= z.max(1)[:, None]
+        z = h @ self.top
+        if np.ndim(shift := self._shift(z, 60.0)):
+            z -= shift
         np.exp(z, out=z)
-        z /= z.sum(1)[:, None]
-        z[np.arange(len(z)), token] -= 1
-        z *= 1 / len(z)
-        back = (z @ self.out.T) * (1 - h * h)
-        self.out -= rate * (h.T @ z)
-        self.bias -= rate * z.sum(0)
-        # A token's row moves by the sum over its places in the batch.
-        for k in range(2 * SIDE):
-            order = np.argsort(seen[:, k], kind="stable")
-            first = np.flatnonzero(np.r_[True, np.diff(seen[order, k]) != 0])
-            self.tables[k, seen[order[first], k]] -= rate * len(z) ** 0.5 * np.add.reduceat(back[order], first)
+        whole = z @ np.ones(SIZE, np.float32)
+        z[np.arange(n), goal] -= whole
+        share = (1 / (whole * n))[:, None]
+        back = (z @ self.out.T) * (1 - h[:, :-1] ** 2) * share
+        self.top -= rate * ((h * share).T @ z)
+        # A token's row moves by the sum over its places in the batch; only rows of tokens that it has are touched.
+        places = (seen + np.arange(0, 2 * SIDE * TOKENS, TOKENS)).T.ravel()
+        slot = np.zeros(2 * SIDE * TOKENS, np.intp)
+        slot[places] = 1
+        rows = np.flatnonzero(slot)
+        slot[rows] = np.arange(len(rows))
+        at, lanes = slot[places], np.tile(back.T.astype(np.float64), 2 * SIDE)
+        moved = np.array([np.bincount(at, lane, len(rows)) for lane in lanes], np.float32).T
+        table = self.tables.reshape(-1, HIDDEN)
+        table[rows] = table.take(rows, 0) - np.float32(rate * n**0.5) * moved
 
     def flat(self) -> np.ndarray:
         return np.concatenate([self.tables.ravel(), self.out.ravel(), self.bias])
 
     @staticmethod
     def of(flat: np.ndarray) -> Network:
-        cut = [2 * SIDE * SIZE * HIDDEN, 2 * SIDE * SIZE * HIDDEN + HIDDEN * SIZE]
+        cut = [2 * SIDE * TOKENS * HIDDEN, 2 * SIDE * TOKENS * HIDDEN + HIDDEN * SIZE]
         t, o, b = np.split(flat.astype(np.float32), cut)
-        return Network(t.reshape(2 * SIDE, SIZE, HIDDEN), o.reshape(HIDDEN, SIZE), b)
+        return Network(t.reshape(2 * SIDE, TOKENS, HIDDEN), o.reshape(HIDDEN, SIZE), b)
 
 
 class Tokens:
@@ -115,16 +130,23 @@ class Tokens:
         self.top = {w: k + 1 for k, w in enumerate(top)}
         self.known = dict(self.top)
 
-    def of(self, words: list[str]) -> list[int]:
+    def of(self, words: list[str], different: Iterable[str] | None = None) -> array:
+        """The tokens of words; different: the same words, each once."""
+        if len(self.known) > REMEMBERED:
+            self.known = dict(self.top)
         known = self.known
-        try:
-            return list(map(known.__getitem__, words))
-        except KeyError:
-            if len(known) > REMEMBERED:
-                known = self.known = dict(self.top)
-            for w in set(words).difference(known):
-                known[w] = 1 + TOP + zlib.crc32(w.encode()) % BUCKETS
-            return list(map(known.__getitem__, words))
+        for w in set(words) if different is None else different:
+            if w not in known:
+                known[w] = 1 + SEEN + zlib.crc32(w.encode()) % SEEN_BUCKETS
+        return array("h", map(known.__getitem__, words))
+
+
+def classes(top: list[str]) -> np.ndarray:
+    """The class of every token, under the list of frequent words. SEEN_BUCKETS is a multiple of BUCKETS."""
+    out = np.arange(TOKENS)
+    out[1 + TOP : 1 + len(top)] = [1 + TOP + zlib.crc32(w.encode()) % BUCKETS for w in top[TOP:]]
+    out[1 + SEEN :] = 1 + TOP + np.arange(SEEN_BUCKETS) % BUCKETS
+    return out
 
 
 def split(text: str) -> list[str]:
@@ -146,16 +168,17 @@ def _code(batches: Iterator[pa.RecordBatch], top: list[str]) -> Iterator[pa.Reco
         codes, words, times = [], [], []
         for text in part.column("text").to_pylist():
             found = split(text)
-            codes.append(np.array(tokens.of(found), "<i2").tobytes())
-            rest = {w: n for w, n in Counter(found).items() if w not in tokens.top}
-            words.append(list(rest.keys()))
-            times.append(list(rest.values()))
+            met = Counter(found)
+            codes.append(tokens.of(found, met).tobytes())
+            rest = [w for w in met if w not in tokens.top]
+            words.append(rest)
+            times.append([met[w] for w in rest])
         columns = [part.column("row"), part.column("doc_id"), pa.array(codes, pa.binary()), pa.array(words, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "tokens", "words", "times"])
 
 
 def coded(docs: DataFrame, top: list[str]) -> DataFrame:
-    """row, doc_id, tokens, and the words that share a bucket with how often each is met, of docs (doc_id, text)."""
+    """row, doc_id, tokens, and the words not in top with how often each is met, of docs (doc_id, text)."""
     numbered = docs.withColumn("row", F.monotonically_increasing_id())
     return numbered.mapInArrow(partial(_code, top=top), "row long, doc_id long, tokens binary, words array<string>, times array<long>")
 
@@ -180,12 +203,13 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _train(batches: Iterator[pa.RecordBatch], weights: np.ndarray, rate: float) -> Iterator[pa.RecordBatch]:
-    network, seen = Network.of(weights), 0
+def _train(batches: Iterator[pa.RecordBatch], weights: np.ndarray, top: list[str], rate: float) -> Iterator[pa.RecordBatch]:
+    network, klass, seen = Network.of(weights), classes(top), 0
     for part in chunks(batches, "tokens", 1 << 18):
         token, window = windows(part.column("tokens").to_pylist())
-        for at in range(0, len(token), BATCH):
-            network.learn(window[at : at + BATCH], token[at : at + BATCH], rate)
+        goal = klass[token]
+        for at in range(0, len(goal), BATCH):
+            network.learn(window[at : at + BATCH], goal[at : at + BATCH], rate)
         seen += len(token)
     if seen:
         task = TaskContext.get().partitionId()
@@ -225,7 +249,7 @@ def average(networks: DataFrame, tasks: int) -> np.ndarray | None:
 
 @dataclass
 class Model:
-    """Words that are classes by themselves and the weights of the network over classes.
+    """Frequent words, the first TOP of which are classes by themselves, and the weights of the network over classes.
 
     The network's size is fixed; what grows with the corpus are the counts of word_counts(), which stay a table.
     """
@@ -235,13 +259,14 @@ class Model:
 
 
 def frequent(counts: DataFrame) -> tuple[list[str], np.ndarray]:
-    """The words that are classes by themselves, and the counts of all classes, one more for each."""
-    best = counts.orderBy(F.desc("n"), "word").limit(TOP).collect()
+    """The words that are seen as themselves, and the counts of all classes, one more for each."""
+    words = counts.orderBy(F.desc("n"), "word").limit(SEEN).collect()
+    best = words[:TOP]
     rest = counts.agg(F.sum("n")).first()[0] or 0
     share = np.full(SIZE, 1.0)
     share[1 : 1 + len(best)] += [r[1] for r in best]
     share[1 + TOP :] += max(0, rest - sum(r[1] for r in best)) / BUCKETS
-    return [r[0] for r in best], share
+    return [r[0] for r in words], share
 
 
 def fit(codes: DataFrame, top: list[str], share: np.ndarray, rounds: int = ROUNDS, rate: float = RATE) -> Model:
@@ -249,7 +274,7 @@ def fit(codes: DataFrame, top: list[str], share: np.ndarray, rounds: int = ROUND
     weights = Network.start(np.log(share / share.sum())).flat()
     for _ in range(rounds):
         tokens = codes.select("tokens")
-        mean = average(tokens.mapInArrow(partial(_train, weights=weights, rate=rate), _NETWORK_SQL), tokens.rdd.getNumPartitions())
+        mean = average(tokens.mapInArrow(partial(_train, weights=weights, top=top, rate=rate), _NETWORK_SQL), tokens.rdd.getNumPartitions())
         weights = weights if mean is None else mean.astype(np.float32)
     return Model(top, weights)
 
@@ -260,21 +285,26 @@ def train(docs: DataFrame, rounds: int = ROUNDS, rate: float = RATE) -> Model:
     return fit(written(coded(docs, top), "coded"), top, share, rounds, rate)
 
 
-def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    network = Network.of(model.weights)
+def _score(batches: Iterator[pa.RecordBatch], model: Model, known: np.ndarray) -> Iterator[pa.RecordBatch]:
+    network, klass = Network.of(model.weights), classes(model.top)
+    known = np.rint(known * SCALE).astype(np.int64)
     for part in chunks(batches, "tokens", 1 << 18):
         rows = part.column("tokens").to_pylist()
         token, window = windows(rows)
+        goal = klass[token]
         logs = np.empty(len(token), np.int64)  # whole numbers, whose sums are exact
         for at in range(0, len(token), BATCH):
-            logs[at : at + BATCH] = np.rint(network.log_probs(window[at : at + BATCH], token[at : at + BATCH]) * SCALE)
+            logs[at : at + BATCH] = np.rint(network.log_probs(window[at : at + BATCH], goal[at : at + BATCH]) * SCALE)
+        logs += known[token]
         size = np.array([len(r) // 2 for r in rows], np.int64)
         total = np.diff(np.r_[0, np.cumsum(logs)][np.r_[0, np.cumsum(size)]]) / SCALE
         yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), pa.array(size), pa.array(total)], names=["row", "doc_id", "n_tokens", "log_prob"])
 
 
-def _class_scores(codes: DataFrame, model: Model) -> DataFrame:
-    return codes.select("row", "doc_id", "tokens").mapInArrow(partial(_score, model=model), "row long, doc_id long, n_tokens long, log_prob double")
+def _class_scores(codes: DataFrame, model: Model, known: np.ndarray | None = None) -> DataFrame:
+    """Of tokens' classes, and of what is known of tokens' shares of their classes."""
+    known = np.zeros(TOKENS) if known is None else known
+    return codes.select("row", "doc_id", "tokens").mapInArrow(partial(_score, model=model, known=known), "row long, doc_id long, n_tokens long, log_prob double")
 
 
 def _with_mean(scored: DataFrame) -> DataFrame:
@@ -287,24 +317,44 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return _with_mean(_class_scores(coded(docs, model.top), model))
 
 
-def shares(codes: DataFrame, counts: DataFrame, top: list[str]) -> DataFrame:
-    """row and share: the sum of its words' log-shares of their buckets, of rows of coded() with such words.
+def _bucket() -> Column:
+    return F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(BUCKETS)).cast("int")
+
+
+def bucket_logs(counts: DataFrame, top: list[str]) -> list[float]:
+    """The logarithms of what words' shares of each bucket are taken of.
 
     A word counted n times has (n + EXTRA) / (N + 2 EXTRA T) of a bucket with T words counted N times in all; as many
     words again as were counted are taken to be still unmet, and have EXTRA each.
     """
-    bucket = F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(BUCKETS)).cast("int")
+    rest = counts.where(~F.col("word").isin(top[:TOP])) if top else counts
+    sums = {r["bucket"]: r["n"] + 2 * EXTRA * r["t"] for r in rest.groupBy(_bucket().alias("bucket")).agg(F.sum("n").alias("n"), F.count("*").alias("t")).collect()}
+    return [log(sums.get(b, 2 * EXTRA)) for b in range(BUCKETS)]
+
+
+def known_shares(counts: DataFrame, top: list[str], logs: list[float]) -> np.ndarray:
+    """The log-share of its class of each token that stands for a word which shares a bucket (others: 0)."""
+    times = {r["word"]: r["n"] for r in counts.where(F.col("word").isin(top[TOP:])).collect()} if top[TOP:] else {}  # SEEN at most
+    out = np.zeros(TOKENS)
+    for k, w in enumerate(top[TOP:], 1 + TOP):
+        out[k] = log(times.get(w, 0) + EXTRA) - logs[zlib.crc32(w.encode()) % BUCKETS]
+    return out
+
+
+def shares(codes: DataFrame, counts: DataFrame, top: list[str], logs: list[float] | None = None) -> DataFrame:
+    """row and share: the sum of its words' log-shares of their buckets, of rows of coded() with words not in top."""
     rest = counts.where(~F.col("word").isin(top)) if top else counts
-    sums = {r["bucket"]: r["n"] + 2 * EXTRA * r["t"] for r in rest.groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n"), F.count("*").alias("t")).collect()}
-    whole = F.array(*(F.lit(log(sums.get(b, 2 * EXTRA))) for b in range(BUCKETS)))
+    whole = F.array(*(F.lit(x) for x in logs or bucket_logs(counts, top)))
     met = codes.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
-    part = F.ln(F.coalesce(F.col("n"), F.lit(0)) + EXTRA) - F.get(whole, bucket)
+    part = F.ln(F.coalesce(F.col("n"), F.lit(0)) + EXTRA) - F.get(whole, _bucket())
     joined = met.join(rest, "word", "left").select("row", (F.col("times") * F.round(part * SCALE).cast("long")).alias("part"))
     return joined.groupBy("row").agg((F.sum("part") / SCALE).alias("share"))
 
 
 def _word_scores(codes: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
-    scored = _class_scores(codes, model).join(shares(codes, counts, model.top), "row", "left")
+    logs = bucket_logs(counts, model.top)
+    scored = _class_scores(codes, model, known_shares(counts, model.top, logs))
+    scored = scored.join(shares(codes, counts, model.top, logs), "row", "left")
     return _with_mean(scored.withColumn("log_prob", F.col("log_prob") + F.coalesce(F.col("share"), F.lit(0.0))))
 
 
