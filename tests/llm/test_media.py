@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import struct
 import zlib
 
 import numpy as np
@@ -38,7 +39,68 @@ def test_other_tables():
     assert x["sizes"].tolist() == sizes and x["keys"].tolist() == [0, 1, 2, 3]
 
 
-@pytest.mark.parametrize("bad", [b"", b"\0\0\0\x10ftyp", media.mux(b"x")[:700], b"\0\0\0\x04moov", media.mux(b"y").replace(b"stsz", b"stsy")])
+def _track(number, kind, codec, ticks, *tables):
+    stsd = media._full(b"stsd", struct.pack(">I", 1), media._ENTRY.replace(b"raw ", codec))
+    mdia = media._box(b"mdia", media._full(b"mdhd", struct.pack(">IIIIHH", 0, 0, 1000, ticks, 0, 0)), media._full(b"hdlr", bytes(4), kind, bytes(12), b"x\0"), media._box(b"minf", media._box(b"stbl", stsd, *tables)))
+    return media._box(b"trak", media._full(b"tkhd", struct.pack(">IIIII", 0, 0, number, 0, 0), bytes(60)), mdia)
+
+
+def _tables(sizes, at, *more, wide=False):
+    places = media._full(b"co64", struct.pack(">IQ", 1, at)) if wide else media._full(b"stco", struct.pack(">II", 1, at))
+    return media._full(b"stsz", struct.pack(f">II{len(sizes)}I", 0, len(sizes), *sizes)), media._full(b"stsc", struct.pack(">IIII", 1, 1, len(sizes), 1)), places, *more
+
+
+_NONE = (media._full(b"stsz", bytes(8)), media._full(b"stsc", bytes(4)), media._full(b"stco", bytes(4)))
+
+
+def test_two_tracks_keep_their_tables(spark):
+    """The second has 64-bit offsets and keyframes of its own; the first has neither."""
+    sync = media._full(b"stss", struct.pack(">II", 1, 2))
+    def head(at):
+        return media._box(b"moov", _track(1, b"soun", b"mp4a", 70, *_tables([3, 4], at)), _track(2, b"vide", b"avc1", 90, *_tables([5, 2], at + 7, sync, wide=True)))
+    at = len(head(0)) + 8
+    whole = head(at) + media._box(b"mdat", b"aaabbbbcccccdd")
+    sound, video = media.tracks(whole)
+    assert media.sample_bytes(whole, sound["offsets"], sound["sizes"]) == b"aaabbbb" and sound["keys"].tolist() == [0, 1]
+    assert media.sample_bytes(whole, video["offsets"], video["sizes"]) == b"cccccdd" and video["keys"].tolist() == [1]
+    row = media.probe_media(spark.createDataFrame([(1, bytearray(whole))], "doc_id long, media binary")).first()
+    assert (row["codec"], row["width"], row["duration"]) == ("mp4a", None, 70)
+    assert [(t["track"], t["kind"], t["codec"], t["width"], t["duration"], [tuple(k) for k in t["keyframes"]]) for t in row["tracks"]] == [
+        (1, "soun", "mp4a", None, 70, [(at, 3), (at + 3, 4)]), (2, "vide", "avc1", 24, 90, [(at + 12, 2)])]
+
+
+def test_fragments():
+    """Runs with sizes of their own, then with the usual ones; the first sample of each is a keyframe."""
+    trex = media._full(b"trex", struct.pack(">IIIII", 1, 1, 10, 6, 0x10000))
+    moov = media._box(b"moov", _track(1, b"vide", b"avc1", 0, *_NONE), media._box(b"mvex", trex))
+    def moof(at):
+        runs = media._full(b"trun", struct.pack(">IiIIIII", 2, at, 0, 20, 3, 30, 4), flags=0x305), media._full(b"trun", struct.pack(">I", 1))
+        return media._box(b"moof", media._full(b"mfhd", bytes(4)), media._box(b"traf", media._full(b"tfhd", struct.pack(">I", 1), flags=0x20000), *runs))
+    one = moof(len(moof(0)) + 8) + media._box(b"mdat", b"aaabbbbcccccc")
+    x = media.demux(moov + one + one)
+    whole = moov + one + one
+    assert media.sample_bytes(whole, x["offsets"], x["sizes"]) == b"aaabbbbcccccc" * 2
+    assert x["sizes"].tolist() == [3, 4, 6] * 2 and x["keys"].tolist() == [0, 3] and x["duration"] == 2 * (20 + 30 + 10)
+
+
+def test_short_sizes():
+    sizes = media._full(b"stz2", struct.pack(">II", 4, 3), bytes([0x12, 0x30]))
+    moov = media._box(b"moov", _track(1, b"vide", b"avc1", 5, sizes, *_tables([1, 2, 3], 0)[1:]))
+    assert media.demux(moov)["sizes"].tolist() == [1, 2, 3]
+
+
+_DEEP = b""
+for _ in range(40):
+    _DEEP = media._box(b"moov", _DEEP)
+_HOSTILE = [
+    _DEEP,
+    media._box(b"moov", _track(1, b"vide", b"avc1", 5, media._full(b"stsz", struct.pack(">II", 1, 0xFFFFFFFF)), *_tables([1], 0)[1:])),
+    media._box(b"moov", _track(1, b"vide", b"avc1", 5, *_tables([1], 0, media._full(b"stss", struct.pack(">II", 1, 0))))),
+    media._box(b"moov", _track(1, b"vide", b"avc1", 5, *_NONE)) + media._box(b"moof", media._box(b"traf", media._full(b"tfhd", struct.pack(">I", 1)), media._full(b"trun", struct.pack(">I", 0xFFFFFFFF)))),
+]
+
+
+@pytest.mark.parametrize("bad", [*_HOSTILE, b"", b"\0\0\0\x10ftyp", media.mux(b"x")[:700], b"\0\0\0\x04moov", media.mux(b"y").replace(b"stsz", b"stsy")])
 def test_broken(spark, bad):
     row = media.probe_media(spark.createDataFrame([(1, bytearray(bad))], "doc_id long, media binary")).first()
     assert row["error"] and row["codec"] is None
