@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -78,3 +79,22 @@ def test_queries():
     assert secrets.trigram_query("abc|de") == []
     assert secrets.trigram_query("abcd?") == [frozenset({"abc"})]
     assert secrets.trigram_query("(foo|bar)[a-z]+") == [frozenset({"bar"}), frozenset({"foo"})]
+
+
+def test_many_matches_in_one_text(spark):
+    """Several blocks of matches, rules that overlap, code points of more than a byte."""
+    rng = random.Random(3)
+    hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(32 + k % 3)) for k in range(700)]
+    text = " ".join(f"\u00e9{k} token={h}" if k % 2 else f"\u4e2d {h}, secret: short" for k, h in enumerate(hexes))
+    got = secrets.find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["spans"]
+    want = []
+    for rank, rule in enumerate(secrets.RULES):
+        want += [(m.start(), rank, m.end(), rule.kind) for m in re.finditer(rule.pattern, text) if len(m.group(rule.group)) >= rule.least]
+    assert [tuple(x) for x in got] == sorted(want) and len(want) > 1000
+    out, at = [], 0
+    for start, _, end, _ in sorted(want):
+        if start >= at:
+            out += [text[at:start], secrets.MASK]
+        at = max(at, end)
+    clean = secrets.mask_secrets(spark.createDataFrame([(1, text), (2, "nothing"), (3, None)], "doc_id long, text string"))
+    assert {r["doc_id"]: r["text"] for r in clean.collect()} == {1: "".join([*out, text[at:]]), 2: "nothing", 3: None}

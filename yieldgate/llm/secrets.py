@@ -15,7 +15,7 @@ once for each row; other columns are kept out by name.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import reduce
 from re import _constants as c
@@ -57,6 +57,8 @@ RULES = BASE + MORE
 MASK = "[secret]"
 #: More alternatives than this end a run of known strings.
 _MOST = 16
+#: Matches that are folded together; arrays are appended to within these only, so that work grows with the matches.
+BLOCK = 128
 
 
 def _strings(node: list, most: int) -> list[set[str] | None]:
@@ -136,6 +138,24 @@ def candidates(postings: DataFrame, asked: dict[int, list[frozenset[str]]]) -> D
     return hits.where("n = n_grams").groupBy("doc_id").agg(F.collect_set("rule").alias("rules"))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _blocks(items: Column) -> Column:
+    """BLOCK neighbours of an array at a time."""
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int")), lambda b: F.slice(items, b * BLOCK + 1, F.lit(BLOCK)))
+    return F.when(F.size(items) > 0, cut).otherwise(F.slice(F.array(items), 1, 0))
+
+
+def _before(values: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """What all values ahead of each add up to, from 0."""
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    step = lambda acc, x: F.struct(add(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+    return F.aggregate(values, begin, step, lambda acc: acc["out"])
+
+
 def _spans(text: Column, rule: Rule, index: int) -> Column:
     """Array of (start, rank, end, kind) of a rule's matches: what stands between and in them gives the places."""
     pattern = F.lit(rule.pattern)
@@ -143,7 +163,7 @@ def _spans(text: Column, rule: Rule, index: int) -> Column:
     whole = F.regexp_extract_all(text, pattern, F.lit(0))
     tested = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else whole
     parts = F.arrays_zip(F.split(text, rule.pattern).alias("gap"), whole.alias("match"), tested.alias("tested"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("found"))
+    both = lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["match"]), F.lit(0))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.length(x["gap"])
@@ -152,7 +172,14 @@ def _spans(text: Column, rule: Rule, index: int) -> Column:
         good = F.coalesce(F.length(x["tested"]) >= rule.least, F.lit(False))
         return F.struct(end.alias("at"), F.when(good, F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
 
-    found = F.aggregate(parts, start, step, lambda acc: acc["found"])
+    def fold(block: Column, at: Column) -> Column:
+        return F.aggregate(block, F.struct(at.alias("at"), F.array().cast(kind).alias("found")), step, lambda acc: acc["found"])
+
+    def folded(blocks: Column) -> Column:
+        sizes = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda n, x: n + both(x)))
+        return F.flatten(F.zip_with(blocks, _before(sizes, lambda a, b: a + b), fold))
+
+    found = _let(parts, lambda p: _let(_blocks(p), folded))
     return F.when(F.regexp_like(text, pattern), found).otherwise(F.array().cast(kind))
 
 
@@ -177,13 +204,25 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
 def mask_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """docs with every run of overlapping spans replaced by MASK; rows without spans are as they were."""
     text, spans = F.col("text"), F.col("spans")
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    last = lambda block: F.array_max(F.transform(block, lambda x: x["end"]))
 
-    def step(acc: Column, x: Column) -> Column:
-        ahead = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(MASK))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] >= acc["at"], ahead).otherwise(acc["out"]).alias("out"))
+    def fold(block: Column, begin: Column) -> Column:
+        """What a block of spans leaves of its own part of the text, which begins where those ahead of it end."""
+
+        def of(part: Column) -> Column:
+            def step(acc: Column, x: Column) -> Column:
+                ahead = F.concat(F.substring(part, acc["at"] - begin + 1, x["start"] - acc["at"]), F.lit(MASK))
+                more = F.when(x["start"] >= acc["at"], F.concat(acc["out"], F.array(ahead))).otherwise(acc["out"])
+                return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), more.alias("out"))
+
+            return F.aggregate(block, F.struct(begin.alias("at"), F.array().cast("array<string>").alias("out")), step, lambda acc: F.array_join(acc["out"], ""))
+
+        return _let(F.substring(text, begin + 1, F.greatest(last(block) - begin, F.lit(0))), of)
+
+    def folded(blocks: Column) -> Column:
+        return F.array_join(F.zip_with(blocks, _before(F.transform(blocks, last), F.greatest), fold), "")
 
-    clean = F.aggregate(spans, begin, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    clean = F.concat(_let(_blocks(spans), folded), F.substring(text, last(spans) + 1, F.length(text)))
     found = find_secrets(docs, rules, id_col, text_col).select("row", F.when(F.size(spans) > 0, clean).otherwise(F.col(f"row.{text_col}")).alias("clean"))
     return found.select(*(F.col("clean").alias(n) if n == text_col else F.col(f"row.`{n}`").alias(n) for n in docs.columns))
 
