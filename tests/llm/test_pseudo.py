@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from yieldgate.llm import pseudo
 from yieldgate.llm.common import documents
@@ -41,7 +42,7 @@ def test_scores_are_the_formula(docs, rows, empty):
     net, tokens = pseudo.Network.of(model.weights), pseudo.Tokens(model.top)
     got = {(r["doc_id"], r["n_tokens"]): r for r in pseudo.score(documents(docs), model).collect()}
     for i, t in rows:
-        ids = tokens.of(pseudo.split(t or ""))
+        ids = tokens.of(pa.array((t or "").lower().split(), pa.string())).tolist()
         total = 0.0
         padded = [0, 0, *ids, 0, 0]
         for k, token in enumerate(ids[:300] if len(ids) > 300 else ids):
@@ -80,7 +81,7 @@ def test_words_are_counted_once(spark, docs, rows):
     got = {r["word"]: r["n"] for r in pseudo.word_counts(documents(docs)).collect()}
     want: dict[str, int] = {}
     for _, t in rows:
-        for w in pseudo.split(t or ""):
+        for w in (t or "").lower().split():
             want[w] = want.get(w, 0) + 1
     assert got == want
 
@@ -124,3 +125,39 @@ def test_production_rounds_learn_from_both_sides(spark):
     mixed = [(i, " ".join(random.Random(i).sample(t.split(), len(t.split())))) for i, t in held]
     a, b = (np.mean([r["mean_log_prob"] for r in pseudo.score_words(documents(spark.createDataFrame(x, "doc_id long, text string")), counts, model).collect()]) for x in (held, mixed))
     assert a > b + 0.5
+
+
+def test_hashes_of_words_are_crc32():
+    words = ["", "a", "é漢字", "x" * pseudo.LONG_WORD, "y" * (pseudo.LONG_WORD + 1), "z" * 5000, "", "word"]
+    want = [zlib.crc32(w.encode()) for w in words]
+    assert pseudo.crc32(pa.array(words)).tolist() == want
+    assert pseudo.crc32(pa.array(["other", *words]).slice(1)).tolist() == want
+    assert pseudo.crc32(pa.array([], pa.string())).tolist() == []
+
+
+def test_words_are_those_of_str_split():
+    texts = [" \t two  words\n", "", "\u3000ÄÖ\x0bİx\u00a0y\x85z\x1cq ", "one"]
+    words, row = pseudo.split(pa.array(texts))
+    assert list(zip(row.tolist(), words.to_pylist())) == [(i, w) for i, t in enumerate(texts) for w in t.lower().split()]
+    assert not len(pseudo.split(pa.array([], pa.string()))[0])
+
+
+def test_a_step_moves_every_weight_by_its_gradient():
+    """Against differences of the loss, for batches that do and do not fall into blocks."""
+    rng = np.random.default_rng(1)
+    for n in (64, 61):
+        net = pseudo.Network.start(np.zeros(pseudo.SIZE))
+        seen, goal = rng.integers(0, 6, (n, 4)), rng.integers(1, pseudo.SIZE, n)
+        before = pseudo.Network.of(net.flat())
+        net.learn(seen, goal, 1.0)
+
+        def loss(place, token, unit, by, before=before, seen=seen, goal=goal):
+            moved = pseudo.Network.of(before.flat().astype(np.float64))
+            moved.tables[place, token, unit] += by
+            return -moved.log_probs(seen, goal).mean()
+
+        for place, token, unit in ((0, 3, 2), (1, 0, 15), (2, 5, 7), (3, 1, 0)):
+            slope = (loss(place, token, unit, 1e-2) - loss(place, token, unit, -1e-2)) / 2e-2
+            step = net.tables[place, token, unit] - before.tables[place, token, unit]
+            assert abs(step + n**0.5 * slope) < 2e-3 * max(1, abs(step) * 10)
+        assert (net.tables[:, 6:] == before.tables[:, 6:]).all()
