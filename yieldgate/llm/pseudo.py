@@ -361,12 +361,21 @@ def known_shares(counts: DataFrame, top: list[str], logs: list[float]) -> np.nda
 
 
 def shares(codes: DataFrame, counts: DataFrame, top: list[str], logs: list[float] | None = None) -> DataFrame:
-    """row and share: the sum of its words' log-shares of their buckets, of rows of coded() with words not in top."""
-    rest = counts.where(~F.col("word").isin(top)) if top else counts
+    """row and share: the sum of its words' log-shares of their buckets, of rows of coded() with words not in top.
+
+    Each counted word has its log-share before the join. The counts have each word once, so they are dealt evenly and
+    looked up by hash: neither side is sorted.
+    """
     whole = F.array(*(F.lit(x) for x in logs or bucket_logs(counts, top)))
+
+    def log_share(n: Column) -> Column:
+        return F.round((F.ln(n + EXTRA) - F.get(whole, _bucket())) * SCALE).cast("long")
+
+    rest = counts.where(~F.col("word").isin(top)) if top else counts
+    known = rest.select("word", log_share(F.col("n")).alias("known")).hint("shuffle_hash")
     met = codes.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
-    part = F.ln(F.coalesce(F.col("n"), F.lit(0)) + EXTRA) - F.get(whole, _bucket())
-    joined = met.join(rest, "word", "left").select("row", (F.col("times") * F.round(part * SCALE).cast("long")).alias("part"))
+    part = F.coalesce(F.col("known"), log_share(F.lit(0)))
+    joined = met.join(known, "word", "left").select("row", (F.col("times") * part).alias("part"))
     return joined.groupBy("row").agg((F.sum("part") / SCALE).alias("share"))
 
 
