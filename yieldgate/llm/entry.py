@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bayes, bpe, media, packing, pseudo, quality, relative, secrets, sharding, suffix
+from . import bayes, bpe, dialogue, fim, langid, media, packing, pseudo, quality, relative, secrets, sharding, suffix
 from .common import table
 
 
@@ -57,8 +57,23 @@ def op10_bayesian_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bayes.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.repair_digest(table(spark, sf_dir, "conversations"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_digest(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fim_digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_packing, op2_media_columns, op3_bpe_transducer, op4_pseudo_likelihood, op5_suffix_dedup, op6_quality_rules, op7_secret_scans, op8_sharding, op9_relative_dedup, op10_bayesian_join)
+    found = (
+        op1_packing, op2_media_columns, op3_bpe_transducer, op4_pseudo_likelihood, op5_suffix_dedup, op6_quality_rules, op7_secret_scans, op8_sharding,
+        op9_relative_dedup, op10_bayesian_join, op11_conversation_repair, op12_language_id, op13_fill_in_middle,
+    )
     return {f.__name__: f for f in found}
 
 
@@ -70,4 +85,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_sharding": sharding.SQL,
         "op9_relative_dedup": relative.SQL,
         "op10_bayesian_join": bayes.SQL,
+        "op11_conversation_repair": dialogue.SQL,
+        "op13_fill_in_middle": fim.SQL,
     }
