@@ -29,9 +29,27 @@ def test_sql(spark, name):
     assert canonical(entry.queries()[name](spark, SF).toPandas()) == canonical(con.execute(entry.oracle_sql()[name]).df())
 
 
+def _run(code: str) -> subprocess.CompletedProcess:
+    return subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, capture_output=True, text=True)
+
+
+NO_OPERATORS = "import __spark_entry__ as e; q = e.queries(); assert 'backtest_grid' in q and not [n for n in q if n.startswith('op') and n[2].isdigit() or n == 'pipeline']; assert set(e.oracle_sql()) <= set(q)"
+
+
 def test_without_the_subpackage():
-    code = "import sys; sys.modules['yieldgate.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert q and not [n for n in q if n.startswith('op') and n[2].isdigit()]; assert set(e.oracle_sql()) <= set(q)"
-    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
+    assert "left out" not in _run(f"import sys; sys.modules['yieldgate.llm'] = None; {NO_OPERATORS}").stderr
+
+
+@pytest.mark.parametrize("package", ["tiktoken", "xxhash", "regex"])
+def test_a_missing_package_is_told_and_costs_only_the_subpackage(package):
+    if not (ROOT / "yieldgate/llm/entry.py").exists() or not [p for p in (ROOT / "yieldgate/llm").glob("*.py") if f"import {package}" in p.read_text()]:
+        pytest.skip("nothing here needs it")
+    assert "yieldgate.llm.entry is left out" in _run(f"import sys; sys.modules['{package}'] = None; {NO_OPERATORS}").stderr
+
+
+def test_all_that_is_there_is_registered():
+    code = "import warnings; warnings.simplefilter('error', RuntimeWarning); import __spark_entry__ as e; print(len(e.queries()))"
+    assert int(_run(code).stdout.split()[-1]) >= 50
 
 
 def test_nothing_else_imports_it():

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
+from dataclasses import asdict
+from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from yieldgate.functions import power
-from yieldgate.operators import backtest, decision, drift, history, inference, metrics, models, prep, profile
-from yieldgate.plans.shared import shared_dir, written
+from yieldgate.operators import backtest, decision, drift, forest, history, inference, metrics, models, prep, profile
+from yieldgate.plans.kept import kept
+from yieldgate.plans.shared import written
 from yieldgate.sources import lots as src
 
 INSPECT, ESCAPE, CAP = 2000, 60000, 0.2
@@ -383,37 +384,24 @@ def fitted_folds(spark: SparkSession, sf_dir: str, policies: tuple[str, ...] = (
     return backtest.run_folds(_scored_folds(spark, sf_dir, names), INSPECT, ESCAPE, CAPS, policies)
 
 
-#: Tables of scores by application, tables and models: every policy and test is about the same fits.
-_fits: dict[tuple, str] = {}
+def _scored_folds(spark: SparkSession, sf_dir: str, names: tuple[str, ...], features: str = "raw") -> DataFrame:
+    """Scores of the models in every fold; every policy and test is about the same fits, which are kept."""
 
+    def make() -> DataFrame:
+        lots = written(src.lots_events(spark, sf_dir), "lots")
+        return models.fitted_folds(history.augmented(lots) if features == "augmented" else lots, names)
 
-def _scored_folds(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir, names)
-    if key in _fits:
-        try:
-            return spark.read.parquet(_fits[key])
-        except AnalysisException:  # the folder was cleared
-            del _fits[key]
-    lots = written(src.lots_events(spark, sf_dir), "lots")
-    path = f"{shared_dir(spark)}/scored-folds-{uuid.uuid4().hex}"
-    models.fitted_folds(lots, names).write.parquet(path)
-    _fits[key] = path
-    return spark.read.parquet(path)
-
+    settings = {"models": names, "features": features, "trees": models.MAX_TREES, "patience": models.PATIENCE, "least": models.LEAST_TREES, "early": models.OOF_TREES, "params": asdict(forest.Params())}
+    return kept(spark, "scored-folds", settings, [src.table(spark, sf_dir, "events")], make)
 
-def ablation(lots: DataFrame, names: tuple[str, ...] = tuple(models.REGISTRY), raw: DataFrame | None = None) -> DataFrame:
-    """features (raw or augmented with each sensor's history) and the summary of the robust policy without a cap.
 
-    raw: scores of the raw lots, where they are there already.
-    """
-    out = None
-    for kind in ("raw", "augmented"):
-        table = lots if kind == "raw" else written(history.augmented(lots), "augmented")
-        scored = raw if kind == "raw" and raw is not None else models.fitted_folds(table, names)
-        folds = backtest.run_folds(scored, INSPECT, ESCAPE, {"unconstrained": None}, ("robust",))
-        part = backtest.fold_summary(folds).select(F.lit(kind).alias("features"), "*")
-        out = part if out is None else out.unionByName(part)
-    return out
+def ablation(scored: dict[str, DataFrame]) -> DataFrame:
+    """features (raw or augmented with each sensor's history) and the summary of the robust policy without a cap, from both tables of scores."""
+    each = []
+    for kind, table in scored.items():
+        folds = backtest.run_folds(table, INSPECT, ESCAPE, {"unconstrained": None}, ("robust",))
+        each.append(backtest.fold_summary(folds).select(F.lit(kind).alias("features"), "*"))
+    return reduce(DataFrame.unionByName, each)
 
 
 #: Backtest of the threshold policy, as far as the summaries below need it.
@@ -491,7 +479,7 @@ def backtest_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def history_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ablation(written(src.lots_events(spark, sf_dir), "lots"), raw=_scored_folds(spark, sf_dir, tuple(models.REGISTRY)))
+    return ablation({kind: _scored_folds(spark, sf_dir, tuple(models.REGISTRY), kind) for kind in ("raw", "augmented")})
 
 
 @query(f"WITH {LOTS}, {FOLDS}, {BACKTEST}, {REFERENCE} SELECT * FROM refs")
@@ -662,12 +650,22 @@ def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.join(metrics.top_shares(scored, (0.2,)).select("model", F.col("recall").alias("recall_at_20"), F.col("lift").alias("lift_at_20")), "model")
 
 
+def _ranking(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    lots = written(backtest.time_split(written(src.lots_events(spark, sf_dir), "lots")), "parts")
+    train, val, test = (lots.where(F.col("part") == p).drop("part") for p in ("train", "val", "test"))
+    return models.shapley_ranking(models.fit_one(name, train, val), test)
+
+
 @query()
 def feature_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact Shapley values of the linear model's log-odds over the test lots."""
-    lots = written(backtest.time_split(written(src.lots_events(spark, sf_dir), "lots")), "parts")
-    train, val, test = (lots.where(F.col("part") == p).drop("part") for p in ("train", "val", "test"))
-    return models.shapley_ranking(models.fit_logreg(train, val), test)
+    return _ranking(spark, sf_dir, "logreg")
+
+
+@query()
+def tree_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shapley values of the boosted trees' log-odds over the test lots, along the trees' paths."""
+    return _ranking(spark, sf_dir, "boosted")
 
 
 @query(f"WITH {LOTS}, {FOLDS}, {BACKTEST} SELECT starts_with(baseline_action, 'inspect') AS kind, count(*) AS n_rows, string_agg(DISTINCT regime, ',' ORDER BY regime) AS regimes FROM folds GROUP BY 1")

@@ -105,5 +105,5 @@ def model_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = written(backtest.time_split(written(src.lots_events(spark, sf_dir), "lots")), "parts")
     train, val, test = (parts.where(F.col("part") == p) for p in ("train", "val", "test"))
     path = _folder(spark, "model")
-    models.fit_majority(train, val).save(spark, path)
+    models.fit_one("majority", train, val).save(spark, path)
     return models.Fitted.load(spark, path).score(test)
