@@ -100,3 +100,14 @@ def test_a_length_that_most_pieces_share(spark):
     got = packing.pack(pieces).collect()
     assert len({(r["sequence_id"], r["offset"]) for r in got}) == 3000
     assert max(Counter(r["sequence_id"] for r in got).values()) == 2
+
+
+def test_white_space_below_the_limit_is_looked_at_once(vocab_path):
+    import time
+
+    text = "".join(" " * (packing.LONG_SPACE - 1) + "x" for _ in range(4))
+    packing.text_ids("warm up", vocab_path)
+    began = time.perf_counter()
+    assert not packing.has_long_space(text) and packing.has_long_space(text + " " * packing.LONG_SPACE)
+    assert time.perf_counter() - began < 0.5
+    assert packing.text_ids(text, vocab_path) == Tokenizer.from_file(vocab_path).encode(text, add_special_tokens=False).ids

@@ -275,13 +275,19 @@ def fast_encoding(path: str) -> tiktoken.Encoding:
 
 
 #: A run of white space this long is too much for the compiled pre-tokenizer; such texts go through the transducer.
-_LONG_SPACE = re.compile(r"\s{50000}")
+LONG_SPACE = 50_000
+_SPACE = re.compile(r"\s+")
+
+
+def has_long_space(text: str, least: int = LONG_SPACE) -> bool:
+    """Whether white space runs that long somewhere; every run is looked at once."""
+    return len(text) >= least and any(m.end() - m.start() >= least for m in _SPACE.finditer(text))
 
 
 def text_ids(text: str, path: str) -> list[int]:
     """The ids of a text, special tokens as themselves."""
     coder = fast_encoding(path)
-    if len(text) >= 50_000 and _LONG_SPACE.search(text):
+    if has_long_space(text):
         return encoder(path).encode(text).tolist()
     if any(s in text for s in coder.special_tokens_set):
         return coder.encode(text, allowed_special="all")
