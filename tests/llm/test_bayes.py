@@ -6,6 +6,8 @@ import re
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from yieldgate.llm import bayes
 from yieldgate.llm.components import components
 
@@ -137,3 +139,12 @@ def test_components(spark, seed):
                 parent[a] = parent[b] = min(parent[a], parent[b])
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == parent
+
+
+def test_wanted_documents_are_never_lost(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    ids = spark.range(0, 3000, 50).select(F.col("id").alias("doc"))
+    for bits in (64, 1 << 10, bayes.MAP_BITS):
+        got = {r["doc_id"] for r in bayes._wanted(docs, ids, bits).collect()}
+        assert set(range(0, 3000, 50)) <= got
+    assert len(got) < 100

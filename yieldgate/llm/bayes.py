@@ -40,6 +40,8 @@ STEP, TOLERANCE = 16, 1e-6
 GROUP_BLOCK, CLUSTER_BLOCK = 512, 192
 #: Documents for each shuffle partition at most.
 SETS = 20_000
+#: Bits of the map that tells which documents' texts are wanted; 64 of them a broadcast row.
+MAP_BITS = 1 << 24
 
 _A = (mix(np.arange(1, VALUES + 1, dtype=np.uint64) * GOLDEN) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (mix(np.arange(VALUES + 1, 2 * VALUES + 1, dtype=np.uint64) * GOLDEN) >> np.uint64(32)).astype(np.uint32)
@@ -313,6 +315,19 @@ def set_members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return keys, out
 
 
+def _wanted(docs: DataFrame, ids: DataFrame, bits: int = MAP_BITS) -> DataFrame:
+    """docs without most of those whose doc_id is not in ids (doc), so that a join need not shuffle their texts.
+
+    A bit for each hash of a wanted id, in a table of at most bits / 64 rows that is broadcast whatever the input; where
+    more ids are wanted than there are bits, all documents go to the join, which decides.
+    """
+    at = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(11)), F.lit(bits))
+    bit = F.expr("shiftleft(1L, cast(_h & 63 as int))")
+    words = ids.select(at("doc").alias("_h")).groupBy(F.shiftright("_h", 6).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    marked = docs.withColumn("_h", at("doc_id")).withColumn("_word", F.shiftright("_h", 6))
+    return marked.join(F.broadcast(words), "_word").where(F.col("_bits").bitwiseAND(bit) != 0).select(*docs.columns)
+
+
 def similar_sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """sid, n_links, component (a sid) for each set that has a link or versions; reps as from set_members()."""
     parts = partitions(docs, docs.count(), SETS)
@@ -325,7 +340,8 @@ def similar_sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
     sizes = clusters.groupBy("component").agg(F.count("*").alias("n_sets"))
     members = clusters.join(sizes, "component").select(F.col("node").alias("sid"), F.col("component").alias("cluster"), "n_sets")
     members = written(members.join(reps.select("sid", F.col("set_id").alias("doc"), "k1", "k2"), "sid"), "clusters")
-    texts = docs.join(members, docs["doc_id"] == members["doc"]).select("cluster", "n_sets", F.col("sid").alias("set_id"), "k1", "k2", "text")
+    near = _wanted(docs, members)
+    texts = near.join(members, near["doc_id"] == members["doc"]).select("cluster", "n_sets", F.col("sid").alias("set_id"), "k1", "k2", "text")
     grams = texts.mapInArrow(_with_grams, "cluster long, n_sets long, set_id long, sign binary, grams binary")
     pairs = _together(_in_blocks(grams, "cluster", CLUSTER_BLOCK), "cluster", parts)
     found = written(pairs.mapInArrow(_verify, "set_id long, links long, root long"), "links")
