@@ -2,10 +2,11 @@ from __future__ import annotations
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from yieldgate.operators import backtest, history, prep, profile
+from yieldgate.operators import backtest, history, prep, profile, windows
 from yieldgate.plans.shared import running_sums, with_row_id
 from yieldgate.sources import lots as src
 
@@ -130,3 +131,37 @@ def test_sinks(spark, tmp_path):
     assert src.read_json(spark, str(tmp_path / "j")).where("row_id = 1").first()["p"] is None
     src.write_csv(df, str(tmp_path / "c"))
     assert src.read_csv(spark, str(tmp_path / "c"), df.schema.simpleString()[7:-1].replace(":", " ")).count() == 2
+
+
+def test_wide_history_is_the_long_one(spark):
+    rng = np.random.default_rng(2)
+    x = np.round(rng.normal(size=(300, 40)), 1)
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[:, 7], x[:, 8] = 0.1, np.nan
+    cols = [f"f{k:03d}" for k in range(40)]
+    rows = [(k, "x", int(k % 9 == 0), *(None if v != v else float(v) for v in r)) for k, r in enumerate(x)]
+    lots = spark.createDataFrame(rows, f"row_id long, lot string, fail int, {', '.join(f'{c} double' for c in cols)}").repartition(3)
+    wide, names = history.augmented_rows(lots, stride=64)
+    got = {(r["row_id"], c): v for r in wide.collect() for c, v in zip(names, r["x"], strict=True)}
+    want = history.history_deviation(lots).collect()
+    assert len(got) == 300 * 120 and len(want) == 300 * 40
+    same = lambda a, b: a is None and b is None or a is not None and b is not None and abs(a - b) < 1e-9
+    for r in want:
+        k = int(r["feature"][1:])
+        assert same(got[r["row_id"], r["feature"]], r["x"]) and same(got[r["row_id"], f"f{900 + 2 * k}"], r["deviation"])
+        if k != 7:  # a constant sensor has no spread, whatever the rounding of its mean
+            assert same(got[r["row_id"], f"f{901 + 2 * k}"], r["standardised"])
+        else:
+            assert got[r["row_id"], f"f{901 + 2 * k}"] is None
+    assert len(history.augmented(lots).columns) == 3 + 120
+    with pytest.raises(ValueError):
+        history.augmented_rows(lots, rows=70, stride=64)
+
+
+def test_plans_do_not_grow_with_sensors(spark):
+    sizes = []
+    for n in (5, 590):
+        rows = spark.range(10).select(F.col("id").alias("row_id"), F.lit(0).alias("y"), F.array_repeat(F.rand(), n).alias("x"))
+        members = windows.dealt(rows, [("a", "train", 0, 5), ("b", "train", 0, 10)])
+        sizes.append(len(members.select("key", F.posexplode("x"))._jdf.queryExecution().optimizedPlan().toString()))
+    assert sizes[1] - sizes[0] < 10  # only the number itself, wherever it stands

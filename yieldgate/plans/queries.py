@@ -6,11 +6,11 @@ from collections.abc import Callable
 from dataclasses import asdict
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from yieldgate.functions import power
-from yieldgate.operators import backtest, decision, drift, forest, history, inference, metrics, models, prep, profile
+from yieldgate.operators import backtest, decision, drift, forest, history, inference, logistic, metrics, models, prep, profile, windows
 from yieldgate.plans.kept import kept
 from yieldgate.plans.shared import written
 from yieldgate.sources import lots as src
@@ -137,6 +137,60 @@ def history_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: profile.rounded(F.col(c), 6) for c in ("deviation", "standardised")})
 
 
+@query(f"""
+WITH {LOTS}, {LONG},
+h AS (SELECT row_id, CAST(substr(feature, 2) AS INTEGER) AS i, x - avg(x) OVER w AS d, stddev_samp(x) OVER w AS s, min(x) OVER w < max(x) OVER w AS varied
+      FROM long WINDOW w AS (PARTITION BY feature ORDER BY row_id ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))
+SELECT row_id, 'f' || (900 + 2 * i) AS feature, round(d * 1000000) / 1000000 AS x FROM h
+UNION ALL SELECT row_id, 'f' || (901 + 2 * i), CASE WHEN varied THEN round(d / s * 1000000) / 1000000 END FROM h""")
+def wide_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both history features of every sensor, all sensors of a lot in one pass."""
+    made, names = history.augmented_rows(src.lots_events(spark, sf_dir))
+    each = made.select("row_id", F.posexplode("x").alias("f", "x")).withColumn("feature", F.get(F.array(*(F.lit(c) for c in names)), "f"))
+    return each.where(F.col("feature") >= "f900").select("row_id", "feature", profile.rounded(F.col("x"), 6).alias("x"))
+
+
+PARTS = """
+b AS (SELECT CAST(floor(count(*) * CAST(0.6 AS DOUBLE)) AS BIGINT) AS a, CAST(floor(count(*) * CAST(0.6 AS DOUBLE)) AS BIGINT) + CAST(floor(count(*) * CAST(0.2 AS DOUBLE)) AS BIGINT) AS v FROM lots)"""
+
+
+@query(f"""
+WITH {LOTS}, {LONG}, {PARTS},
+t AS (SELECT feature, quantile_cont(x, 0.5) AS median FROM long, b WHERE row_id < a GROUP BY feature HAVING count(DISTINCT x) > 1 AND 1 - count(x) / count(*) <= 0.5),
+m AS (SELECT feature, any_value(median) AS median, avg(coalesce(x, median)) AS mean, stddev_pop(coalesce(x, median)) AS spread FROM long JOIN t USING (feature), b WHERE row_id < a GROUP BY feature)
+SELECT row_id, feature, round((coalesce(x, median) - mean) / spread * 1000000) / 1000000 AS z FROM long JOIN m USING (feature), b WHERE row_id >= v""")
+def prepared_lots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test lots as a linear model sees them: features that training lots keep, filled and scaled by these."""
+    lots = src.lots_events(spark, sf_dir)
+    cols = src.feature_cols(lots)
+    rows = written(windows.arrays(lots, cols), "lots")
+    bounds = backtest.split_bounds(rows.count())
+    train = written(windows.dealt(rows, [("all", "train", *bounds["train"])]), "train")
+    known = windows.facts(train, len(cols))
+    scaling = logistic.scalings(train, len(cols), {"all": known["all"].kept()}, windows.medians(train, len(cols)))["all"]
+    test = logistic.transformed(windows.dealt(rows, [("all", "test", *bounds["test"])]), {"all": scaling}, len(cols))
+    names = F.array(*(F.lit(cols[k]) for k in scaling.kept))
+    return test.select("row_id", F.posexplode("z").alias("f", "z")).select("row_id", F.get(names, "f").alias("feature"), profile.rounded(F.col("z"), 6).alias("z"))
+
+
+@query(f"""
+WITH RECURSIVE {LOTS}, {PARTS},
+x AS (SELECT y, ln(q / (1 - q)) AS z FROM (SELECT y, greatest(CAST(1e-6 AS DOUBLE), least(1 - CAST(1e-6 AS DOUBLE), p)) AS q FROM s, b WHERE row_id >= a AND row_id < v)),
+n AS (
+  SELECT 0 AS step, CAST(0 AS DOUBLE) AS slope, CAST(0 AS DOUBLE) AS const
+  UNION ALL
+  SELECT step + 1, slope - (hbb * gs - hsb * gb) / (hss * hbb - hsb * hsb), const - (hss * gb - hsb * gs) / (hss * hbb - hsb * hsb) FROM (
+    SELECT step, slope, const, sum((p - y) * z) + CAST(1e-6 AS DOUBLE) * slope AS gs, sum(p - y) AS gb, sum(p * (1 - p) * z * z) + CAST(1e-6 AS DOUBLE) AS hss, sum(p * (1 - p) * z) AS hsb, sum(p * (1 - p)) AS hbb
+    FROM (SELECT step, slope, const, y, z, 1 / (1 + exp(-(slope * z + const))) AS p FROM n, x WHERE step < 25) GROUP BY step, slope, const))
+SELECT 'value' AS model, round(slope * 1000000) / 1000000 AS slope, round(const * 1000000) / 1000000 AS const FROM n WHERE step = 25""")
+def platt_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The calibration curve of value / 1000 on the validation lots."""
+    lots = written(src.lots_events(spark, sf_dir), "lots")
+    val = backtest.time_split(lots).where("part = 'val'").select(F.lit("value").alias("key"), F.col("fail").alias("y"), (F.col("f000") / 1000.0).alias("p"))
+    curves = logistic.fit_platt(val, ["value"])
+    return spark.createDataFrame([(k, *v) for k, v in curves.items()], "model string, slope double, const double").withColumns({c: profile.rounded(F.col(c), 6) for c in ("slope", "const")})
+
+
 @query(f"""
 WITH {LOTS}, n AS (SELECT count(*) AS n, CAST(floor(count(*) * CAST(0.6 AS DOUBLE)) AS BIGINT) AS a, CAST(floor(count(*) * CAST(0.2 AS DOUBLE)) AS BIGINT) AS b FROM lots)
 SELECT CASE WHEN row_id < a THEN 'train' WHEN row_id < a + b THEN 'val' ELSE 'test' END AS part, count(*) AS n, CAST(sum(fail) AS BIGINT) AS n_fail,
@@ -389,7 +443,7 @@ def _scored_folds(spark: SparkSession, sf_dir: str, names: tuple[str, ...], feat
 
     def make() -> DataFrame:
         lots = written(src.lots_events(spark, sf_dir), "lots")
-        return models.fitted_folds(history.augmented(lots) if features == "augmented" else lots, names)
+        return models.fitted_rows(*history.augmented_rows(lots), names) if features == "augmented" else models.fitted_folds(lots, names)
 
     settings = {"models": names, "features": features, "trees": models.MAX_TREES, "patience": models.PATIENCE, "least": models.LEAST_TREES, "early": models.OOF_TREES, "params": asdict(forest.Params())}
     return kept(spark, "scored-folds", settings, [src.table(spark, sf_dir, "events")], make)
@@ -604,6 +658,23 @@ def welch_t(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: profile.rounded(F.col(c), 4) + 0.0 for c in ("t", "df")})
 
 
+@query(f"""
+WITH {LOTS}, {LONG}, a AS (
+  SELECT feature, count(x) FILTER (fail = 1) AS n1, count(x) FILTER (fail = 0) AS n0, avg(x) FILTER (fail = 1) AS m1, avg(x) FILTER (fail = 0) AS m0,
+         var_samp(x) FILTER (fail = 1) AS v1, var_samp(x) FILTER (fail = 0) AS v0 FROM long GROUP BY feature),
+t AS (SELECT feature, abs(m1 - m0) / sqrt(v1 / n1 + v0 / n0) AS t, pow(v1 / n1 + v0 / n0, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v0 / n0, 2) / (n0 - 1)) AS df
+      FROM a WHERE n1 > 20 AND n0 > 20 AND (v1 > 0 OR v0 > 0)),
+q AS (SELECT feature, 1 - 2 * (t / 4000 / 3) * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(pi() * df)
+             * list_sum(list_transform(range(0, 4001), lambda i: CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(1 + pow(t * i / 4000, 2) / df, -(df + 1) / 2))) AS p FROM t)
+SELECT feature, round(p * 100000000) / 100000000 AS p, row_number() OVER (ORDER BY p, feature) AS place, count(*) FILTER (p < 0.01) OVER () AS n_below FROM q""")
+def welch_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features by the p-value of Welch's test, and how many are below 0.01; the SQL integrates the density."""
+    tested = written(profile.welch_t(src.lots_events(spark, sf_dir)).select("feature", "p"), "tested")
+    below = tested.agg(F.count_if(F.col("p") < 0.01).alias("n_below"))
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("p", "feature"))  # a row a feature
+    return tested.withColumn("place", place).crossJoin(F.broadcast(below)).withColumn("p", profile.rounded(F.col("p"), 8))
+
+
 @query(f"""
 WITH {LOTS}, {LONG}, {FOLDS}, a AS (SELECT feature, count(DISTINCT x) AS n_distinct, 1 - count(x) / count(*) AS missing_frac FROM long WHERE row_id < (SELECT a FROM f WHERE fold = 1) GROUP BY feature)
 SELECT *, n_distinct <= 1 AS is_constant, missing_frac > 0.5 AS is_sparse, n_distinct > 1 AND missing_frac <= 0.5 AS kept FROM a""")
