@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from yieldgate.operators import decision, metrics
+from yieldgate.operators import decision, envelope, metrics
 
 
 def table(spark, y, p):
@@ -126,3 +126,36 @@ def test_keys_do_not_mix(spark, noisy):
     both = one.unionByName(one.withColumns({"model": F.lit("n"), "p": 1 - F.col("p")}))
     got = {r["model"]: r["roc_auc"] for r in metrics.score_metrics(metrics.ladder(both), both).collect()}
     assert got["m"] == pytest.approx(1 - got["n"])
+
+
+def test_envelope_answers_every_ratio_and_cap(spark):
+    rng = random.Random(11)
+    rows = [(m, round(rng.random() ** 2, 2), int(rng.random() < 0.15)) for m in ("a", "b") for _ in range(400)] + [("none", 0.3, 0)] * 5
+    steps = metrics.ladder(spark.createDataFrame(rows, "model string, p double, y int").repartition(4))
+    pairs = [(1.0, r) for r in (0.0, 0.5, 1.0, 2.0, 3.5, 7.0, 20.0, 1000.0)] + [(2000.0, 60000.0), (3.0, 0.1)]
+    points = [r.asDict() for r in steps.collect()]
+    for cap in (None, 0.3):
+        corners = envelope.cost_envelope(steps, cap)
+        table = [r.asDict() for r in corners.collect()]
+        assert all(r["to_ratio"] is None or r["from_ratio"] < r["to_ratio"] for r in table)
+        ratios = [(float(r["less_k"]), float(r["less_n"])) for r in table if r["less_n"] is not None]  # at the corners themselves
+        got = {(r["model"], r["inspect"], r["escape"]): (r["threshold"], r["total_cost"]) for r in envelope.what_if(corners, [*pairs, *ratios]).collect()}
+        assert len(got) == 3 * len({*pairs, *ratios})
+        for (model, a, b), found in got.items():
+            mine = [(x["cum_n"] * a + (x["total_k"] - x["cum_k"]) * b, x["p"]) for x in points if x["model"] == model and (cap is None or x["cum_n"] <= cap * x["total_n"])]
+            cost, threshold = min(mine)
+            assert found == (threshold, pytest.approx(cost))
+
+
+def test_hull_of_hulls():
+    rng = random.Random(3)
+    points = sorted({(rng.random(), rng.randint(0, 60), rng.randint(0, 25)) for _ in range(300)})
+    whole = envelope.hull(points)
+    assert envelope.hull([*envelope.hull(points[:100]), *envelope.hull(points[100:])]) == whole == envelope.hull(whole)
+    slopes = [(b[2] - a[2]) / (b[1] - a[1]) for a, b in zip(whole, whole[1:])]
+    assert slopes == sorted(slopes, reverse=True) and len(set(slopes)) == len(slopes)
+
+
+def test_break_even(spark):
+    rows = envelope.break_even(spark.createDataFrame([(100, 5), (10, 0)], "n long, n_fail long"), [10.0, 30.0]).collect()
+    assert [(r["n"], r["cost_ratio"], r["pays"], r["required_lift"]) for r in rows] == [(100, 10.0, False, 2.0), (100, 30.0, True, 1.0), (10, 10.0, False, float("inf")), (10, 30.0, False, float("inf"))]

@@ -46,6 +46,14 @@ def test_permutation(spark):
     assert perfect["p_value"] == pytest.approx(1 / 201)
 
 
+def test_permutation_law(spark):
+    both = folds(spark, GOLDEN).unionByName(folds(spark, [(100, 10, 10, 10), (50, 5, 0, 0), (30, 0, 9, 0)]).withColumn("config", F.lit("d")))
+    got = {r["config"]: r for r in inference.permutation_law(both, ["config"]).collect()}
+    assert got["c"]["exact_p"] == pytest.approx(0.68949, abs=1e-5) and got["c"]["caught"] == 27
+    assert got["c"]["null_caught"] == pytest.approx(sum(n_flag * k / n for n, k, n_flag, _ in GOLDEN))
+    assert got["d"]["exact_p"] == pytest.approx(1 / math.comb(100, 10), rel=1e-9)
+
+
 def test_cells_must_add_up(spark):
     with pytest.raises(Exception, match="do not add up"):
         inference.cells(folds(spark, [(100, 10, 3, 5)])).collect()

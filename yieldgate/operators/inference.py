@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from math import lgamma
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from yieldgate.plans.shared import written
+
 #: Draws, seed and confidence, fixed values of the published intervals.
 DRAWS, PERMUTATIONS, SEED, CONF = 10_000, 20_000, 42, 0.95
 
@@ -98,3 +102,32 @@ def permutation_test(folds: DataFrame, keys: list[str], draws: int = PERMUTATION
 
     x = cells(folds).select(*keys, "fold", "n_eval", "tp", "fp", "fn", "tn")
     return x.groupBy(*keys).applyInPandas(run, ", ".join([f"{k} {x.schema[k].dataType.simpleString()}" for k in keys] + ["p_value double", "null_caught double", "exact_p double"]))
+
+
+def _log_ways(x: pd.Series) -> pd.Series:
+    """Logarithms of factorials."""
+    return x.map(lambda v: lgamma(v + 1))
+
+
+def permutation_law(folds: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, caught, null_caught (its mean under a random quota) and exact_p, by tables of laws.
+
+    A fold's catches under a random quota are hypergeometric: a row for each number, as many as failures or flags. Laws of
+    folds are added up one fold after another, numbers that make the same sum meeting in a shuffle.
+    """
+    x = written(cells(folds).select(*keys, "fold", "n_eval", "tp", "fp", "fn", "tn"), "cells")
+    n, k, m = F.col("n_eval"), F.col("tp") + F.col("fn"), F.col("tp") + F.col("fp")
+    ways = F.pandas_udf(_log_ways, "double")
+    over = lambda a, b: ways(a.cast("double")) - ways(b.cast("double")) - ways((a - b).cast("double"))
+    each = x.withColumn("x", F.explode(F.sequence(F.greatest(F.lit(0), m + k - n), F.least(m, k))))
+    logs = over(k, F.col("x")) + over(n - k, m - F.col("x")) - over(n, m)
+    law = written(each.select(*keys, "fold", "x", F.exp(logs).alias("p")), "laws")
+    total = x.select(*keys).distinct().select("*", F.lit(0).cast("long").alias("x"), F.lit(1.0).alias("p"))
+    for r in x.select("fold").distinct().orderBy("fold").collect():  # a row a fold; a key may lack some
+        one = law.where(F.col("fold") == r["fold"]).drop("fold")
+        both = total.withColumnsRenamed({"x": "x1", "p": "p1"}).join(one, keys, "left")
+        grown = both.groupBy(*keys, (F.col("x1") + F.coalesce("x", F.lit(0))).alias("x")).agg(F.sum(F.col("p1") * F.coalesce("p", F.lit(1.0))).alias("p"))
+        total = written(grown, "law")
+    seen = x.groupBy(*keys).agg(F.sum("tp").alias("caught"), F.sum(m * k / n).alias("null_caught"))
+    tail = F.coalesce(F.sum(F.when(F.col("x") >= F.col("caught"), F.col("p"))), F.lit(0.0))
+    return total.join(F.broadcast(seen), keys).groupBy(*keys, "caught", "null_caught").agg(tail.alias("exact_p"))

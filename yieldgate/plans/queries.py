@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from yieldgate.functions import power
-from yieldgate.operators import backtest, decision, drift, forest, history, inference, logistic, metrics, models, prep, profile, windows
+from yieldgate.operators import backtest, decision, drift, envelope, forest, history, inference, logistic, metrics, models, prep, profile, windows
 from yieldgate.plans.kept import kept
 from yieldgate.plans.shared import written
 from yieldgate.sources import lots as src
@@ -414,6 +414,33 @@ def cost_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each[0].unionByName(each[1])
 
 
+WHAT_IF = [(1.0, 1.5), (1.0, 4.0), (1.0, 5.25), (1.0, 9.0), (2000.0, 60000.0), (500.0, 3100.0), (1.0, 250.0)]
+
+
+@query(f"""
+WITH {LOTS}, {LADDER},
+c AS (SELECT cum_k AS caught, cum_n AS n_flagged, min(p) AS threshold, any_value(total_n) AS total_n, any_value(total_k) AS total_k FROM ladder GROUP BY ALL),
+t AS (SELECT n_flagged, caught, threshold, total_n, total_k FROM c),
+e AS (
+  SELECT a.*, coalesce((SELECT max(CASE WHEN a.caught > b.caught THEN (a.n_flagged - b.n_flagged) / (a.caught - b.caught) ELSE CAST('inf' AS DOUBLE) END) FROM t b WHERE b.n_flagged < a.n_flagged), 0) AS lo,
+         (SELECT min((b.n_flagged - a.n_flagged) / (b.caught - a.caught)) FROM t b WHERE b.n_flagged > a.n_flagged AND b.caught > a.caught) AS hi FROM t a)
+SELECT 'value' AS model, threshold, CAST(n_flagged AS BIGINT) AS n_flagged, CAST(caught AS BIGINT) AS caught, lo AS from_ratio, hi AS to_ratio FROM e WHERE lo < coalesce(hi, CAST('inf' AS DOUBLE))""")
+def cost_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest threshold for every cost ratio: where each begins and ends to be it."""
+    steps = metrics.ladder(scored_events(spark, sf_dir))
+    return envelope.cost_envelope(steps).select("model", "threshold", "n_flagged", "caught", "from_ratio", "to_ratio")
+
+
+@query(f"""
+WITH {LOTS}, {LADDER}, w AS (SELECT unnest([{", ".join(f"CAST({a} AS DOUBLE)" for a, _ in WHAT_IF)}]) AS inspect, unnest([{", ".join(f"CAST({b} AS DOUBLE)" for _, b in WHAT_IF)}]) AS escape),
+r AS (SELECT *, cum_n * inspect + (total_k - cum_k) * escape AS total, row_number() OVER (PARTITION BY inspect, escape ORDER BY cum_n * inspect + (total_k - cum_k) * escape, p) AS i FROM ladder, w WHERE cum_n / total_n <= {CAP})
+SELECT model, inspect, escape, p AS threshold, CAST(cum_n AS BIGINT) AS n_flagged, CAST(cum_k AS BIGINT) AS caught, CAST(total AS DOUBLE) AS total_cost FROM r WHERE i = 1""")
+def what_if(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest threshold within the capacity under several pairs of costs, read from the envelope."""
+    corners = written(envelope.cost_envelope(metrics.ladder(scored_events(spark, sf_dir)), CAP), "envelope")
+    return envelope.what_if(corners, WHAT_IF).select("model", "inspect", "escape", "threshold", "n_flagged", "caught", F.col("total_cost").cast("double").alias("total_cost"))
+
+
 FOLDS = """
 n AS (SELECT count(*) AS n, greatest(CAST(floor(count(*) * CAST(0.15 AS DOUBLE)) AS BIGINT), 1) AS c, CAST(floor(count(*) * CAST(0.4 AS DOUBLE)) AS BIGINT) AS s FROM lots),
 f AS (SELECT CAST(k + 1 AS INTEGER) AS fold, s + k * ((n - s - c) // 4) AS a, s + k * ((n - s - c) // 4) + c AS b,
@@ -713,6 +740,24 @@ def permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inference.permutation_test(fitted_folds(spark, sf_dir), ["regime", "policy", "model"])
 
 
+@query(f"""
+WITH {LOTS}, {FOLDS}, {BACKTEST},
+h AS (SELECT regime, policy, model, fold, n_eval AS n, n_fail_eval AS k, n_flagged AS m, caught FROM folds),
+law AS (
+  SELECT h.*, x, exp(lgamma(k + 1) - lgamma(x + 1) - lgamma(k - x + 1) + lgamma(n - k + 1) - lgamma(m - x + 1) - lgamma(n - k - m + x + 1) - lgamma(n + 1) + lgamma(m + 1) + lgamma(n - m + 1)) AS p
+  FROM (SELECT *, unnest(range(greatest(0, m + k - n), least(m, k) + 1)) AS x FROM h) h),
+l2 AS (SELECT a.regime, a.policy, a.model, a.x + b.x AS x, sum(a.p * b.p) AS p FROM law a JOIN law b USING (regime, policy, model) WHERE a.fold = 1 AND b.fold = 2 GROUP BY ALL),
+l3 AS (SELECT a.regime, a.policy, a.model, a.x + b.x AS x, sum(a.p * b.p) AS p FROM l2 a JOIN law b USING (regime, policy, model) WHERE b.fold = 3 GROUP BY ALL),
+l4 AS (SELECT a.regime, a.policy, a.model, a.x + b.x AS x, sum(a.p * b.p) AS p FROM l3 a JOIN law b USING (regime, policy, model) WHERE b.fold = 4 GROUP BY ALL),
+o AS (SELECT regime, policy, model, sum(caught) AS seen, sum(m * k / n) AS expected FROM h GROUP BY ALL)
+SELECT regime, policy, model, CAST(seen AS BIGINT) AS caught, round(expected * 1000000) / 1000000 AS null_caught, round(coalesce(sum(p) FILTER (x >= seen), 0) * 10000000) / 10000000 AS exact_p
+FROM l4 JOIN o USING (regime, policy, model) GROUP BY ALL""")
+def permutation_law(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact one-sided p of catching as many failures by a random quota, without draws and without a fit."""
+    laws = inference.permutation_law(folds(spark, sf_dir), ["regime", "policy", "model"])
+    return laws.withColumns({"null_caught": profile.rounded(F.col("null_caught"), 6), "exact_p": profile.rounded(F.col("exact_p"), 7)})
+
+
 @query()
 def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     lots = written(src.lots_events(spark, sf_dir), "lots")
