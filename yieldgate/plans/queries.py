@@ -465,6 +465,10 @@ def fitted_folds(spark: SparkSession, sf_dir: str, policies: tuple[str, ...] = (
     return backtest.run_folds(_scored_folds(spark, sf_dir, names), INSPECT, ESCAPE, CAPS, policies)
 
 
+#: Raised when fits change with the same inputs and settings, so that tables kept before are not taken for them.
+FITS_VERSION: int | str = 2
+
+
 def _scored_folds(spark: SparkSession, sf_dir: str, names: tuple[str, ...], features: str = "raw") -> DataFrame:
     """Scores of the models in every fold; every policy and test is about the same fits, which are kept."""
 
@@ -472,7 +476,7 @@ def _scored_folds(spark: SparkSession, sf_dir: str, names: tuple[str, ...], feat
         lots = written(src.lots_events(spark, sf_dir), "lots")
         return models.fitted_rows(*history.augmented_rows(lots), names) if features == "augmented" else models.fitted_folds(lots, names)
 
-    settings = {"models": names, "features": features, "trees": models.MAX_TREES, "patience": models.PATIENCE, "least": models.LEAST_TREES, "early": models.OOF_TREES, "params": asdict(forest.Params())}
+    settings = {"version": FITS_VERSION, "models": names, "features": features, "trees": models.MAX_TREES, "patience": models.PATIENCE, "least": models.LEAST_TREES, "early": models.OOF_TREES, "params": asdict(forest.Params())}
     return kept(spark, "scored-folds", settings, [src.table(spark, sf_dir, "events")], make)
 
 
