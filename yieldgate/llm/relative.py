@@ -2,8 +2,9 @@
 
 The reference is every document with a smaller id, cut into content-defined blocks of words that overlap by a window
 less one word; all of them are indexed (`index_blocks`). Blocks that the reference holds as a whole are factors as they
-are. In the other blocks whose anchor the reference knows, a greedy parse goes from left to right: the longest match of
-the words from here on, found through a table of the reference blocks' windows and compared word by word, is a factor;
+are. In the other blocks whose anchor the reference knows, a greedy parse goes from left to right: the words from here on
+are matched at the first place that the table of the reference blocks' windows has for them, word by word as far as they
+agree, and are a factor (another place might match longer; the spans are the same, as what is left goes on being parsed);
 behind it the parse goes on with the first window that reaches over the factor's end, so none across a boundary is
 missed. Words that begin no match of 13 words are literals. Factors are 13 words long at least, and are duplicate spans.
 

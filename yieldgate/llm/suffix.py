@@ -145,8 +145,8 @@ _COUNTS = 32
 def _samples(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """The sampled triples of runs, with up to two bytes on each side.
 
-    Those that a smaller document here has with the same sides, byte by byte, need no comparison and go wherever there
-    is room, so that a triple brings no more rows to one task than there are tasks here.
+    Those that a smaller document of the same chunk has with the same sides, byte by byte, need no comparison and go
+    wherever there is room, so that a triple brings no more rows to one task than there are chunks.
     """
     span = length - 2
     for part in chunks(batches, "body", CUT_BYTES):
