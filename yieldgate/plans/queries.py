@@ -697,13 +697,13 @@ t AS (SELECT feature, abs(m1 - m0) / sqrt(v1 / n1 + v0 / n0) AS t, pow(v1 / n1 +
       FROM a WHERE n1 > 20 AND n0 > 20 AND (v1 > 0 OR v0 > 0)),
 q AS (SELECT feature, 1 - 2 * (t / 4000 / 3) * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(pi() * df)
              * list_sum(list_transform(range(0, 4001), lambda i: CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(1 + pow(t * i / 4000, 2) / df, -(df + 1) / 2))) AS p FROM t)
-SELECT feature, round(p * 100000000) / 100000000 AS p, row_number() OVER (ORDER BY p, feature) AS place, count(*) FILTER (p < 0.01) OVER () AS n_below FROM q""")
+SELECT feature, round(p * 1000000) / 1000000 AS p, row_number() OVER (ORDER BY p, feature) AS place, count(*) FILTER (p < 0.01) OVER () AS n_below FROM q""")
 def welch_p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features by the p-value of Welch's test, and how many are below 0.01; the SQL integrates the density."""
+    """Features by the p-value of Welch's test, and how many are below 0.01; the SQL integrates the density. A p near 1 is known to about 1e-8."""
     tested = written(profile.welch_t(src.lots_events(spark, sf_dir)).select("feature", "p"), "tested")
     below = tested.agg(F.count_if(F.col("p") < 0.01).alias("n_below"))
     place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("p", "feature"))  # a row a feature
-    return tested.withColumn("place", place).crossJoin(F.broadcast(below)).withColumn("p", profile.rounded(F.col("p"), 8))
+    return tested.withColumn("place", place).crossJoin(F.broadcast(below)).withColumn("p", profile.rounded(F.col("p"), 6))
 
 
 @query(f"""
