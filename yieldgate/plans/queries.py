@@ -489,8 +489,8 @@ def ablation(scored: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, each)
 
 
-#: Backtest of the threshold policy, as far as the summaries below need it.
-BACKTEST = f"""
+#: What the threshold policy flags (fl), and what is known of every evaluation window.
+_FLAGGED = f"""
 sc AS (
   SELECT role, fold, row_id, fail AS y, unnest(['majority', 'value', 'rank']) AS model, unnest([rate, f000 / 1000.0, f001 / 100.0]) AS p
   FROM w JOIN (SELECT fold, avg(fail) AS rate FROM w WHERE role = 'train' GROUP BY fold) USING (fold) WHERE role <> 'train'),
@@ -510,7 +510,7 @@ ev AS (SELECT *, row_number() OVER (PARTITION BY model, fold ORDER BY p DESC) AS
 es AS (SELECT model, fold, count(*) AS en, sum(y) AS ek FROM ev GROUP BY ALL),
 kth AS (SELECT model, fold, p AS above FROM ev JOIN es USING (model, fold) WHERE i = floor(en * CAST({CAP} AS DOUBLE) + CAST(1e-10 AS DOUBLE)) + 1),
 fl AS (
-  SELECT regime, capacity, model, fold, t, cn, ck, count(*) FILTER (p >= t AND (capacity IS NULL OR p > above)) AS f,
+  SELECT regime, capacity, 'threshold' AS policy, model, fold, t, CAST(NULL AS DOUBLE) AS rate, CAST(NULL AS DOUBLE) AS inflation, cn, ck, count(*) FILTER (p >= t AND (capacity IS NULL OR p > above)) AS f,
          coalesce(sum(y) FILTER (p >= t AND (capacity IS NULL OR p > above)), 0) AS c
   FROM ev JOIN star USING (model, fold) JOIN kth USING (model, fold) GROUP BY ALL),
 au AS (SELECT model, fold, (sum(mid) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2) / nullif(sum(y) * (count(*) - sum(y)), 0) AS roc_auc FROM ev GROUP BY ALL),
@@ -518,21 +518,51 @@ ap AS (
   SELECT model, fold, sum(k * ck / cn) / nullif(sum(k), 0) AS pr_auc
   FROM (SELECT *, sum(n) OVER o AS cn, sum(k) OVER o AS ck FROM (SELECT model, fold, p, count(*) AS n, sum(y) AS k FROM ev GROUP BY ALL) WINDOW o AS (PARTITION BY model, fold ORDER BY p DESC)) GROUP BY ALL),
 tk AS (SELECT model, fold, sum(y) / nullif(any_value(ek), 0) AS recall_at_20, (sum(y) / count(*)) / nullif(any_value(ek) / any_value(en), 0) AS lift_at_20
-       FROM ev JOIN es USING (model, fold) WHERE j <= greatest(1, ceil(en * CAST(0.2 AS DOUBLE))) GROUP BY model, fold),
+       FROM ev JOIN es USING (model, fold) WHERE j <= greatest(1, ceil(en * CAST(0.2 AS DOUBLE))) GROUP BY model, fold)"""
+#: What the two policies that choose a rate flag (fr): flags follow from how many lots a rate allows, as ties are left out together.
+_RATED = f"""
+gr AS (SELECT regime, capacity, i * (coalesce(capacity, CAST(1.0 AS DOUBLE)) / 100) AS rate FROM reg, range(0, 101) t(i)),
+cg AS (
+  SELECT regime, capacity, model, fold, rate, cn, ck, max(f) FILTER (f <= floor(cn * rate + CAST(1e-10 AS DOUBLE))) AS f, max(c) FILTER (f <= floor(cn * rate + CAST(1e-10 AS DOUBLE))) AS c
+  FROM cc JOIN cs USING (model, fold), gr GROUP BY ALL),
+{bounds_sql("SELECT fold AS id, 'upper' AS side, ck AS j, cn AS n, CAST(0.05 AS DOUBLE) AS target FROM cs WHERE model = 'value' AND ck < cn")},
+up AS (SELECT fold, coalesce(p, 1.0) AS upper, CASE WHEN ck > 0 THEN coalesce(p, 1.0) / (ck / cn) ELSE 1.0 END AS lam FROM cs LEFT JOIN bound ON id = fold WHERE model = 'value'),
+ch AS (
+  SELECT * FROM (
+    SELECT regime, capacity, policy, model, fold, cn, ck, rate, CASE policy WHEN 'robust' THEN lam END AS inflation,
+           row_number() OVER (PARTITION BY regime, policy, model, fold ORDER BY CASE WHEN policy = 'quantile' THEN f * {INSPECT} + (ck - c) * {ESCAPE} WHEN ck > 0 THEN f * {INSPECT} + (ck - c) * {ESCAPE} * lam WHEN upper * {ESCAPE} > {INSPECT} THEN -rate ELSE rate END, rate) AS i
+    FROM cg JOIN up USING (fold), (SELECT unnest(['quantile', 'robust']) AS policy)) WHERE i = 1),
+el AS (
+  SELECT model, fold, sum(n) OVER o AS f, sum(k) OVER o AS c
+  FROM (SELECT model, fold, p, count(*) AS n, sum(y) AS k FROM ev GROUP BY ALL UNION ALL SELECT model, fold, CAST('inf' AS DOUBLE), 0, 0 FROM es) WINDOW o AS (PARTITION BY model, fold ORDER BY p DESC)),
+fr AS (
+  SELECT regime, capacity, policy, model, fold, CAST(NULL AS DOUBLE) AS t, rate, inflation, cn, ck, max(f) AS f, max(c) AS c
+  FROM ch JOIN es USING (model, fold) JOIN el USING (model, fold)
+  WHERE f <= floor(en * least(rate, coalesce(capacity, CAST(1.0 AS DOUBLE))) + CAST(1e-10 AS DOUBLE)) GROUP BY ALL)"""
+
+
+def _judged(flagged: str) -> str:
+    """CTE `folds` from what policies flag."""
+    return f"""
 q AS (
   SELECT *, CASE WHEN capacity IS NULL THEN en ELSE floor(en * capacity + CAST(1e-10 AS DOUBLE)) END AS eq, CASE WHEN capacity IS NULL THEN cn ELSE floor(cn * capacity + CAST(1e-10 AS DOUBLE)) END AS cq
-  FROM fl JOIN es USING (model, fold) JOIN au USING (model, fold) JOIN ap USING (model, fold) JOIN tk USING (model, fold)),
+  FROM {flagged} x JOIN es USING (model, fold) JOIN au USING (model, fold) JOIN ap USING (model, fold) JOIN tk USING (model, fold)),
 b AS (
   SELECT *, cq * {INSPECT} * cn + (cn - cq) * ck * {ESCAPE} < ck * {ESCAPE} * cn AS takes, ek * CAST({ESCAPE} AS DOUBLE) AS nothing,
          eq * {INSPECT} + (en - eq) * {ESCAPE} * (ek / en) AS alternative, f * {INSPECT} + (ek - c) * {ESCAPE} AS total FROM q),
 folds AS (
-  SELECT regime, 'threshold' AS policy, model, fold, CAST(cn AS BIGINT) AS n_cal, CAST(ck AS BIGINT) AS n_fail_cal, CAST(en AS BIGINT) AS n_eval, CAST(ek AS BIGINT) AS n_fail_eval,
-         t AS threshold, CAST(NULL AS DOUBLE) AS target_flag_rate, CAST(NULL AS DOUBLE) AS escape_inflation, CAST(f AS BIGINT) AS n_flagged, CAST(c AS BIGINT) AS caught, CAST(ek - c AS BIGINT) AS missed,
+  SELECT regime, policy, model, fold, CAST(cn AS BIGINT) AS n_cal, CAST(ck AS BIGINT) AS n_fail_cal, CAST(en AS BIGINT) AS n_eval, CAST(ek AS BIGINT) AS n_fail_eval,
+         t AS threshold, rate AS target_flag_rate, inflation AS escape_inflation, CAST(f AS BIGINT) AS n_flagged, CAST(c AS BIGINT) AS caught, CAST(ek - c AS BIGINT) AS missed,
          f / en AS flag_rate, c / nullif(ek, 0) AS catch_rate, pr_auc, roc_auc, recall_at_20, lift_at_20, CAST(total AS BIGINT) AS total_model, total / en AS cost_model,
          nothing / en AS cost_none, CAST({INSPECT} AS DOUBLE) AS cost_all, CASE WHEN takes THEN alternative ELSE nothing END / en AS cost_baseline,
          CASE WHEN NOT takes THEN 'inspect_none' WHEN eq = en THEN 'inspect_all' ELSE 'random_at_capacity' END AS baseline_action,
          least(nothing, alternative) / en AS cost_oracle_baseline, (CASE WHEN takes THEN alternative ELSE nothing END - total) / nullif(CASE WHEN takes THEN alternative ELSE nothing END, 0) AS saving,
          CAST(eq AS BIGINT) AS quota, capacity FROM b)"""
+
+
+#: Backtest of the threshold policy, and of all three.
+BACKTEST = f"{_FLAGGED}, {_judged('fl')}"
+POLICIES = f"{_FLAGGED}, {_RATED}, {_judged('(SELECT * FROM fl UNION ALL BY NAME SELECT * FROM fr)')}"
 REFERENCE = f"""
 o AS (SELECT DISTINCT regime, capacity, fold, n_eval AS n, n_fail_eval AS k, quota AS q FROM folds),
 a AS (SELECT regime, capacity, sum(k * {ESCAPE}) / sum(n) AS none, sum(q * {INSPECT} + (n - q) * {ESCAPE} * (k / n)) / sum(n) AS random FROM o GROUP BY ALL),
@@ -557,6 +587,12 @@ def fold_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds(spark, sf_dir)
 
 
+@query(f"WITH RECURSIVE {LOTS}, {FOLDS}, {POLICIES} SELECT * REPLACE (round(escape_inflation * 1000000) / 1000000 AS escape_inflation) FROM folds")
+def policy_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All three policies; upper bounds of rates are found by two methods here and in SQL, so the inflation is rounded."""
+    return folds(spark, sf_dir, backtest.POLICIES).withColumn("escape_inflation", profile.rounded(F.col("escape_inflation"), 6))
+
+
 @query()
 def backtest_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backtest.fold_summary(fitted_folds(spark, sf_dir, backtest.POLICIES))
