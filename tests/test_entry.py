@@ -11,7 +11,7 @@ import pytest
 
 from compare import TABLES, canonical
 from yieldgate.plans import queries as own
-from yieldgate.plans import round_trips  # noqa: F401  registers its queries
+from yieldgate.plans import reports, round_trips  # noqa: F401  register their queries
 
 SF = "/root/testdata/sf0.001"
 ROOT = Path(__file__).parent.parent

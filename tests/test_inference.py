@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import datetime as dt
 import math
 
 import pandas as pd
@@ -95,3 +96,27 @@ def test_stream_of_weeks(spark, tmp_path):
     got = {str(r["week"])[:10]: (r["n"], r["n_fail"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     want = {str(r["week"])[:10]: (r["n"], r["k"]) for r in days.groupBy(F.date_trunc("week", "ts").alias("week")).agg(F.count("*").alias("n"), F.sum("fail").alias("k")).collect()}
     assert got and all(want[w] == v for w, v in got.items())
+
+
+def test_standing_of_lines_with_late_lots(spark, tmp_path):
+    """Three runs of one stream: a late week changes the average, standing action and flips behind it."""
+    def week(k, n, failed, line="a"):
+        return [(line, dt.datetime(2024, 1, 1) + dt.timedelta(weeks=k, minutes=i), int(i < failed)) for i in range(n)]
+
+    arrivals = [
+        [*week(0, 400, 100), *week(2, 400, 1), *week(3, 9, 1), *week(5, 300, 90), *week(0, 50, 2, "b"), (None, dt.datetime(2024, 1, 1), 1), ("a", None, 1), ("b", dt.datetime(2024, 1, 2), None)],
+        [*week(1, 500, 0), *week(4, 7, 0)],  # late
+        [*week(0, 4000, 0), *week(6, 1, 1, "b"), *week(7, 0, 0)],  # the first flip goes
+    ]
+    told = str(tmp_path / "told")
+    schema = "line string, ts timestamp, fail int"
+    for k, rows in enumerate(arrivals):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        monitor.run_events(monitor.standing_events(monitor.read_lots(spark, str(tmp_path / "in"), schema), 1 / 30), told, str(tmp_path / "check"))
+        events = spark.read.schema(monitor.EVENT).parquet(told)
+        got = sorted(map(tuple, monitor.current_events(events).collect()))
+        want = sorted(map(tuple, monitor.batch_events(spark.createDataFrame([r for part in arrivals[: k + 1] for r in part], schema), 1 / 30).collect()))
+        assert len(got) == len(want) and all(a == pytest.approx(b) if isinstance(a, float) else a == b for x, y in zip(got, want, strict=True) for a, b in zip(x, y, strict=True))
+    assert events.where("line = 'a' AND week = '2024-01-15' AND flipped").count() == 1  # told at first, then taken back
+    assert [(str(r["week"])[:10], r["standing"]) for r in monitor.current_events(events).where("flipped").collect()] == [("2024-02-05", "inspect")]
+    assert spark.conf.get(monitor.STORE) != monitor.ROCKSDB

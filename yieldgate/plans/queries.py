@@ -780,16 +780,20 @@ def permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inference.permutation_test(fitted_folds(spark, sf_dir), ["regime", "policy", "model"])
 
 
-@query(f"""
-WITH {LOTS}, {FOLDS}, {BACKTEST},
+#: Laws of what a random quota catches, of one fold (law1) to all four (l4), and what was caught (o).
+LAWS = """
 h AS (SELECT regime, policy, model, fold, n_eval AS n, n_fail_eval AS k, n_flagged AS m, caught FROM folds),
-law AS (
+law1 AS (
   SELECT h.*, x, exp(lgamma(k + 1) - lgamma(x + 1) - lgamma(k - x + 1) + lgamma(n - k + 1) - lgamma(m - x + 1) - lgamma(n - k - m + x + 1) - lgamma(n + 1) + lgamma(m + 1) + lgamma(n - m + 1)) AS p
   FROM (SELECT *, unnest(range(greatest(0, m + k - n), least(m, k) + 1)) AS x FROM h) h),
-l2 AS (SELECT a.regime, a.policy, a.model, a.x + b.x AS x, sum(a.p * b.p) AS p FROM law a JOIN law b USING (regime, policy, model) WHERE a.fold = 1 AND b.fold = 2 GROUP BY ALL),
-l3 AS (SELECT a.regime, a.policy, a.model, a.x + b.x AS x, sum(a.p * b.p) AS p FROM l2 a JOIN law b USING (regime, policy, model) WHERE b.fold = 3 GROUP BY ALL),
-l4 AS (SELECT a.regime, a.policy, a.model, a.x + b.x AS x, sum(a.p * b.p) AS p FROM l3 a JOIN law b USING (regime, policy, model) WHERE b.fold = 4 GROUP BY ALL),
-o AS (SELECT regime, policy, model, sum(caught) AS seen, sum(m * k / n) AS expected FROM h GROUP BY ALL)
+l2 AS (SELECT a.regime, a.policy, a.model, a.x + b.x AS x, sum(a.p * b.p) AS p FROM law1 a JOIN law1 b USING (regime, policy, model) WHERE a.fold = 1 AND b.fold = 2 GROUP BY ALL),
+l3 AS (SELECT a.regime, a.policy, a.model, a.x + b.x AS x, sum(a.p * b.p) AS p FROM l2 a JOIN law1 b USING (regime, policy, model) WHERE b.fold = 3 GROUP BY ALL),
+l4 AS (SELECT a.regime, a.policy, a.model, a.x + b.x AS x, sum(a.p * b.p) AS p FROM l3 a JOIN law1 b USING (regime, policy, model) WHERE b.fold = 4 GROUP BY ALL),
+o AS (SELECT regime, policy, model, sum(caught) AS seen, sum(m * k / n) AS expected FROM h GROUP BY ALL)"""
+
+
+@query(f"""
+WITH {LOTS}, {FOLDS}, {BACKTEST}, {LAWS}
 SELECT regime, policy, model, CAST(seen AS BIGINT) AS caught, round(expected * 1000000) / 1000000 AS null_caught, round(coalesce(sum(p) FILTER (x >= seen), 0) * 10000000) / 10000000 AS exact_p
 FROM l4 JOIN o USING (regime, policy, model) GROUP BY ALL""")
 def permutation_law(spark: SparkSession, sf_dir: str) -> DataFrame:

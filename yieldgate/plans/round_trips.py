@@ -11,7 +11,7 @@ from yieldgate.operators import backtest, metrics, models, profile
 from yieldgate.sources import lots as src
 from yieldgate.streaming import monitor
 
-from .queries import LOTS, query
+from .queries import LOTS, bounds_sql, query
 from .shared import shared_dir, written
 
 
@@ -97,6 +97,35 @@ def stream_weekly_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("week timestamp, n long, n_fail long").parquet(rates)
 
 
+STREAM_BREAKEVEN = 1 / 3
+
+
+@query(f"""
+WITH RECURSIVE v AS (
+  SELECT o_orderpriority AS line, CAST(date_trunc('week', o_orderdate) AS TIMESTAMP) AS week, count(*) AS n, CAST(sum(CAST(o_orderstatus = 'F' AS INTEGER)) AS BIGINT) AS k FROM orders GROUP BY ALL),
+counts AS (SELECT row_number() OVER (ORDER BY n, k) AS id, n, k FROM (SELECT DISTINCT n, k FROM v)),
+{bounds_sql("SELECT id, 'lo' AS side, k - 1 AS j, n, CAST(0.975 AS DOUBLE) AS target FROM counts WHERE k > 0 UNION ALL SELECT id, 'hi', k, n, CAST(0.025 AS DOUBLE) FROM counts WHERE k < n")},
+ci AS (SELECT n, k, coalesce(max(p) FILTER (side = 'lo'), 0) AS lo, coalesce(max(p) FILTER (side = 'hi'), 1) AS hi FROM counts LEFT JOIN bound USING (id) GROUP BY n, k),
+r AS (SELECT line, week, n, k, k / n AS rate, lo, hi, CASE WHEN lo > {STREAM_BREAKEVEN!r} THEN 'inspect' WHEN hi < {STREAM_BREAKEVEN!r} THEN 'no_inspect' ELSE 'undecided' END AS regime FROM v JOIN ci USING (n, k)),
+s AS (SELECT *, last_value(CASE WHEN regime <> 'undecided' THEN regime END IGNORE NULLS) OVER (PARTITION BY line ORDER BY week ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r)
+SELECT line, week, n, k AS n_fail, rate AS fail_rate, round(avg(rate) OVER (PARTITION BY line ORDER BY week ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) * 1000000) / 1000000 AS fail_rate_ma4,
+       round(lo * 1000000) / 1000000 AS ci_lo, round(hi * 1000000) / 1000000 AS ci_hi, regime, CASE WHEN regime <> 'undecided' THEN regime ELSE before END AS standing,
+       coalesce(regime <> 'undecided' AND regime <> before, false) AS flipped FROM s""")
+def stream_standing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a stream of orders in shuffled arrival has told last of every week of each priority, in three micro-batches."""
+    lots, told, checkpoint = (_folder(spark, x) for x in ("stream", "told", "stream-checkpoint"))
+    o = src.table(spark, sf_dir, "orders")
+    arrivals = o.select(F.col("o_orderpriority").alias("line"), F.col("o_orderdate").alias("ts"), (F.col("o_orderstatus") == "F").cast("int").alias("fail"), F.xxhash64("o_orderkey").alias("h"))
+    arrivals.repartition(6, "h").drop("h").write.parquet(lots)
+    stream = monitor.read_lots(spark, lots, "line string, ts timestamp, fail int", 2)
+    monitor.run_events(monitor.standing_events(stream, STREAM_BREAKEVEN), told, checkpoint)
+    return _rounded(monitor.current_events(spark.read.schema(monitor.EVENT).parquet(told)))
+
+
+def _rounded(events: DataFrame) -> DataFrame:
+    return events.withColumns({c: profile.rounded(F.col(c), 6) for c in ("fail_rate_ma4", "ci_lo", "ci_hi")})
+
+
 @query(f"""
 WITH {LOTS}, n AS (SELECT count(*) AS n FROM lots), b AS (SELECT CAST(floor(n * CAST(0.6 AS DOUBLE)) AS BIGINT) AS a, CAST(floor(n * CAST(0.6 AS DOUBLE)) AS BIGINT) + CAST(floor(n * CAST(0.2 AS DOUBLE)) AS BIGINT) AS b FROM n)
 SELECT row_id, fail AS y, (SELECT avg(fail) FROM lots, b WHERE row_id < a) AS p FROM lots, b WHERE row_id >= b""")
