@@ -131,8 +131,41 @@ def test_factors(seed):
     assert covered == {k for k in range(len(words) - 2) if tuple(words[k : k + 3]) in held}
     for (a, n), (b, _) in zip(found, found[1:], strict=False):
         assert b > a + n - window
+    def occurs(at, n):
+        return any(t[k : k + n] == words[at : at + n] for t in texts[:-1] for k in range(len(t) - n + 1))
+
     for at, n in found:
-        assert any(t[k : k + n] == words[at : at + n] for t in texts[:-1] for k in range(len(t)))
+        assert occurs(at, n) and not (at + n < len(words) and occurs(at, n + 1))  # the longest
+
+
+def test_the_longest_place_counts():
+    words = [b"w%d" % k for k in range(40)]
+    reference = relative.Reference()
+    reference.add([*words[:14], b"zz"])
+    reference.add(words[:30])
+    assert list(reference.factors(words)) == [(0, 30)]
+
+
+def test_a_hot_window_takes_no_room():
+    words = [b"w%d" % k for k in range(20)]
+    reference = relative.Reference()
+    reference.add(words)
+    states = len(reference.moves)
+    for k in range(20000):
+        reference.add(words[k % 8 : 13 + k % 8])
+    assert len(reference.moves) == states and len(reference.letters) == 8
+
+
+def test_one_passage_in_thousands_of_documents(spark):
+    """Most of them meet it in other chunks and tasks than the least one."""
+    rng = random.Random(5)
+    passage = " ".join(f"licence{k}" for k in range(13))
+    rows = [(i, f"{rng.random()} {rng.random()} {passage} {rng.random()} tail") for i in range(4000)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(24)
+    assert sorted(map(tuple, relative.relative_digest(df).collect()), key=str) == want_words(rows, 13)
+    got = suffix.suffix_digest(df).select("doc_id", "n_bytes", "n_removed").collect()
+    assert {r["n_removed"] == 0 for r in got if r["doc_id"] == 0} == {True} and {r["n_removed"] >= len(passage) for r in got if r["doc_id"] > 0} == {True}
 
 
 def test_many_repeated_windows_on_one_partition(spark):

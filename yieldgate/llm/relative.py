@@ -2,11 +2,14 @@
 
 The reference is every document with a smaller id, cut into content-defined blocks of words that overlap by a window
 less one word; all of them are indexed (`index_blocks`). Blocks that the reference holds as a whole are factors as they
-are. In the other blocks whose anchor the reference knows, a greedy parse goes from left to right: the words from here on
-are matched at the first place that the table of the reference blocks' windows has for them, word by word as far as they
-agree, and are a factor (another place might match longer; the spans are the same, as what is left goes on being parsed);
-behind it the parse goes on with the first window that reaches over the factor's end, so none across a boundary is
-missed. Words that begin no match of 13 words are literals. Factors are 13 words long at least, and are duplicate spans.
+are. In the other blocks whose anchor the reference knows, a greedy parse goes from left to right: the longest string of
+words from here on that some reference block holds is a factor, 13 words long at least; behind it the parse goes on with
+the first window that reaches over the factor's end, so none across a boundary is missed. Words that begin no such string
+are literals. Factors are duplicate spans. Blocks overlap, and factors of neighbouring blocks with them.
+
+A factor is found by walking a suffix automaton of the reference blocks, whose letters are their windows: it holds all
+substrings in room that is linear in the blocks, and a walk takes a step a window, however often a string occurs. Blocks
+that it holds already are not added, so a window that all documents have takes no more room than once.
 
 Words are `[^\\x20\\x09-\\x0D]+`, unchanged. Defined results: a null or empty text has no words; documents shorter than a
 window lose nothing; rows with the same id are versions of one document (see suffix.py) and null ids take no part; of
@@ -79,35 +82,73 @@ def _bodies(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
 
 
 class Reference:
-    """Blocks of smaller documents under one anchor, and a table of their windows: block and place of the first one.
+    """Blocks of smaller documents under one anchor, as a suffix automaton over their windows (a letter a different window).
 
     `blocks.HELD` bounds it: an anchor with more blocks than that has its windows sent each by itself.
     """
 
     def __init__(self, window: int = WINDOW):
         self.window = window
-        self.blocks: list[list[bytes]] = []
-        self.table: dict[bytes, tuple[int, int]] = {}
+        self.letters: dict[bytes, int] = {}
+        self.moves: list[dict[int, int]] = [{}]
+        self.link, self.length = [-1], [0]
+
+    def _windows(self, words: list[bytes]) -> list[bytes]:
+        return [SPACE.join(words[k : k + self.window]) for k in range(len(words) - self.window + 1)]
+
+    def _state(self, moves: dict[int, int], length: int, link: int) -> int:
+        self.moves.append(moves)
+        self.length.append(length)
+        self.link.append(link)
+        return len(self.moves) - 1
+
+    def _walk(self, letters: list[int], at: int) -> int:
+        """How many letters from `at` on the automaton holds as one string."""
+        state: int | None = 0
+        for k in range(at, len(letters)):
+            state = self.moves[state].get(letters[k])
+            if state is None:
+                return k - at
+        return len(letters) - at
+
+    def _split(self, at: int, to: int, letter: int) -> int:
+        """A state for the shorter strings of `to`, those that reach it from `at` and its suffixes."""
+        short = self._state(dict(self.moves[to]), self.length[at] + 1, self.link[to])
+        self.link[to] = short
+        while at >= 0 and self.moves[at].get(letter) == to:
+            self.moves[at][letter] = short
+            at = self.link[at]
+        return short
+
+    def _next(self, at: int, letter: int) -> int:
+        """The state of a block's letters so far and one more."""
+        to = self.moves[at].get(letter)
+        if to is not None:
+            return to if self.length[to] == self.length[at] + 1 else self._split(at, to, letter)
+        new = self._state({}, self.length[at] + 1, 0)
+        while at >= 0 and letter not in self.moves[at]:
+            self.moves[at][letter] = new
+            at = self.link[at]
+        if at >= 0:
+            to = self.moves[at][letter]
+            self.link[new] = to if self.length[to] == self.length[at] + 1 else self._split(at, to, letter)
+        return new
 
     def add(self, words: list[bytes]) -> None:
-        self.blocks.append(words)
-        for k in range(len(words) - self.window + 1):
-            self.table.setdefault(SPACE.join(words[k : k + self.window]), (len(self.blocks) - 1, k))
+        letters = [self.letters.setdefault(x, len(self.letters)) for x in self._windows(words)]
+        if self._walk(letters, 0) < len(letters):
+            state = 0
+            for c in letters:
+                state = self._next(state, c)
 
     def factors(self, words: list[bytes]) -> Iterator[tuple[int, int]]:
         """Place and length of the factors of words, by a greedy parse from left to right."""
-        at, w = 0, self.window
-        while at + w <= len(words):
-            found = self.table.get(SPACE.join(words[at : at + w]))
-            if found is None:
-                at += 1
-                continue
-            block, k = self.blocks[found[0]], found[1] + w
-            end = at + w
-            while end < len(words) and k < len(block) and words[end] == block[k]:
-                end, k = end + 1, k + 1
-            yield at, end - at
-            at = end - w + 1  # the first window that reaches over the factor's end
+        letters, at = [self.letters.get(x, -1) for x in self._windows(words)], 0
+        while at < len(letters):
+            many = self._walk(letters, at)
+            if many:
+                yield at, many + self.window - 1
+            at += max(many, 1)  # the first window that reaches over the factor's end
 
 
 def _parse(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
