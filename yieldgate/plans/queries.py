@@ -83,7 +83,7 @@ SELECT count(*) AS n_lots, CAST(sum(fail) AS BIGINT) AS n_fail, CAST(count(*) -
        round(avg(fail) * 1000000) / 1000000 AS fail_rate, round((count(*) - sum(fail)) / sum(fail) * 100) / 100 AS imbalance,
        min(ts) AS first_ts, max(ts) AS last_ts, CAST(date_diff('day', min(ts), max(ts)) AS INTEGER) AS span_days FROM lots""")
 def lots_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.lots_profile(src.lots_events(spark, sf_dir))
+    return profile.lots_profile(src.lots_events(spark, sf_dir, numbered=False))
 
 
 @query(f"""
@@ -91,7 +91,7 @@ WITH {LOTS}, {LONG}
 SELECT feature, count(*) AS n, count(*) - count(x) AS n_missing, 1 - count(x) / count(*) AS missing_frac, count(DISTINCT x) AS n_distinct
 FROM long GROUP BY feature""")
 def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.column_profile(src.lots_events(spark, sf_dir))
+    return profile.column_profile(src.lots_events(spark, sf_dir, numbered=False))
 
 
 @query(f"""
@@ -101,7 +101,7 @@ w AS (SELECT count(*) AS n_lots, CAST(sum(fail) AS BIGINT) AS n_fail, CAST(floor
 SELECT w.*, count(*) AS n_features, CAST(sum(m) AS BIGINT) AS missing_cells, sum(m) / sum(n) AS missing_frac,
        count(*) FILTER (d <= 1) AS constant_cols, count(*) FILTER (m / n > 0.5) AS mostly_missing_cols FROM c, w GROUP BY ALL""")
 def sensor_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.sensor_profile(src.lots_events(spark, sf_dir))
+    return profile.sensor_profile(src.lots_events(spark, sf_dir, numbered=False))
 
 
 @query("""
@@ -680,7 +680,7 @@ def prevalence_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _weekly_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weeks = src.lots_events(spark, sf_dir, rare=True).groupBy(F.date_trunc("week", "ts").alias("week")).agg(F.count("*").alias("n"), F.sum("fail").alias("n_fail"))
+    weeks = src.lots_events(spark, sf_dir, rare=True, numbered=False).groupBy(F.date_trunc("week", "ts").alias("week")).agg(F.count("*").alias("n"), F.sum("fail").alias("n_fail"))
     return drift.prevalence_regime(weeks, drift.breakeven_prevalence(INSPECT, ESCAPE))
 
 
@@ -710,7 +710,7 @@ WITH {LOTS}, {LONG}, a AS (
   SELECT feature, count(*) AS n, count(*) - count(x) AS n_missing, avg(fail) FILTER (x IS NULL) AS rate_missing, avg(fail) FILTER (x IS NOT NULL) AS rate_present FROM long GROUP BY feature)
 SELECT *, n_missing / n AS missing_frac, abs(rate_missing - rate_present) AS gap FROM a WHERE n_missing / n > 0.02 AND n_missing / n < 0.98 ORDER BY gap DESC, feature LIMIT 10""")
 def missingness_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.missingness_gap(src.lots_events(spark, sf_dir))
+    return profile.missingness_gap(src.lots_events(spark, sf_dir, numbered=False))
 
 
 @query(f"""
@@ -721,7 +721,7 @@ SELECT feature, n_fail, n_pass, mean_fail, mean_pass, round((mean_fail - mean_pa
        round(pow(v1 / n_fail + v0 / n_pass, 2) / (pow(v1 / n_fail, 2) / (n_fail - 1) + pow(v0 / n_pass, 2) / (n_pass - 1)) * 10000) / 10000 AS df
 FROM a WHERE n_fail > 20 AND n_pass > 20 AND (v1 > 0 OR v0 > 0)""")
 def welch_t(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = profile.welch_t(src.lots_events(spark, sf_dir), with_p=False)
+    out = profile.welch_t(src.lots_events(spark, sf_dir, numbered=False), with_p=False)
     return out.withColumns({c: profile.rounded(F.col(c), 4) + 0.0 for c in ("t", "df")})
 
 
@@ -736,7 +736,7 @@ q AS (SELECT feature, 1 - 2 * (t / 4000 / 3) * exp(lgamma((df + 1) / 2) - lgamma
 SELECT feature, round(p * 1000000) / 1000000 AS p, row_number() OVER (ORDER BY p, feature) AS place, count(*) FILTER (p < 0.01) OVER () AS n_below FROM q""")
 def welch_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features by the p-value of Welch's test, and how many are below 0.01; the SQL integrates the density. A p near 1 is known to about 1e-8."""
-    tested = written(profile.welch_t(src.lots_events(spark, sf_dir)).select("feature", "p"), "tested")
+    tested = written(profile.welch_t(src.lots_events(spark, sf_dir, numbered=False)).select("feature", "p"), "tested")
     below = tested.agg(F.count_if(F.col("p") < 0.01).alias("n_below"))
     place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("p", "feature"))  # a row a feature
     return tested.withColumn("place", place).crossJoin(F.broadcast(below)).withColumn("p", profile.rounded(F.col("p"), 6))
@@ -762,7 +762,7 @@ def correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {LOTS}, {LONG}, m AS (SELECT feature, quantile_cont(x, 0.5) AS median FROM long WHERE feature IN ('f000', 'f001', 'f002') GROUP BY feature)
 SELECT feature, any_value(median) AS median, avg(coalesce(x, median)) AS mean, stddev_pop(coalesce(x, median)) AS spread FROM long JOIN m USING (feature) GROUP BY feature""")
 def impute_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prep.impute_scale_params(src.lots_events(spark, sf_dir), ["f000", "f001", "f002"])
+    return prep.impute_scale_params(src.lots_events(spark, sf_dir, numbered=False), ["f000", "f001", "f002"])
 
 
 @query()

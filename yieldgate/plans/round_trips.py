@@ -11,7 +11,7 @@ from yieldgate.operators import backtest, metrics, models, profile
 from yieldgate.sources import lots as src
 from yieldgate.streaming import monitor
 
-from .queries import LOTS, bounds_sql, query
+from .queries import LONG, LOTS, PARTS, bounds_sql, query
 from .shared import shared_dir, written
 
 
@@ -92,7 +92,7 @@ SELECT * FROM w WHERE week + INTERVAL 7 DAY <= (SELECT max(ts) FROM lots) - INTE
 def stream_weekly_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly rates of a stream of lots, of the weeks that its watermark has passed."""
     lots, rates, checkpoint = (_folder(spark, x) for x in ("stream", "rates", "stream-checkpoint"))
-    src.lots_events(spark, sf_dir).select("ts", "fail").coalesce(4).write.parquet(lots)
+    src.lots_events(spark, sf_dir, numbered=False).select("ts", "fail").coalesce(4).write.parquet(lots)
     monitor.run_available(monitor.weekly_rates(monitor.read_lots(spark, lots)), rates, checkpoint)
     return spark.read.schema("week timestamp, n long, n_fail long").parquet(rates)
 
@@ -136,3 +136,58 @@ def model_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark, "model")
     models.fit_one("majority", train, val).save(spark, path)
     return models.Fitted.load(spark, path).score(test)
+
+
+#: Balanced ridge regression of the training lots by plain descent (ws: weights), as f000 to f002 are the features that stay.
+_LOGREG = f"""
+{LOTS}, {LONG}, {PARTS},
+t AS (SELECT feature, quantile_cont(x, 0.5) AS median FROM long, b WHERE row_id < a GROUP BY feature HAVING count(DISTINCT x) > 1 AND 1 - count(x) / count(*) <= 0.5),
+m AS (SELECT feature, any_value(median) AS median, avg(coalesce(x, median)) AS mean, stddev_pop(coalesce(x, median)) AS spread FROM long JOIN t USING (feature), b WHERE row_id < a GROUP BY feature),
+z AS (
+  SELECT row_id, any_value(fail) AS y, max(z) FILTER (feature = 'f000') AS z0, max(z) FILTER (feature = 'f001') AS z1, max(z) FILTER (feature = 'f002') AS z2
+  FROM (SELECT row_id, fail, feature, (coalesce(x, median) - mean) / spread AS z FROM long JOIN m USING (feature)) GROUP BY row_id),
+train AS (SELECT z.*, CASE y WHEN 1 THEN n / (2 * k) ELSE n / (2 * (n - k)) END AS w, n FROM z, b, (SELECT count(*) AS n, sum(y) AS k FROM z, b WHERE row_id < a) WHERE row_id < a),
+g AS (
+  SELECT 0 AS step, CAST(0 AS DOUBLE) AS w0, CAST(0 AS DOUBLE) AS w1, CAST(0 AS DOUBLE) AS w2, CAST(0 AS DOUBLE) AS c
+  UNION ALL
+  SELECT step + 1, w0 - (g0 + 20 * w0) / r, w1 - (g1 + 20 * w1) / r, w2 - (g2 + 20 * w2) / r, c - gc / r FROM (
+    SELECT step, w0, w1, w2, c, sum(e * z0) AS g0, sum(e * z1) AS g1, sum(e * z2) AS g2, sum(e) AS gc, 0.6 * any_value(n) + 20 AS r
+    FROM (SELECT g.*, z0, z1, z2, n, w * (1 / (1 + exp(-(w0 * z0 + w1 * z1 + w2 * z2 + c))) - y) AS e FROM g, train WHERE step < 700) GROUP BY step, w0, w1, w2, c)),
+ws AS (SELECT * FROM g WHERE step = 700)"""
+
+
+def _trained(spark: SparkSession, sf_dir: str) -> tuple[models.Fitted, DataFrame]:
+    """The logistic model of the training lots, kept and loaded again, and the test lots."""
+    parts = written(backtest.time_split(written(src.lots_events(spark, sf_dir), "lots")), "parts")
+    train, val, test = (parts.where(F.col("part") == p).drop("part") for p in ("train", "val", "test"))
+    path = _folder(spark, "model")
+    models.fit_one("logreg", train, val).save(spark, path)
+    return models.Fitted.load(spark, path), test
+
+
+@query(f"""
+WITH RECURSIVE {_LOGREG}
+SELECT unnest(['f000', 'f001', 'f002', 'constant']) AS feature, unnest([round(w0 * 1000000) / 1000000 + 0.0, round(w1 * 1000000) / 1000000 + 0.0, round(w2 * 1000000) / 1000000 + 0.0, round(c * 1000000) / 1000000 + 0.0]) AS weight FROM ws""")
+def logreg_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of the logistic model, for features measured in spreads; the SQL goes down to the same minimum on another way."""
+    fitted, _ = _trained(spark, sf_dir)
+    names = [*(fitted.cols[k] for k in fitted.model.scaling.kept), "constant"]
+    rows = zip(names, [*fitted.model.curve.weights.tolist(), fitted.model.curve.constant], strict=True)
+    return spark.createDataFrame(list(rows), "feature string, weight double").withColumn("weight", profile.rounded(F.col("weight"), 6) + 0.0)
+
+
+@query(f"""
+WITH RECURSIVE {_LOGREG},
+sc AS (SELECT row_id, y, 1 / (1 + exp(-(w0 * z0 + w1 * z1 + w2 * z2 + c))) AS p FROM z, ws),
+v AS (SELECT y, ln(q / (1 - q)) AS l FROM (SELECT y, greatest(CAST(1e-6 AS DOUBLE), least(1 - CAST(1e-6 AS DOUBLE), p)) AS q FROM sc, b WHERE row_id >= a AND row_id < b.v)),
+n AS (
+  SELECT 0 AS step, CAST(0 AS DOUBLE) AS slope, CAST(0 AS DOUBLE) AS const
+  UNION ALL
+  SELECT step + 1, slope - (hbb * gs - hsb * gb) / (hss * hbb - hsb * hsb), const - (hss * gb - hsb * gs) / (hss * hbb - hsb * hsb) FROM (
+    SELECT step, slope, const, sum((p - y) * l) + CAST(1e-6 AS DOUBLE) * slope AS gs, sum(p - y) AS gb, sum(p * (1 - p) * l * l) + CAST(1e-6 AS DOUBLE) AS hss, sum(p * (1 - p) * l) AS hsb, sum(p * (1 - p)) AS hbb
+    FROM (SELECT step, slope, const, y, l, 1 / (1 + exp(-(slope * l + const))) AS p FROM n, v WHERE step < 25) GROUP BY step, slope, const))
+SELECT row_id, y, round(10000 / (1 + exp(-(slope * ln(p / (1 - p)) + const)))) / 10000 AS p FROM sc, b, n WHERE step = 25 AND row_id >= b.v""")
+def logreg_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated scores of the test lots by the model as loaded; four places, as the slope of a weak score is known to fewer than the score's."""
+    fitted, test = _trained(spark, sf_dir)
+    return fitted.score(test).withColumn("p", profile.rounded(F.col("p"), 4))

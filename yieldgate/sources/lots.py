@@ -132,8 +132,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def lots_events(spark: SparkSession, sf_dir: str, rare: bool = False) -> DataFrame:
-    """Events as lots: errors fail (if rare, only those above 100); f003 is constant and f004 never read."""
+def lots_events(spark: SparkSession, sf_dir: str, rare: bool = False, numbered: bool = True) -> DataFrame:
+    """Events as lots: errors fail (if rare, only those above 100); f003 is constant and f004 never read.
+
+    Numbering sorts and writes the whole table; what asks for no positions does without.
+    """
     e = table(spark, sf_dir, "events")
     failed = (F.col("event_type") == "error") & (F.col("value") > 100 if rare else F.lit(True))
     lots = e.select(
@@ -141,7 +144,7 @@ def lots_events(spark: SparkSession, sf_dir: str, rare: bool = False) -> DataFra
         F.regexp_extract("props", r"-?[0-9]+", 0).cast("double").alias("f001"),
         F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("f002"), F.lit(1.0).alias("f003"), F.lit(None).cast("double").alias("f004"),
     )
-    return with_row_id(lots, "ts", "event_id").drop("event_id")
+    return (with_row_id(lots, "ts", "event_id") if numbered else lots).drop("event_id")
 
 
 def lots_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
