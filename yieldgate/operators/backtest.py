@@ -8,6 +8,7 @@ relational and runs for all models and folds at once.
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -105,19 +106,19 @@ def run_folds(scored: DataFrame, inspect: float, escape: float, caps: dict[str,
     quality = score_metrics(late, held, KEYS).select(*KEYS, "pr_auc", "roc_auc")
     top = top_shares(held, (0.2,), KEYS).select(*KEYS, F.col("recall").alias("recall_at_20"), F.col("lift").alias("lift_at_20"))
     none = F.lit(None).cast("double")
-    out = None
+    wanted, limits = [], []
     for regime, cap in caps.items():
-        limit = rate_cuts(late, [1.0 if cap is None else cap], KEYS).select(*KEYS, F.col("above").alias("limit"))
+        limits.append(rate_cuts(late, [1.0 if cap is None else cap], KEYS).select(F.lit(regime).alias("regime"), *KEYS, F.col("above").alias("limit")))
         for policy in policies:
             if policy == "threshold":
-                chosen = optimal_threshold(cal, inspect, escape, cap, KEYS).select(*KEYS, "threshold", none.alias("target_flag_rate"), none.alias("above"), none.alias("escape_inflation"))
+                best = optimal_threshold(cal, inspect, escape, cap, KEYS).select(*KEYS, "threshold", none.alias("target_flag_rate"), none.alias("escape_inflation"))
             else:
                 best = optimal_flag_rate(cal, inspect, escape, cap, KEYS) if policy == "quantile" else robust_flag_rate(cal, inspect, escape, cap, KEYS)
                 inflation = F.col("escape_inflation") if policy == "robust" else none
-                best = best.select(*KEYS, "target_flag_rate", inflation.alias("escape_inflation"))
-                chosen = _cut_at(late, best).select(*KEYS, none.alias("threshold"), "target_flag_rate", "above", "escape_inflation")
-            part = _judge(late, chosen.join(limit, KEYS), regime, policy)
-            out = part if out is None else out.unionByName(part)
+                best = best.select(*KEYS, none.alias("threshold"), "target_flag_rate", inflation.alias("escape_inflation"))
+            wanted.append(best.select(F.lit(regime).alias("regime"), F.lit(policy).alias("policy"), "*"))
+    chosen = written(reduce(DataFrame.unionByName, wanted), "chosen")  # a row a regime, policy, model and fold
+    out = _judge(late, _cut_at(late, chosen).join(reduce(DataFrame.unionByName, limits), ["regime", *KEYS]))
     rows = out.join(known, KEYS).join(quality, KEYS).join(top, KEYS)
     n, k, q = F.col("n_eval"), F.col("n_fail_eval"), F.col("n_eval")
     capped = F.lit(None).cast("double")
@@ -142,7 +143,7 @@ def run_folds(scored: DataFrame, inspect: float, escape: float, caps: dict[str,
 
 
 def _cut_at(steps: DataFrame, best: DataFrame) -> DataFrame:
-    """best (keys, target_flag_rate) with the score above which its rate flags in steps; NULL: all, infinite: none."""
+    """best (keys, target_flag_rate) with the score above which its rate flags in steps; NULL: all, infinite: none. A row without a rate gets NULL."""
     at = steps.join(F.broadcast(best), KEYS)
     count = quota(F.col("total_n"), F.col("target_flag_rate"))
     here = (F.col("cum_n") - F.col("n") <= count) & (count < F.col("cum_n"))
@@ -152,14 +153,15 @@ def _cut_at(steps: DataFrame, best: DataFrame) -> DataFrame:
     return found.withColumn("above", F.when(rate <= 0, F.lit(float("inf"))).when(rate < 1, F.col("kth")))
 
 
-def _judge(late: DataFrame, chosen: DataFrame, regime: str, policy: str) -> DataFrame:
+def _judge(late: DataFrame, chosen: DataFrame) -> DataFrame:
+    """What each chosen row (regime, policy, keys, threshold, above, limit) flags and catches, all in one pass over the ladder."""
     at = late.join(F.broadcast(chosen), KEYS)
     over = lambda c: F.col(c).isNull() | (F.col("p") > F.col(c))
     flag = (F.col("threshold").isNull() | (F.col("p") >= F.col("threshold"))) & over("above") & over("limit")
     total = lambda c: F.coalesce(F.sum(F.when(flag, F.col(c))), F.lit(0)).cast("long")
-    cols = ["threshold", "target_flag_rate", "escape_inflation"]
+    cols = ["regime", "policy", "threshold", "target_flag_rate", "escape_inflation"]
     a = at.groupBy(*KEYS, *cols).agg(F.first("total_n").alias("n_eval"), F.first("total_k").alias("n_fail_eval"), total("n").alias("n_flagged"), total("k").alias("caught"))
-    return a.withColumns({"missed": F.col("n_fail_eval") - F.col("caught"), "regime": F.lit(regime), "policy": F.lit(policy)})
+    return a.withColumn("missed", F.col("n_fail_eval") - F.col("caught"))
 
 
 def reference_costs(folds: DataFrame, inspect: float, escape: float) -> DataFrame:
