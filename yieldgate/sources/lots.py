@@ -13,6 +13,7 @@ import re
 from importlib import metadata
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -123,6 +124,34 @@ def environment(packages: tuple[str, ...] = ("pyspark", "pandas", "numpy", "pyar
     return {"python": platform.python_version(), "platform": platform.system(), **{p: metadata.version(p) for p in packages}}
 
 
+def lock() -> list[str]:
+    """Every installed package with its version, as a requirements file pins them."""
+    return sorted({f"{d.name}=={d.version}" for d in metadata.distributions() if d.name}, key=str.lower)
+
+
+def write_environment(spark: SparkSession, path: str) -> None:
+    """The record of versions (environment) and the lock file (lock) beside a result, in the shared folder."""
+    for name, lines in (("environment", [json.dumps(environment() | {"spark": spark.version}, sort_keys=True)]), ("lock", lock())):
+        spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}")
+
+
+def lock_changes(spark: SparkSession, path: str) -> DataFrame:
+    """package, locked, now: packages whose version is not the one that was locked."""
+    pins = spark.read.text(f"{path}/lock").select(F.split("value", "==").alias("v"))
+    now = spark.createDataFrame([tuple(x.split("==", 1)) for x in lock()], "package string, now string")
+    both = pins.select(F.get("v", F.lit(0)).alias("package"), F.get("v", F.lit(1)).alias("locked")).join(now, "package", "full")
+    return both.where(~F.col("locked").eqNullSafe(F.col("now")))
+
+
+def relation(spark: SparkSession, frame: DataFrame | pd.DataFrame, name: str) -> DataFrame:
+    """A DataFrame, or a pandas frame in memory, under a name that SQL knows; NaN of a pandas frame is null."""
+    if not isinstance(frame, DataFrame):
+        made = spark.createDataFrame(frame)
+        frame = made.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast(t)) for c, t in made.dtypes if t in ("double", "float")})
+    frame.createOrReplaceTempView(name)
+    return frame
+
+
 def page_payload(value: Any) -> str:
     """A document that may stand in a script element of a page."""
     return document(value).replace("<", "\\u003c")
