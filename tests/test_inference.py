@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime as dt
 import math
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -55,6 +56,21 @@ def test_permutation_law(spark):
     assert got["d"]["exact_p"] == pytest.approx(1 / math.comb(100, 10), rel=1e-9)
 
 
+def test_laws_of_large_folds(spark):
+    """Laws are as long as the square root of a fold's lots; before, exact_p asked for binomials of 67,500 lots and the tables for all pairs of catches."""
+    for n, k, m in [(176, 6, 151), (178, 4, 169), (90, 30, 45), (50, 0, 9), (50, 50, 9), (50, 7, 0), (50, 7, 50), (1, 1, 1), (400, 80, 200)]:
+        first, law = inference.hypergeometric(n, k, m)
+        want = [math.comb(k, x) * math.comb(n - k, m - x) / math.comb(n, m) for x in range(first, first + len(law))]
+        assert law == pytest.approx(want, rel=1e-11) and sum(want) == pytest.approx(1, abs=1e-14)
+    first, law = inference.hypergeometric(4_000_000, 800_000, 2_000_000)
+    assert len(law) < 40_000 and law.sum() == pytest.approx(1) and float(law @ (first + np.arange(len(law)))) == pytest.approx(400_000, rel=1e-12)
+    large = folds(spark, [(67_500, 13_500, 33_750, 6_750 + d) for d in (0, 20, 40, 10)])
+    law, drawn = inference.permutation_law(large, ["config"]).first(), inference.permutation_test(large, ["config"], draws=500).first()
+    # 70 catches above the mean, with a spread of sqrt(4 * 67500 * 0.2 * 0.8 * 0.25); half a catch for whole numbers
+    normal = 0.5 * math.erfc(69.5 / math.sqrt(4 * 67_500**2 / 67_499 * 0.2 * 0.8 * 0.25 * 2))
+    assert law["exact_p"] == pytest.approx(normal, rel=1e-3) and drawn["exact_p"] == law["exact_p"] and (law["caught"], law["null_caught"]) == (27_070, 27_000)
+
+
 def test_cells_must_add_up(spark):
     with pytest.raises(Exception, match="do not add up"):
         inference.cells(folds(spark, [(100, 10, 3, 5)])).collect()

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from math import lgamma
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from yieldgate.plans.shared import written
-
 #: Draws, seed and confidence, fixed values of the published intervals.
 DRAWS, PERMUTATIONS, SEED, CONF = 10_000, 20_000, 42, 0.95
 
@@ -72,15 +70,45 @@ def permutation(rows: pd.DataFrame, draws: int, seed: int) -> dict:
     return {"p_value": float((1 + (total >= rows["tp"].sum()).sum()) / (1 + draws)), "null_caught": float(total.mean())}
 
 
+#: Logarithm below which a share of a law's largest probability is 0 as a double.
+LEAST_LOG = -760.0
+
+
+def _logs(ratio: Callable[[np.ndarray], np.ndarray], steps: int, width: int) -> np.ndarray:
+    """Logarithms of a law's probabilities after 1, 2, .. steps from its mode, measured by the mode's, until they are 0 as doubles."""
+    out, last = [np.zeros(0)], 0.0
+    for a in range(0, steps, width):
+        out.append(last + np.cumsum(np.log(ratio(np.arange(a, min(a + width, steps), dtype=float)))))
+        last = out[-1][-1]
+        if last < LEAST_LOG:
+            break
+    return np.concatenate(out)
+
+
+def hypergeometric(n: int, k: int, m: int) -> tuple[int, np.ndarray]:
+    """The law of how many of k failures are among m of n lots: the first number and probabilities from there on.
+
+    It is built from its mode by ratios of neighbours and adds up to 1. Numbers whose probability is 0 as a double are left
+    out, so its length grows with the square root of n.
+    """
+    low, high = max(0, m + k - n), min(m, k)
+    mode = min(max((m + 1) * (k + 1) // (n + 2), low), high)
+    width = 64 + int(40 * np.sqrt(m / max(n, 1) * k * (1 - m / max(n, 1)) * (1 - k / max(n, 1))))
+    up = _logs(lambda i: (k - mode - i) / (mode + i + 1) * ((m - mode - i) / (n - k - m + mode + i + 1)), high - mode, width)
+    down = _logs(lambda i: (mode - i) / (k - mode + i + 1) * ((n - k - m + mode - i) / (m - mode + i + 1)), mode - low, width)
+    law = np.exp(np.concatenate([down[::-1], [0.0], up]))
+    return mode - len(down), law / law.sum()
+
+
 def exact_p(rows: pd.DataFrame) -> float:
     """The same p without draws: the caught failures' distributions under a random quota, convolved."""
-    from math import comb
-
-    law = np.ones(1)
+    first, law = 0, np.ones(1)
     for tp, fp, fn, n in rows[["tp", "fp", "fn", "n_eval"]].astype(int).itertuples(index=False):
-        k, m = tp + fn, tp + fp
-        law = np.convolve(law, [comb(k, x) * comb(n - k, m - x) / comb(n, m) if 0 <= m - x <= n - k else 0.0 for x in range(k + 1)])
-    return float(law[int(rows["tp"].sum()) :].sum())
+        low, one = hypergeometric(n, tp + fn, tp + fp)
+        law = np.convolve(law, one)
+        there = np.flatnonzero(law)  # products that are 0 as doubles go
+        first, law = first + low + int(there[0]), law[there[0] : there[-1] + 1]
+    return min(1.0, float(law[max(0, int(rows["tp"].sum()) - first) :].sum()))
 
 
 def bootstrap_cost_ci(folds: DataFrame, keys: list[str], action: str, inspect: float, escape: float, cap: float | None = None, draws: int = DRAWS, seed: int = SEED, conf: float = CONF) -> DataFrame:
@@ -104,30 +132,16 @@ def permutation_test(folds: DataFrame, keys: list[str], draws: int = PERMUTATION
     return x.groupBy(*keys).applyInPandas(run, ", ".join([f"{k} {x.schema[k].dataType.simpleString()}" for k in keys] + ["p_value double", "null_caught double", "exact_p double"]))
 
 
-def _log_ways(x: pd.Series) -> pd.Series:
-    """Logarithms of factorials."""
-    return x.map(lambda v: lgamma(v + 1))
-
-
 def permutation_law(folds: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, caught, null_caught (its mean under a random quota) and exact_p, by tables of laws.
+    """keys, caught, null_caught (its mean under a random quota) and exact_p.
 
-    A fold's catches under a random quota are hypergeometric: a row for each number, as many as failures or flags. Laws of
-    folds are added up one fold after another, numbers that make the same sum meeting in a shuffle.
+    A fold's catches under a random quota are hypergeometric; a configuration's folds, a handful of rows, are one group, whose
+    laws are convolved. They are as long as the square root of the folds' sizes (see hypergeometric).
     """
-    x = written(cells(folds).select(*keys, "fold", "n_eval", "tp", "fp", "fn", "tn"), "cells")
-    n, k, m = F.col("n_eval"), F.col("tp") + F.col("fn"), F.col("tp") + F.col("fp")
-    ways = F.pandas_udf(_log_ways, "double")
-    over = lambda a, b: ways(a.cast("double")) - ways(b.cast("double")) - ways((a - b).cast("double"))
-    each = x.withColumn("x", F.explode(F.sequence(F.greatest(F.lit(0), m + k - n), F.least(m, k))))
-    logs = over(k, F.col("x")) + over(n - k, m - F.col("x")) - over(n, m)
-    law = written(each.select(*keys, "fold", "x", F.exp(logs).alias("p")), "laws")
-    total = x.select(*keys).distinct().select("*", F.lit(0).cast("long").alias("x"), F.lit(1.0).alias("p"))
-    for r in x.select("fold").distinct().orderBy("fold").collect():  # a row a fold; a key may lack some
-        one = law.where(F.col("fold") == r["fold"]).drop("fold")
-        both = total.withColumnsRenamed({"x": "x1", "p": "p1"}).join(one, keys, "left")
-        grown = both.groupBy(*keys, (F.col("x1") + F.coalesce("x", F.lit(0))).alias("x")).agg(F.sum(F.col("p1") * F.coalesce("p", F.lit(1.0))).alias("p"))
-        total = written(grown, "law")
-    seen = x.groupBy(*keys).agg(F.sum("tp").alias("caught"), F.sum(m * k / n).alias("null_caught"))
-    tail = F.coalesce(F.sum(F.when(F.col("x") >= F.col("caught"), F.col("p"))), F.lit(0.0))
-    return total.join(F.broadcast(seen), keys).groupBy(*keys, "caught", "null_caught").agg(tail.alias("exact_p"))
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([dict(zip(keys, key, strict=True)) | {"caught": rows["tp"].sum(), "null_caught": rows["expected"].sum(), "exact_p": exact_p(rows)}])
+
+    expected = (F.col("tp") + F.col("fp")) * (F.col("tp") + F.col("fn")) / F.col("n_eval")
+    x = cells(folds).select(*keys, "fold", "n_eval", "tp", "fp", "fn", "tn", expected.alias("expected"))
+    return x.groupBy(*keys).applyInPandas(run, ", ".join([f"{k} {x.schema[k].dataType.simpleString()}" for k in keys] + ["caught long", "null_caught double", "exact_p double"]))
