@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from yieldgate.functions import beta, power
-from yieldgate.operators import drift, inference
+from yieldgate.operators import drift, inference, prep, profile
+from yieldgate.plans import queries
 from yieldgate.streaming import monitor
 
 #: Folds of a published backtest: n_eval, n_fail, n_flagged, caught.
@@ -33,6 +34,22 @@ def test_p_values():
     assert beta.normal_quantile(0.975) == pytest.approx(1.959963984540054)
 
 
+def test_equal_readings_are_not_tested_however_tasks_deal_them(spark):
+    # 49 of each class in a task: 1 / 49 * 49 is not 1 as a double, so merged means of a constant differ from it.
+    lots = spark.range(0, 490, 1, 5).select(F.lit(0).alias("ts"), (F.col("id") % 2).cast("int").alias("fail"), (F.col("id") % 11).cast("double").alias("f000"), F.lit(1.0).alias("f003"))
+    assert [r["feature"] for r in profile.welch_t(lots, with_p=False).collect()] == ["f000"]
+    one_side = profile.welch_t(lots.withColumn("f000", F.when(F.col("fail") == 1, F.col("f000")).otherwise(1.0)), with_p=False).first()
+    assert one_side["df"] == pytest.approx(244, abs=1e-9) and one_side["feature"] == "f000"
+    assert {r["feature"]: r["spread"] > 0 for r in prep.impute_scale_params(lots).collect()} == {"f000": True, "f003": False}
+
+
+def test_p_of_equal_readings_has_no_place(spark, tmp_path):
+    rows = [(dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i), i, ("view", "error")[i % 2], float(i % 11), f'{{"k": {i % 13}}}') for i in range(784)]
+    for k in range(8):
+        spark.createDataFrame(rows[98 * k : 98 * k + 98], "ts timestamp, event_id long, event_type string, value double, props string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    assert sorted(r["feature"] for r in queries.welch_p(spark, str(tmp_path)).collect()) == ["f000", "f001", "f002"]
+
+
 def test_bootstrap(spark):
     row = inference.bootstrap_cost_ci(folds(spark, GOLDEN), ["config"], "inspect_all", 2000, 60000).first()
     assert (row["saving_lo"], row["saving_hi"]) == pytest.approx((-0.23512748, 0.15864023), abs=1e-6)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from yieldgate.sources.lots import feature_cols, long_features
 
-from .profile import column_profile, exact_quantiles, ratio
+from .profile import column_profile, exact_quantiles, ratio, unless_equal
 
 
 def column_verdicts(train: DataFrame, max_missing: float = 0.5) -> DataFrame:
@@ -95,7 +95,7 @@ def impute_scale_params(train: DataFrame, cols: list[str] | None = None) -> Data
     long = long_features(train, cols, keep=())
     medians = exact_quantiles(long, ["feature"], "x", [0.5]).select("feature", F.get("quantiles", F.lit(0)).alias("median"))
     filled = long.join(F.broadcast(medians), "feature").withColumn("v", F.coalesce("x", "median"))
-    return filled.groupBy("feature").agg(F.first("median").alias("median"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("spread"))
+    return filled.groupBy("feature").agg(F.first("median").alias("median"), F.avg("v").alias("mean"), unless_equal(F.col("v"), F.stddev_pop("v")).alias("spread"))
 
 
 def fit(train: DataFrame, max_missing: float = 0.5, max_correlation: float | None = None, impute: bool = True) -> Prep:
